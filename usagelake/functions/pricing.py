@@ -56,16 +56,16 @@ def price_of(model: Column, card=PRICE_CARD) -> Column:
     return found
 
 
-def estimate_cost_usd(model: Column, usage: Usage, card=PRICE_CARD) -> Column:
+def estimate_cost_usd(price: Column, usage: Usage) -> Column:
     """Cost in USD to six places; null when the model is not on the card or nothing was billed.
 
-    Unknown is not free: a zero here would be summed as if it were a known price.
+    ``price`` is what ``price_of`` found for the model. Unknown is not free: a zero here would be
+    summed as if it were a known price.
     """
 
     def n(col: Column) -> Column:
         return F.coalesce(col, F.lit(0)).cast("double")
 
-    price = price_of(model, card)
     rate_in, rate_out = price["input"], price["output"]
     hour = F.least(n(usage.cache_write_1h), n(usage.cache_write))
     short = F.greatest(n(usage.cache_write) - hour, F.lit(0.0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,8 +25,11 @@ def _java(pattern: str) -> str:
     return pattern.replace(r"\b", EDGE)
 
 
-def _mentions(text: Column, hint: str) -> Column:
-    return text.rlike(hint) if hint.startswith("(?i)") else F.contains(text, F.lit(hint))
+def _mentions(text: Column, rule: SecretRule) -> Column:
+    """Cheap test every text with a match passes."""
+    target = F.lower(text) if rule.ignore_case else text
+    tests = [F.contains(target, F.lit(h)) for h in rule.hints]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def _applying(rule: SecretRule):
@@ -60,7 +64,7 @@ def _apply(state: Column, rule: SecretRule) -> Column:
             kinds.alias("kinds"),
         )
 
-    return F.when(_mentions(text, rule.hint), let(marked, settle)).otherwise(state)
+    return F.when(_mentions(text, rule), let(marked, settle)).otherwise(state)
 
 
 def redact(text: Column, rules=SECRET_RULES) -> Column:
@@ -76,8 +80,9 @@ def redact(text: Column, rules=SECRET_RULES) -> Column:
 
 
 def _worth_reading(metadata: Column, rules) -> Column:
-    hints = [r.hint[4:] if r.hint.startswith("(?i)") else re.escape(r.hint) for r in rules]
-    return metadata.rlike("(?i)" + "|".join(hints))
+    hints = dict.fromkeys(h.lower() for r in rules for h in r.hints)
+    tests = [F.contains(F.lower(metadata), F.lit(h)) for h in hints]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def redact_json(metadata: Column, rules=SECRET_RULES) -> Column:

@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from usagelake.functions.exprs import EDGE, NON_SPACE, SPACE, let, strip
 
-# What a fingerprint ignores, in the order it is removed.
+# What a fingerprint ignores, in the order it is removed. Each comes with the
+# characters without which it cannot occur. A leading word edge is tested after the first
+# character, so that the engine rejects most positions on one comparison.
 FINGERPRINT_NOISE = (
-    ("fenced code", r"```[\s\S]*?```"),
-    ("inline code", r"`[^`]*`"),
-    ("url", EDGE + r"https?://" + NON_SPACE + "+"),
-    ("uuid", EDGE + r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}" + EDGE),
-    ("path", r"(?:[A-Za-z]:)?[\\/](?:[\w.@-]+[\\/])+[\w.@-]+"),
-    ("number", EDGE + r"\d[\d.,_-]*" + EDGE),
+    ("fenced code", ("```",), r"```[\s\S]*?```"),
+    ("inline code", ("`",), r"`[^`]*`"),
+    ("url", ("://",), r"h(?<!\wh)ttps?://" + NON_SPACE + "+"),
+    ("uuid", ("-",), r"[0-9a-f](?<!\w[0-9a-f])[0-9a-f]{7}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}"
+     r"-[0-9a-f]{12}" + EDGE),
+    ("path", ("/", "\\"), r"(?:[A-Za-z]:)?[\\/](?:[\w.@-]+[\\/])+[\w.@-]+"),
+    ("number", (), r"\d(?<!\w\d)[\d.,_-]*" + EDGE),
 )
 PREVIEW_LENGTH = 220
 
@@ -28,11 +31,24 @@ def normalized_text(text: Column) -> Column:
     "The same prompt asked again" survives another path, line number or pasted snippet.
     """
     out = F.lower(text)
-    for _, pattern in FINGERPRINT_NOISE:
-        out = F.regexp_replace(out, pattern, " ")
+    for _, needs, pattern in FINGERPRINT_NOISE:
+        out = _without(out, needs, pattern)
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
 
 
+def _without(text: Column, needs: tuple[str, ...], pattern: str) -> Column:
+    if not needs:
+        return F.regexp_replace(text, pattern, " ")
+
+    def remove(t: Column) -> Column:
+        possible = F.contains(t, F.lit(needs[0]))
+        for literal in needs[1:]:
+            possible = possible | F.contains(t, F.lit(literal))
+        return F.when(possible, F.regexp_replace(t, pattern, " ")).otherwise(t)
+
+    return let(text, remove)
+
+
 def fingerprint(text: Column) -> Column:
     """Hash of the normalised text, or of the exact text when nothing is left of it."""
     return let(

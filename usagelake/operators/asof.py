@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +34,12 @@ def first_following(
         F.col("ts_ms").alias("fact_ms"), F.col("event_id").alias("fact_id"),
         *[F.col(c).alias(c) for c in payload],
     )
+    # The keys are filtered here so that both readers below share one shuffle of the points.
+    present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, "bucket"]])
     points = (
         events.where(is_probe | is_fact)
         .withColumn("bucket", F.floor(F.col("ts_ms") / F.lit(BUCKET_MS)))
+        .where(present)
         .groupBy(*keys, "bucket", "ts_ms")
         .agg(F.min(F.when(is_fact, fact)).alias("fact"), F.max(is_probe).alias("probed"))
     )

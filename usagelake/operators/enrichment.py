@@ -13,6 +13,9 @@ from usagelake.functions.exprs import once
 from usagelake.functions.text import normalized_text
 from usagelake.operators.asof import following_tools
 
+#: Every side row carries its event's day and provider, the partition keys of the store.
+KEYS = ("event_id", "local_date", "provider_id")
+
 #: ``(text, tool names) -> struct<category,confidence,version>``; a pandas UDF fits as well.
 Classifier = Callable[[Column, Column], Column]
 
@@ -71,7 +74,7 @@ def annotate(
 
 def classification_rows(annotated: DataFrame) -> DataFrame:
     return annotated.select(
-        "event_id",
+        *KEYS,
         F.col("classification.category").alias("category"),
         F.col("classification.confidence").alias("confidence"),
         F.lit("heuristic").alias("source"),
@@ -80,15 +83,15 @@ def classification_rows(annotated: DataFrame) -> DataFrame:
 
 
 def technology_rows(annotated: DataFrame) -> DataFrame:
-    return annotated.select("event_id", F.explode("technologies").alias("t")).select(
-        "event_id", F.col("t.name").alias("technology"), F.col("t.confidence").alias("confidence"),
+    return annotated.select(*KEYS, F.explode("technologies").alias("t")).select(
+        *KEYS, F.col("t.name").alias("technology"), F.col("t.confidence").alias("confidence"),
         F.lit("heuristic").alias("source"),
     )
 
 
 def context_rows(annotated: DataFrame) -> DataFrame:
-    return annotated.select("event_id", F.explode("contexts").alias("c")).select(
-        "event_id", F.col("c.name").alias("context"), F.col("c.confidence").alias("confidence")
+    return annotated.select(*KEYS, F.explode("contexts").alias("c")).select(
+        *KEYS, F.col("c.name").alias("context"), F.col("c.confidence").alias("confidence")
     )
 
 
@@ -146,8 +149,9 @@ def apply_overrides(tables: Tables, overrides: DataFrame) -> Tables:
 
     The category is certain from then on; task areas are replaced when the person named any.
     """
+    overrides = overrides.join(tables.events.select(*KEYS), "event_id")
     chosen = overrides.select(
-        "event_id", "category", F.lit(1.0).alias("confidence"), F.lit("user").alias("source"),
+        *KEYS, "category", F.lit(1.0).alias("confidence"), F.lit("user").alias("source"),
         "classifier_version",
     )
     classifications = tables.classifications.join(
@@ -157,7 +161,7 @@ def apply_overrides(tables: Tables, overrides: DataFrame) -> Tables:
     contexts = tables.contexts.join(
         named.select("event_id"), "event_id", "left_anti"
     ).unionByName(
-        named.select("event_id", F.explode("contexts").alias("context")).withColumn(
+        named.select(*KEYS, F.explode("contexts").alias("context")).withColumn(
             "confidence", F.lit(1.0)
         )
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelake.contract import EventFilters, Tables
-from usagelake.operators.filters import after_cursor, apply_filters
+from usagelake.operators.filters import after_cursor, apply_filters, prune
 
 
 def activity(
@@ -18,6 +18,7 @@ def activity(
     The page is cut before anything is joined, and each side table is narrowed to the page, so the
     five lookups cost a pass over two columns instead of five joins of the whole log.
     """
+    tables = prune(tables, f)
     events = apply_filters(tables, f)
     if cursor is not None:
         events = events.where(after_cursor(*cursor))

@@ -42,6 +42,20 @@ def event_predicate(f: EventFilters) -> Column:
     return reduce(lambda a, b: a & b, clauses) if clauses else F.lit(True)
 
 
+def prune(tables: Tables, f: EventFilters | None) -> Tables:
+    """Side tables limited to the days of the slice, so that their partitions prune as well."""
+    if f is None or not (f.from_day or f.to_day):
+        return tables
+    days = event_predicate(EventFilters(from_day=f.from_day, to_day=f.to_day))
+    sides = {}
+    for name in ("prompts", "responses", "tool_calls", "classifications", "technologies",
+                 "contexts"):
+        df = getattr(tables, name)
+        if df is not None and "local_date" in df.columns:
+            sides[name] = df.where(days)
+    return tables.but(**sides)
+
+
 def machine_text(preview: Column) -> Column:
     """Text written into the prompt channel by tooling rather than by the person."""
     options = "|".join(re.escape(p).replace("_", ".") for p in MACHINE_PREFIXES)
@@ -51,6 +65,7 @@ def machine_text(preview: Column) -> Column:
 def apply_filters(tables: Tables, f: EventFilters | None = None, **changes) -> DataFrame:
     """Events of the slice. Side-table conditions become semi and anti joins on ``event_id``."""
     f = (f or EventFilters()).but(**changes) if changes else (f or EventFilters())
+    tables = prune(tables, f)
     events = tables.events.where(event_predicate(f))
     if f.include_subagents is False and tables.prompts is not None:
         machine = tables.prompts.where(machine_text(F.col("preview"))).select("event_id")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from usagelake.contract import EVENT_INPUT, EVENT_TYPES, INGEST_VERSION, Settings, Tables
 from usagelake.functions import ids, timeutil
 from usagelake.functions import text as tx
-from usagelake.functions.exprs import utf16_length
-from usagelake.functions.pricing import Usage, estimate_cost_usd
+from usagelake.functions.exprs import let, utf16_length
+from usagelake.functions.pricing import Usage, estimate_cost_usd, price_of
 from usagelake.functions.redaction import RESULT, redact, redact_json
 
 # Longest accepted value per text column of the input contract.
@@ -136,7 +136,7 @@ def normalize(
     offset = F.col("tz_offset_minutes")
     ms = F.col("ts_ms")
     metadata = redact_json(F.col("metadata")) if settings.redact_secrets else F.col("metadata")
-    keyed = staged.withColumn("dedupe_key", key)
+    keyed = staged.withColumn("dedupe_key", key).withColumn("price", price_of(F.col("model")))
     events = keyed.select(
         ids.event_id(F.col("dedupe_key")).alias("event_id"),
         "dedupe_key",
@@ -165,7 +165,7 @@ def normalize(
         "output_tokens",
         "cache_read_tokens",
         "cache_write_tokens",
-        estimate_cost_usd(F.col("model"), usage).alias("estimated_cost_usd"),
+        estimate_cost_usd(F.col("price"), usage).alias("estimated_cost_usd"),
         "duration_ms",
         "source_version",
         F.lit(INGEST_VERSION).alias("ingest_version"),
@@ -205,8 +205,6 @@ def prompt_row(settings: Settings, with_kinds: bool = False) -> Column:
             fields.append(r["kinds"].alias("redaction_kinds"))
         return F.struct(*fields)
 
-    from usagelake.functions.exprs import let
-
     is_prompt = (F.col("event_type") == "prompt") & raw.isNotNull()
     return F.when(is_prompt, let(redacted, build))
 
@@ -252,7 +250,7 @@ def split_tables(normalized: DataFrame) -> Tables:
 
     def side(name: str) -> DataFrame:
         rows = normalized.where(F.col("event_type") == name)
-        extra = ["session_id"] if name == "tool_call" else []
+        extra = ["local_date", "provider_id"] + (["session_id"] if name == "tool_call" else [])
         # Exploding evaluates the struct once; selecting its fields would repeat it per field.
         present = F.explode(F.array_compact(F.array(name))).alias("row")
         return rows.select("event_id", *extra, present).select("event_id", *extra, "row.*")
@@ -265,6 +263,23 @@ def split_tables(normalized: DataFrame) -> Tables:
     )
 
 
+def stored_tables(log: DataFrame) -> Tables:
+    """The same tables as column-pruned views of a normalised log that was written out."""
+
+    def side(name: str) -> DataFrame:
+        extra = ["local_date", "provider_id"] + (["session_id"] if name == "tool_call" else [])
+        return log.where((F.col("event_type") == name) & F.col(name).isNotNull()).select(
+            "event_id", *extra, f"{name}.*"
+        )
+
+    return Tables(
+        events=log.select(*EVENT_COLUMNS, "external_session_id", "project_path"),
+        prompts=side("prompt"),
+        responses=side("response"),
+        tool_calls=side("tool_call"),
+    )
+
+
 def project_rows(normalized: DataFrame, remotes: DataFrame | None = None) -> DataFrame:
     """Project dimension seen in a batch: one row per project with first and last sighting.
 

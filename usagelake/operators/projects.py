@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from usagelake.contract import DEFAULT_IDLE_MS, TAIL_MS, EventFilters, Tables
 from usagelake.operators.active import active_time
-from usagelake.operators.filters import apply_filters
+from usagelake.operators.filters import apply_filters, prune
 from usagelake.operators.totals import count_if
 
 # Fixed value: how many parent directories are searched for a repository root.
@@ -106,6 +106,7 @@ def top_per_project(
     tables: Tables, dimension: str, f: EventFilters | None = None, top_n: int = 5
 ) -> DataFrame:
     """The most frequent categories, technologies or models of each project in the slice."""
+    tables = prune(tables, f)
     sliced = apply_filters(tables, f).where(F.col("project_id").isNotNull())
     if dimension == "category":
         keyed = sliced.select("event_id", "project_id").join(

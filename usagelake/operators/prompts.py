@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from usagelake.contract import EventFilters, Tables
 from usagelake.functions import text as tx
 from usagelake.operators.asof import next_responses
-from usagelake.operators.filters import after_cursor, apply_filters
+from usagelake.operators.filters import after_cursor, apply_filters, prune
 from usagelake.rules.words import STOP_WORDS
 
 MAX_QUERY_TOKENS = 12
@@ -53,6 +53,7 @@ def search(
     limit: int = 50, cursor: tuple[int, str] | None = None,
 ) -> DataFrame:
     """Page of prompts, newest first, ``limit + 1`` rows so the caller knows there are more."""
+    tables = prune(tables, f)
     prompts = apply_filters(tables, f, event_type="prompt")
     if cursor is not None:
         prompts = prompts.where(after_cursor(*cursor))
@@ -179,6 +180,7 @@ def details(tables: Tables, prompts: DataFrame) -> DataFrame:
 
 def repeated(tables: Tables, f: EventFilters | None = None, limit: int | None = None) -> DataFrame:
     """Prompts asked more than once, by fingerprint."""
+    tables = prune(tables, f)
     prompts = apply_filters(tables, f, event_type="prompt").select("event_id", "ts_ms")
     grouped = (
         prompts.join(
@@ -200,6 +202,7 @@ def repeated(tables: Tables, f: EventFilters | None = None, limit: int | None =
 
 
 def length_stats(tables: Tables, f: EventFilters | None = None) -> DataFrame:
+    tables = prune(tables, f)
     prompts = apply_filters(tables, f, event_type="prompt").select("event_id")
     return prompts.join(
         tables.prompts.select("event_id", "char_length", "word_length"), "event_id"
@@ -214,6 +217,7 @@ def recent_previews(
     tables: Tables, f: EventFilters | None = None, limit: int = THEME_SAMPLE
 ) -> DataFrame:
     """The newest previews; "recent" is the feature, so the count is a parameter of it."""
+    tables = prune(tables, f)
     prompts = apply_filters(tables, f, event_type="prompt").select("event_id", "ts_ms")
     return (
         prompts.join(

@@ -11,7 +11,7 @@ from usagelake.contract import DEFAULT_IDLE_MS, TAIL_MS, EventFilters, Tables
 from usagelake.functions import measures, timeutil
 from usagelake.functions.ids import is_real_model
 from usagelake.operators.active import active_by_day, active_time
-from usagelake.operators.filters import apply_filters
+from usagelake.operators.filters import apply_filters, prune
 
 TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
 
@@ -129,6 +129,7 @@ def by_provider(tables: Tables, f: EventFilters | None = None) -> DataFrame:
 def by_category(tables: Tables, f: EventFilters | None = None,
                 by: Sequence[str] = ()) -> DataFrame:
     """Prompts per category; a prompt with no classification counts as Other."""
+    tables = prune(tables, f)
     prompts = apply_filters(tables, f, event_type="prompt")
     return category_counts(prompts, tables.classifications, by)
 
@@ -175,6 +176,7 @@ def by_project(tables: Tables, f: EventFilters | None = None, limit: int = 100)
 
 def by_technology(tables: Tables, f: EventFilters | None = None, limit: int = 100) -> DataFrame:
     """Prompt and technology pairs counted once each."""
+    tables = prune(tables, f)
     prompts = apply_filters(tables, f, event_type="prompt").select("event_id")
     counted = (
         prompts.join(tables.technologies.select("event_id", "technology"), "event_id")
@@ -187,6 +189,7 @@ def by_technology(tables: Tables, f: EventFilters | None = None, limit: int = 10
 def by_context(
     tables: Tables, f: EventFilters | None = None, technology: str | None = None
 ) -> DataFrame:
+    tables = prune(tables, f)
     prompts = apply_filters(tables, f, event_type="prompt").select("event_id")
     if technology:
         wanted = tables.technologies.where(F.col("technology") == technology)
@@ -202,6 +205,7 @@ def technology_contexts(
     tables: Tables, f: EventFilters | None = None, limit: int = 40, top_contexts: int = 4
 ) -> DataFrame:
     """Technologies with the task areas they were used in, in one pass over the pairs."""
+    tables = prune(tables, f)
     prompts = apply_filters(tables, f, event_type="prompt").select("event_id")
     techs = prompts.join(tables.technologies.select("event_id", "technology"), "event_id")
     counted = top(

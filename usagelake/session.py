@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "usagelake", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,3 +28,12 @@ def build_session(app: str = "usagelake", master: str | None = None, **conf: str
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute rows only when the input has fewer splits than the cluster has cores.
+
+    A large input arrives in more splits than that and passes through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from usagelake.contract import EventFilters, Settings, Tables
 from usagelake.functions.timeutil import iso_utc
-from usagelake.operators.filters import apply_filters
+from usagelake.operators.filters import apply_filters, prune
 from usagelake.operators.maintenance import table_counts
 
 FORMAT_VERSION = 1
@@ -41,6 +41,7 @@ def export_rows(
     Without prompt text (by choice or in metadata-only mode) the column is all null and the text
     is never read.
     """
+    tables = prune(tables, f)
     keep_text = include_prompts and not (settings and settings.metadata_only)
     text = F.col("text") if keep_text else F.lit(None).cast("string")
     technologies = tables.technologies.groupBy("event_id").agg(

@@ -7,13 +7,17 @@ grows with the tables. ``events`` gives the machine traffic (and short typed pro
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelake.contract import Settings, Tables
 from usagelake.functions import ids
 from usagelake.operators import enrichment, normalize as nz
-from usagelake.operators.asof import link_prompt_models
+from usagelake.session import spread
+from usagelake.sources.store import EventStore
 
 IDLE_MS = 30 * 60 * 1000
 ZONE = "America/New_York"
@@ -60,6 +64,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_text(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, spread over all cores when it comes in few files."""
+    return spread(load(spark, sf_dir, name))
+
+
 def pick(values, index: Column) -> Column:
     return F.array(*[F.lit(v) for v in values])[index.cast("int")]
 
@@ -149,7 +158,7 @@ def raw_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load(spark, sf_dir, "documents")
+    d = load_text(spark, sf_dir, "documents")
     i = F.col("doc_id")
     ms = F.lit(DAY0_MS + 4 * 86_400_000) + i * 97_000
     return d.select(
@@ -192,23 +201,51 @@ def providers(raw: DataFrame) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, sf_dir: str, linked: bool = False, enriched: bool = True,
-           settings: Settings = SETTINGS) -> Tables:
-    """The log with its side tables, planned lazily: unused tables cost nothing."""
-    raw = raw_log(spark, sf_dir)
-    normalized = nz.normalize(raw, settings)
-    base = nz.split_tables(normalized)
-    events = base.events
-    if linked:
-        events = link_prompt_models(events).drop("linked")
-    out = base.but(
-        events=events, projects=nz.project_rows(normalized), providers=providers(raw)
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors reach: the cluster's checkpoint folder, a fresh one only in tests."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or (
+        spark.sparkContext.getCheckpointDir()
     )
-    if not enriched:
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="usagelake-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
+
+
+_BUILT: set[str] = set()
+
+
+def store(spark: SparkSession, sf_dir: str) -> EventStore:
+    """The driver's tables ingested once per application into an event store.
+
+    Questions read the stored log the way they do in production: partitioned, column-pruned, with
+    the text work of ingest and enrichment already done.
+    """
+    name = f"{spark.sparkContext.applicationId}-{hashlib.sha1(sf_dir.encode()).hexdigest()[:10]}"
+    out = EventStore(spark, f"{shared_folder(spark)}/usagelake/{name}", by_provider=False)
+    if out.root in _BUILT:
         return out
-    rows = enrichment.annotate(enrichment.pending(out))
-    return out.but(
-        classifications=enrichment.classification_rows(rows),
-        technologies=enrichment.technology_rows(rows),
-        contexts=enrichment.context_rows(rows),
+    ingest(spark, sf_dir, out)
+    _BUILT.add(out.root)
+    return out
+
+
+def ingest(spark: SparkSession, sf_dir: str, out: EventStore) -> None:
+    """Normalise the log, then enrich its prompts; each pass is written before the next reads it."""
+    out.write("log", nz.normalize(raw_log(spark, sf_dir), SETTINGS))
+    fresh = nz.stored_tables(out.read("log"))
+    out.write("annotations", enrichment.annotate(enrichment.pending(fresh)).drop("text"))
+    out.write("projects", nz.project_rows(out.read("log")))
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    saved = store(spark, sf_dir)
+    notes = saved.read("annotations")
+    log = saved.read("log")
+    return nz.stored_tables(log).but(
+        classifications=enrichment.classification_rows(notes),
+        technologies=enrichment.technology_rows(notes),
+        contexts=enrichment.context_rows(notes),
+        projects=saved.read("projects"),
+        providers=providers(log),
     )
