@@ -22,23 +22,28 @@ _EVENT = (
 )
 
 
-def read_lines(spark: SparkSession, directory: str, modified_after: str | None = None) -> DataFrame:
-    """Lines of every ``*.jsonl`` file at most six directories down, with where they came from.
+def read_lines(
+    spark: SparkSession, directory: str, modified_after: str | None = None,
+    pattern: str = "*.jsonl",
+) -> DataFrame:
+    """Lines of every transcript file at most six directories down, with where they came from.
 
     A grown file is simply read again: the merge is idempotent, so no byte offsets are kept.
     ``modified_after`` prunes files that have not changed since the last scan.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
     return _located(reader.option("lineSep", "\n").text(directory), directory)
 
 
-def stream_lines(spark: SparkSession, directory: str, max_files: int = 1000) -> DataFrame:
+def stream_lines(
+    spark: SparkSession, directory: str, max_files: int = 1000, pattern: str = "*.jsonl"
+) -> DataFrame:
     """The same lines as a stream over immutable (rotated) transcript files."""
     stream = (
         spark.readStream.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.jsonl")
+        .option("pathGlobFilter", pattern)
         .option("maxFilesPerTrigger", max_files)
         .option("lineSep", "\n")
         .text(directory)
@@ -91,12 +96,12 @@ def changed_files(current: DataFrame, watermarks: DataFrame) -> DataFrame:
     ).drop("old_size", "old_hash")
 
 
-def file_heads(spark: SparkSession, directory: str) -> DataFrame:
+def file_heads(spark: SparkSession, directory: str, pattern: str = "*.jsonl") -> DataFrame:
     """Size and hash of the first bytes of each transcript, for rewrite detection."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.jsonl")
+        .option("pathGlobFilter", pattern)
         .load(directory)
     )
     return files.select(
