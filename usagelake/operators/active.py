@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelake.contract import DEFAULT_IDLE_MS, TAIL_MS
@@ -24,6 +24,11 @@ from usagelake.contract import DEFAULT_IDLE_MS, TAIL_MS
 BUCKET_MS = 600_000
 
 
+def _clamped(gap: Column, idle_ms: int) -> Column:
+    """Null stays null: ``least`` alone would turn a missing predecessor into a full idle gap."""
+    return F.when(gap <= idle_ms, gap).when(gap > idle_ms, F.lit(idle_ms))
+
+
 def session_days(
     events: DataFrame, idle_ms: int = DEFAULT_IDLE_MS, slice_by: Sequence[str] = ()
 ) -> DataFrame:
@@ -45,7 +50,7 @@ def session_days(
     inside = Window.partitionBy(*keys, "bucket").orderBy("ts_ms", "local_date")
     gaps = points.withColumn("prev_ms", F.lag("ts_ms").over(inside))
     per_bucket = gaps.groupBy(*keys, "bucket", "local_date").agg(
-        F.sum(F.least(F.col("ts_ms") - F.col("prev_ms"), F.lit(idle_ms))).alias("inner_ms"),
+        F.sum(_clamped(F.col("ts_ms") - F.col("prev_ms"), idle_ms)).alias("inner_ms"),
         F.min(F.when(F.col("prev_ms").isNull(), F.col("ts_ms"))).alias("head_ms"),
         F.max("ts_ms").alias("last_ms"),
     )
@@ -53,9 +58,7 @@ def session_days(
         Window.partitionBy(*keys).orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
     )
     carried = F.col("head_ms") - F.max("last_ms").over(earlier)
-    gap = F.coalesce("inner_ms", F.lit(0)) + F.coalesce(
-        F.least(carried, F.lit(idle_ms)), F.lit(0)
-    )
+    gap = F.coalesce("inner_ms", F.lit(0)) + F.coalesce(_clamped(carried, idle_ms), F.lit(0))
     return (
         per_bucket.withColumn("gap_ms", gap)
         .groupBy(*keys, "local_date")

@@ -322,7 +322,8 @@ def provider_activity(events: DataFrame) -> DataFrame:
 
 def provider_summary(tables: Tables) -> DataFrame:
     """Every provider with what it sent; a paused one keeps its row."""
-    return tables.providers.join(provider_activity(tables.events), "provider_id", "left").select(
+    known = tables.providers.select("provider_id", "name", "enabled")
+    return known.join(provider_activity(tables.events), "provider_id", "left").select(
         "provider_id", "name", "enabled",
         F.when(F.col("enabled"), "connected").otherwise("paused").alias("status"),
         F.coalesce("event_count", F.lit(0)).alias("event_count"), "last_event_ms",
