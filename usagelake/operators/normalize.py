@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,13 +172,26 @@ def normalize(
         F.lit(INGEST_VERSION).alias("ingest_version"),
         F.lit(0).alias("enrichment_version"),
         metadata.alias("metadata"),
-        prompt_row(settings, with_kinds).alias("prompt"),
-        response_row(settings).alias("response"),
+        _planned(prompt_row, settings, with_kinds).alias("prompt"),
+        _planned(response_row, settings).alias("response"),
         tool_row().alias("tool_call"),
     )
     return events
 
 
+_PLANNED: dict[tuple, Column] = {}
+
+
+def _planned(build, settings: Settings, *args) -> Column:
+    """The text columns are long expressions that depend on the settings alone; every batch of a
+    stream uses the same ones, so they are built once per JVM."""
+    key = (id(SparkContext._gateway), build.__name__, settings.redact_secrets,
+           settings.metadata_only, settings.store_responses, *args)
+    if key not in _PLANNED:
+        _PLANNED[key] = build(settings, *args)
+    return _PLANNED[key]
+
+
 def prompt_row(settings: Settings, with_kinds: bool = False) -> Column:
     """Stored form of a prompt; measures are of the original text, only the text is redacted."""
     raw = F.col("prompt")

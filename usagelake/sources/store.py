@@ -57,14 +57,22 @@ class EventStore:
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*keys) if keys else writer).parquet(self.path(name))
 
+    def finished(self, path: str) -> bool:
+        """Whether a write to the path ran to its end, on whatever file system it lies."""
+        marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        return marker.getFileSystem(conf).exists(marker)
+
     def stage(self, batch_id: str, name: str, df: DataFrame) -> DataFrame:
         """Write a frame to the batch's staging folder and read it back.
 
         Cuts the lineage and survives lost executors. A staged frame of a batch that is run again
-        is reused, so the retry applies exactly what the first attempt computed.
+        is reused, so the retry applies exactly what the first attempt computed; one that was
+        left unfinished is written again.
         """
         path = f"{self.root}/_staging/{batch_id}/{name}"
-        df.write.mode("ignore").parquet(path)
+        if not self.finished(path):
+            df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def tables(self) -> Tables:
