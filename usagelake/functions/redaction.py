@@ -43,7 +43,8 @@ def _apply(state: Column, rule: SecretRule) -> Column:
     value turns out to be a placeholder.
     """
     flags = "(?i)" if rule.ignore_case else ""
-    pattern = f"{flags}({_java(rule.before)})({_java(rule.secret)})({_java(rule.after)})"
+    before = rule.anchored or rule.before
+    pattern = f"{flags}({_java(before)})({_java(rule.secret)})({_java(rule.after)})"
     text = state["text"]
     marked = F.regexp_replace(text, pattern, f"$1{_OPEN}$2{_CLOSE}$3")
     if rule.before:

@@ -19,7 +19,10 @@ FINGERPRINT_NOISE = (
     ("url", ("://",), r"h(?<!\wh)ttps?://" + NON_SPACE + "+"),
     ("uuid", ("-",), r"[0-9a-f](?<!\w[0-9a-f])[0-9a-f]{7}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}"
      r"-[0-9a-f]{12}" + EDGE),
-    ("path", ("/", "\\"), r"(?:[A-Za-z]:)?[\\/](?:[\w.@-]+[\\/])+[\w.@-]+"),
+    # Two or more segments. Possessive, because a repeated group that may backtrack recurses once
+    # per segment and a long enough path would overflow the stack of the task.
+    ("path", ("/", "\\"),
+     r"(?:[A-Za-z]:)?[\\/](?:[\w.@-]++[\\/](?=[\w.@-]))++[\w.@-]++"),
     ("number", (), r"\d(?<!\w\d)[\d.,_-]*" + EDGE),
 )
 PREVIEW_LENGTH = 220

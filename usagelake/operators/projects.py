@@ -96,10 +96,11 @@ def project_details(
     active = active_time(sliced, ["project_id"], ["project_id"], idle_ms, tail_ms).select(
         "project_id", "active_ms"
     )
-    return page.join(active, "project_id", "left").select(
+    out = page.join(active, "project_id", "left").select(
         "project_id", "name", "path", "repository", "prompts", "sessions",
         F.coalesce("active_ms", F.lit(0)).alias("active_ms"), "last_activity_ms",
     )
+    return out if limit is None else out.orderBy(F.desc("prompts"), "project_id")
 
 
 def top_per_project(

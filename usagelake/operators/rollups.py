@@ -179,8 +179,10 @@ def rollup_by(
     if names is None:
         return page.select("key", F.col("key").alias("name"), "count")
     named = names.select(F.col(dimension).alias("key"), "name")
-    return page.join(named, "key", "left").select(
-        "key", F.coalesce("name", "key").alias("name"), "count"
+    return top(
+        page.join(named, "key", "left").select(
+            "key", F.coalesce("name", "key").alias("name"), "count"
+        ), None,
     )
 
 

@@ -178,6 +178,8 @@ def session_list(
     )
     from_ms = _epoch_ms(range_from) if range_from else None
     before = F.lit(False) if from_ms is None else F.col("session_started_ms") < from_ms
+    if limit is not None:
+        named = named.orderBy(F.desc("ended_ms"), F.desc("session_id"))
     return named.select(
         "session_id", "external_id", "provider_id",
         F.coalesce("provider_name", "provider_id").alias("provider_name"),

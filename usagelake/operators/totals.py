@@ -25,8 +25,13 @@ def token_sums(columns: Sequence[str] = TOKENS) -> list[Column]:
 
 
 def cost_sum() -> Column:
-    """Not coalesced: a group with no priced model is unknown, not free."""
-    return F.sum("estimated_cost_usd").alias("estimated_cost_usd")
+    """Not coalesced: a group with no priced model is unknown, not free.
+
+    Costs are whole millionths, so they are added as integers: the same total whatever order the
+    partitions arrive in.
+    """
+    micros = F.sum(F.round(F.col("estimated_cost_usd") * 1_000_000.0).cast("bigint"))
+    return (micros / F.lit(1_000_000.0)).alias("estimated_cost_usd")
 
 
 def counters(events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -169,9 +174,10 @@ def by_project(tables: Tables, f: EventFilters | None = None, limit: int = 100)
         .agg(F.count(F.lit(1)).alias("count"))
     )
     names = tables.projects.select(F.col("project_id").alias("key"), "name")
-    return top(counted, limit).join(names, "key", "left").select(
+    named = top(counted, limit).join(names, "key", "left").select(
         "key", F.coalesce("name", F.lit("Unknown")).alias("name"), "count"
     )
+    return top(named, None)
 
 
 def by_technology(tables: Tables, f: EventFilters | None = None, limit: int = 100) -> DataFrame:
@@ -231,7 +237,7 @@ def technology_contexts(
             F.transform("areas", lambda a: F.struct(a["context"], a["n"].alias("count"))),
             F.array().cast("array<struct<context:string,count:bigint>>"),
         ).alias("contexts"),
-    )
+    ).orderBy(F.desc("prompts"), "technology")
 
 
 def by_model(events: DataFrame) -> DataFrame:

@@ -17,6 +17,9 @@ class SecretRule(NamedTuple):
     after: str
     ignore_case: bool
     hints: tuple[str, ...]
+    #: ``before`` anchored to the start of a run of key characters: the same matches, found without
+    #: trying every position of a long run again.
+    anchored: str = ""
 
 
 # Credential formats, applied in this order.
@@ -47,6 +50,9 @@ SECRET_RULES = (
         r"""|SESSION[_-]?TOKEN)[A-Za-z0-9_-]*\b["'`]?\s*[=:]\s*["'`]?""",
         r"""[^\s"'`,;}\]]{8,}""", r"""["'`]?""", True,
         ("key", "secret", "token", "passw", "credential"),
+        r"""["'`]?(?<![A-Za-z0-9_-])-*\b[A-Za-z0-9_-]*(?:API[_-]?KEY|SECRET|SECRET[_-]?KEY"""
+        r"""|ACCESS[_-]?TOKEN|AUTH[_-]?TOKEN|PASSWORD|PASSWD|PRIVATE[_-]?KEY|CLIENT[_-]?SECRET"""
+        r"""|CREDENTIAL|SESSION[_-]?TOKEN)[A-Za-z0-9_-]*\b["'`]?\s*[=:]\s*["'`]?""",
     ),
 )
 
