@@ -19,22 +19,41 @@ CLASSIFICATION = "struct<category:string,confidence:double,version:int>"
 DETECTIONS = "array<struct<name:string,confidence:double>>"
 
 
-def term_hits(normalized: Column, terms) -> Column:
-    """Distinct terms that occur in the normalised text as whole words."""
+LEXICON_TERMS = tuple(t for _, _, terms in intent.LEXICONS for t in terms)
+ALIASES = tuple(a for t in technology.TECHNOLOGIES for a in t.aliases)
+AREA_TERMS = tuple(t for _, terms in technology.CONTEXT_TERMS for t in terms)
+ALL_TERMS = tuple(dict.fromkeys((*LEXICON_TERMS, *ALIASES, *AREA_TERMS)))
+
+
+def term_hits(normalized: Column, terms=ALL_TERMS) -> Column:
+    """Distinct terms that occur in the normalised text as whole words.
+
+    One set intersection with the text's tokens answers the single words. A phrase is searched for
+    only when its longest word is among the tokens, which leaves few substring searches per text.
+    """
     terms = list(dict.fromkeys(terms))
     words = [t for t in terms if " " not in t]
     phrases = [t for t in terms if " " in t]
-    hits = F.array_intersect(F.split(normalized, " "), string_array(words))
+    keys = [max(t.split(" "), key=len) for t in phrases]
+    tokens = F.split(normalized, " ")
     if not phrases:
-        return hits
+        return F.array_intersect(tokens, string_array(words))
     padded = F.concat(F.lit(" "), normalized, F.lit(" "))
-    found = let(
-        padded,
-        lambda p: F.filter(
-            string_array(phrases), lambda t: F.contains(p, F.concat(F.lit(" "), t, F.lit(" ")))
-        ),
-    )
-    return F.concat(hits, found)
+    spaced, leading = string_array([f" {t} " for t in phrases]), string_array(keys)
+
+    def search(state: Column) -> Column:
+        found = F.filter(
+            spaced,
+            lambda t, i: F.array_contains(state["present"], F.get(leading, i))
+            & F.contains(state["padded"], t),
+        )
+        return F.concat(
+            F.array_intersect(state["present"], string_array(words)),
+            F.transform(found, lambda t: F.trim(t)),
+        )
+
+    present = F.array_intersect(tokens, string_array(list(dict.fromkeys(words + keys))))
+    return let(F.struct(present.alias("present"), padded.alias("padded")), search)
 
 
 def _lexicon_scores(hits: Column) -> list[Column]:
@@ -45,16 +64,28 @@ def _lexicon_scores(hits: Column) -> list[Column]:
 
 
 def _verb_head(normalized: Column) -> Column:
-    """Index of the first opening verb that matches, or -1."""
-    out = F.lit(-1)
-    for index in range(len(intent.VERB_HEADS) - 1, -1, -1):
-        out = F.when(normalized.rlike(intent.VERB_HEADS[index][2]), index).otherwise(out)
-    return out
+    """Index of the first opening verb that matches, or -1.
+
+    Every opening is anchored at the start and at most four words long, so the first four words
+    decide it, however long the text.
+    """
+
+    def first(opening: Column) -> Column:
+        out = F.lit(-1)
+        for index in range(len(intent.VERB_HEADS) - 1, -1, -1):
+            out = F.when(opening.rlike(intent.VERB_HEADS[index][2]), index).otherwise(out)
+        return out
+
+    return let(F.substring_index(normalized, " ", 4), first)
 
 
-def intent_scores(normalized: Column, tools: Column | None = None) -> Column:
+def intent_scores(
+    normalized: Column, tools: Column | None = None, hits: Column | None = None
+) -> Column:
     """Scored categories of a normalised text, best first: ``array<struct<category,score>>``.
 
+    ``hits`` are the text's rule terms where the caller already has them.
+
     Evidence comes from the lexicons, then the opening verb, then the tools that ran; a category
     that scores first wins a tie.
     """
@@ -65,14 +96,13 @@ def intent_scores(normalized: Column, tools: Column | None = None) -> Column:
     tool_rank = verb_rank + 1
 
     def score(n: Column) -> Column:
-        def with_hits(hits: Column) -> Column:
+        def with_hits(found: Column) -> Column:
             return let(
-                F.array(*_lexicon_scores(hits)),
+                F.array(*_lexicon_scores(found)),
                 lambda lexicon: let(_verb_head(n), lambda verb: assemble(lexicon, verb)),
             )
 
-        all_terms = [t for _, _, terms in intent.LEXICONS for t in terms]
-        return let(term_hits(n, all_terms), with_hits)
+        return let(hits if hits is not None else term_hits(n, LEXICON_TERMS), with_hits)
 
     def assemble(lexicon: Column, verb: Column) -> Column:
         entries = []
@@ -108,7 +138,7 @@ def intent_scores(normalized: Column, tools: Column | None = None) -> Column:
             )
         scored = F.filter(F.array(*entries), lambda e: e["neg_score"] < 0)
         return F.transform(
-            F.array_sort(scored),
+            F.sort_array(scored),
             lambda e: F.struct(
                 e["category"].alias("category"), (-e["neg_score"]).alias("score")
             ),
@@ -159,21 +189,22 @@ def classify(text: Column, tools: Column | None = None) -> Column:
     return classify_normalized(normalized_text(F.coalesce(text, F.lit(""))), tools)
 
 
-def classify_normalized(normalized: Column, tools: Column | None = None) -> Column:
-    return outcome(intent_scores(normalized, tools))
+def classify_normalized(
+    normalized: Column, tools: Column | None = None, hits: Column | None = None
+) -> Column:
+    return outcome(intent_scores(normalized, tools, hits))
 
 
 def detect_technologies(
     text: Column, project_technologies: Column | None = None,
-    extra_extensions: Column | None = None, normalized: Column | None = None,
+    extra_extensions: Column | None = None, hits: Column | None = None,
 ) -> Column:
     """At most eight technologies, most certain first: ``array<struct<name,confidence>>``.
 
-    ``normalized`` is the normalised text where the caller already has it.
+    ``hits`` are the text's rule terms where the caller already has them.
     """
-    if normalized is None:
-        normalized = normalized_text(F.coalesce(text, F.lit("")))
-    aliases = [a for t in technology.TECHNOLOGIES for a in t.aliases]
+    if hits is None:
+        hits = term_hits(normalized_text(F.coalesce(text, F.lit(""))), ALIASES)
     extensions = extensions_in(F.coalesce(text, F.lit("")))
     if extra_extensions is not None:
         extensions = F.concat(extensions, F.transform(extra_extensions, F.lower))
@@ -209,7 +240,7 @@ def detect_technologies(
             F.concat(found, added),
             lambda e: F.struct((-e["confidence"]).alias("neg"), e["name"].alias("name")),
         )
-        top = F.slice(F.array_sort(keyed), 1, technology.MAX_TECHNOLOGIES)
+        top = F.slice(F.sort_array(keyed), 1, technology.MAX_TECHNOLOGIES)
         return F.transform(
             top, lambda e: F.struct(e["name"].alias("name"), (-e["neg"]).alias("confidence"))
         )
@@ -218,7 +249,7 @@ def detect_technologies(
     known_ext = [e for t in technology.TECHNOLOGIES for e in t.extensions]
     return let(
         F.struct(
-            term_hits(normalized, aliases).alias("hits"),
+            F.array_intersect(hits, string_array(ALIASES)).alias("hits"),
             F.array_intersect(extensions, string_array(known_ext)).alias("exts"),
         ),
         lambda s: F.when(
@@ -227,9 +258,10 @@ def detect_technologies(
     ).cast(DETECTIONS)
 
 
-def detect_contexts(normalized: Column, technologies: Column) -> Column:
+def detect_contexts(
+    normalized: Column, technologies: Column, hits: Column | None = None
+) -> Column:
     """At most four task areas of a normalised text with their share of the evidence."""
-    terms = [t for _, ts in technology.CONTEXT_TERMS for t in ts]
     by_context = {
         context: [t.name for t in technology.TECHNOLOGIES if context in t.contexts]
         for context in TASK_CONTEXTS
@@ -286,12 +318,12 @@ def detect_contexts(normalized: Column, technologies: Column) -> Column:
                 ),
             )
             kept = F.filter(rounded, lambda e: -e["neg"] >= technology.CONTEXT_FLOOR)
-            top = F.slice(F.array_sort(kept), 1, technology.MAX_CONTEXTS)
+            top = F.slice(F.sort_array(kept), 1, technology.MAX_CONTEXTS)
             return F.transform(
                 top, lambda e: F.struct(e["name"].alias("name"), (-e["neg"]).alias("confidence"))
             )
 
         return let(total, over)
 
-    found = let(term_hits(normalized, terms), shares)
+    found = let(hits if hits is not None else term_hits(normalized, AREA_TERMS), shares)
     return F.coalesce(found, F.array().cast(DETECTIONS)).cast(DETECTIONS)

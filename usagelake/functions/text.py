@@ -64,19 +64,31 @@ def text_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def collapsed(text: Column) -> Column:
+    """White space runs as single spaces, none at the ends."""
+    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+
+
+def words_in(flat: Column) -> Column:
+    """Words of collapsed text: one more than its spaces, none when empty."""
+    spaces = F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit("")))
+    return F.when(flat == "", 0).otherwise(spaces + 1)
+
+
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(NON_SPACE + "+"))
+    return let(collapsed(text), words_in)
 
 
-def preview(text: Column, max_length: int = PREVIEW_LENGTH) -> Column:
-    return let(
-        F.trim(F.regexp_replace(text, SPACE + "+", " ")),
-        lambda t: F.when(F.length(t) <= max_length, t).otherwise(
-            F.concat(F.substring(t, 1, max_length - 1), F.lit("…"))
-        ),
+def shortened(flat: Column, max_length: int = PREVIEW_LENGTH) -> Column:
+    return F.when(F.length(flat) <= max_length, flat).otherwise(
+        F.concat(F.substring(flat, 1, max_length - 1), F.lit("…"))
     )
 
 
+def preview(text: Column, max_length: int = PREVIEW_LENGTH) -> Column:
+    return let(collapsed(text), lambda flat: shortened(flat, max_length))
+
+
 def extension_of_path(path: Column) -> Column:
     """Lower-cased file extension at the very end of a path, null when there is none."""
     return F.nullif(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})\z", 1)), F.lit(""))

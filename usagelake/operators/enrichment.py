@@ -57,19 +57,24 @@ def annotate(
         known = profiles.select("project_id", F.col("technologies").alias("profile"))
         rows = rows.join(known, "project_id", "left")
     text = F.coalesce("text", F.lit(""))
+    # One pass over the text finds the terms all three detectors ask about.
     named = once(rows, "normalized", normalized_text(text))
+    hit = once(named, "hits", cl.term_hits(F.col("normalized")))
     found = once(
-        named, "technologies",
-        cl.detect_technologies(text, F.col("profile"), normalized=F.col("normalized")),
+        hit, "technologies",
+        cl.detect_technologies(text, F.col("profile"), hits=F.col("hits")),
     )
     placed = once(
-        found, "contexts", cl.detect_contexts(F.col("normalized"), F.col("technologies"))
+        found, "contexts",
+        cl.detect_contexts(F.col("normalized"), F.col("technologies"), F.col("hits")),
     )
     if classifier is cl.classify:
-        label = cl.classify_normalized(F.col("normalized"), F.col("tool_names"))
+        label = cl.classify_normalized(
+            F.col("normalized"), F.col("tool_names"), F.col("hits")
+        )
     else:
         label = classifier(text, F.col("tool_names"))
-    return once(placed, "classification", label).drop("profile", "normalized")
+    return once(placed, "classification", label).drop("profile", "normalized", "hits")
 
 
 def classification_rows(annotated: DataFrame) -> DataFrame:

@@ -205,15 +205,20 @@ def prompt_row(settings: Settings, with_kinds: bool = False) -> Column:
     keep = F.lit(not settings.metadata_only)
 
     def build(r: Column) -> Column:
+        return let(tx.collapsed(raw), lambda flat: row(r, flat))
+
+    def row(r: Column, flat: Column) -> Column:
+        # What nothing was cut from needs no second pass for its preview.
+        shown = F.when(r["count"] == 0, flat).otherwise(tx.collapsed(r["text"]))
         fields = [
             F.when(keep, r["text"]).alias("text"),
             tx.text_hash(raw).alias("text_hash"),
             tx.fingerprint(raw).alias("normalized_hash"),
             utf16_length(raw).alias("char_length"),
-            tx.word_count(raw).alias("word_length"),
+            tx.words_in(flat).alias("word_length"),
             r["count"].alias("redaction_count"),
             # An empty stored text has no preview.
-            F.when(keep & (r["text"] != ""), tx.preview(r["text"])).alias("preview"),
+            F.when(keep & (r["text"] != ""), let(shown, lambda s: tx.shortened(s))).alias("preview"),
         ]
         if with_kinds:
             fields.append(r["kinds"].alias("redaction_kinds"))

@@ -221,7 +221,7 @@ def _(spark, sf):
     text = F.col("text")
     from usagelake.functions.exprs import utf16_length
 
-    return v.load_text(spark, sf, "documents").select(
+    return v.load_spread(spark, sf, "documents").select(
         "doc_id", tx.fingerprint(text).alias("fingerprint"), utf16_length(text).alias("chars"),
         tx.word_count(text).alias("words"), tx.preview(text).alias("preview"),
     )
@@ -231,7 +231,7 @@ def _(spark, sf):
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(
   regexp_extract_all(text, '[\w./\\@-]*\.([A-Za-z0-9]{1,8})\b', 1), lambda x: lower(x)))), '|') AS extensions FROM documents""")
 def _(spark, sf):
-    return v.load_text(spark, sf, "documents").select(
+    return v.load_spread(spark, sf, "documents").select(
         "doc_id", F.array_sort(tx.extensions_in(F.col("text"))).alias("extensions")
     )
 

@@ -64,8 +64,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def load_text(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts, spread over all cores when it comes in few files."""
+def load_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with work ahead of it, spread over all cores when it comes in few files."""
     return spread(load(spark, sf_dir, name))
 
 
@@ -82,7 +82,7 @@ def _null_if(condition: Column, value: Column) -> Column:
 
 
 def raw_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "events")
+    e = load_spread(spark, sf_dir, "events")
     i, u = F.col("event_id"), F.col("user_id")
     k = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     kinds = {"click": "prompt", "view": "response", "purchase": "tool_call",
@@ -158,7 +158,7 @@ def raw_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = load_text(spark, sf_dir, "documents")
+    d = load_spread(spark, sf_dir, "documents")
     i = F.col("doc_id")
     ms = F.lit(DAY0_MS + 4 * 86_400_000) + i * 97_000
     return d.select(
