@@ -12,7 +12,20 @@ from usagelake.contract import Tables
 PARTITIONED = ("log", "annotations", "events", "prompts", "responses", "tool_calls", "classifications", "technologies",
                "contexts")
 ROLLUPS = ("daily_rollups", "daily_active")
-DIMENSIONS = ("projects", "providers")
+
+_KEYS = "event_id string, local_date date, provider_id string"
+#: Side tables a young store may not hold yet.
+SIDE_SCHEMAS = {
+    "prompts": f"{_KEYS}, text string, text_hash string, normalized_hash string, char_length int, "
+               "word_length int, redaction_count int, preview string",
+    "responses": f"{_KEYS}, text string, char_length int, redaction_count int",
+    "tool_calls": f"{_KEYS}, session_id string, tool_name string, succeeded boolean, "
+                  "duration_ms bigint, target_extension string",
+    "classifications": f"{_KEYS}, category string, confidence double, source string, "
+                       "classifier_version int",
+    "technologies": f"{_KEYS}, technology string, confidence double, source string",
+    "contexts": f"{_KEYS}, context string, confidence double",
+}
 
 
 class EventStore:
@@ -76,7 +89,12 @@ class EventStore:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def tables(self) -> Tables:
-        return Tables(**{f.name: self.read(f.name) for f in fields(Tables)})
+        """Everything stored; a side table nothing was written to yet is empty."""
+        found = {f.name: self.read(f.name) for f in fields(Tables)}
+        for name, schema in SIDE_SCHEMAS.items():
+            if found[name] is None:
+                found[name] = self.spark.createDataFrame([], schema)
+        return Tables(**found)
 
     def write_tables(self, tables: Tables) -> None:
         for f in fields(Tables):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from usagelake.contract import ENRICHMENT_VERSION, Settings, Tables
+from usagelake.contract import ENRICHMENT_VERSION, Settings
 from usagelake.functions import classify as cl
 from usagelake.operators import asof, enrichment, merge, normalize as nz, rollups as ru
 from usagelake.operators.sessions import session_metrics
@@ -22,14 +22,6 @@ from usagelake.sources.store import EventStore
 
 DAYS = ["local_date", "provider_id"]
 SIDES = (("prompts", "prompt"), ("responses", "response"), ("tool_calls", "tool_call"))
-EMPTY = {
-    "classifications": "event_id string, local_date date, provider_id string, category string, "
-                       "confidence double, source string, classifier_version int",
-    "technologies": "event_id string, local_date date, provider_id string, technology string, "
-                    "confidence double, source string",
-    "contexts": "event_id string, local_date date, provider_id string, context string, "
-                "confidence double",
-}
 
 
 class Ingest:
@@ -149,21 +141,13 @@ class Ingest:
 
     # -- derived tables -----------------------------------------------------------------------
 
-    def tables(self) -> Tables:
-        found = self.store.tables()
-        missing = {
-            n: self.store.spark.createDataFrame([], schema)
-            for n, schema in EMPTY.items() if getattr(found, n) is None
-        }
-        return found.but(**missing)
-
     def refresh(self, touched: DataFrame, sessions: DataFrame | None, batch: str) -> None:
         """Rebuild the rollups of the touched (day, provider) pairs.
 
         A new event also shortens the gap before the next event of its session, which may lie on a
         later day, so active time is rebuilt for the later days of those sessions as well.
         """
-        store, t = self.store, self.tables()
+        store, t = self.store, self.store.tables()
         store.write("daily_rollups",
                     store.stage(batch, "daily_rollups", ru.daily_rollups(t, touched)))
         stale = touched
@@ -178,14 +162,14 @@ class Ingest:
 
     def rebuild(self, batch: str) -> None:
         """Rebuild all rollups, after an import with deferred rollups or a changed idle limit."""
-        t = self.tables()
+        t = self.store.tables()
         self.refresh(t.events.select(*DAYS).distinct(), None, batch)
 
     def enrich(self, batch: str, version: int = ENRICHMENT_VERSION,
                classifier: enrichment.Classifier = cl.classify,
                profiles: DataFrame | None = None) -> None:
         """Classify everything pending and rebuild what that touched."""
-        store, t = self.store, self.tables()
+        store, t = self.store, self.store.tables()
         rows = store.stage(
             batch, "annotated", enrichment.annotate(enrichment.pending(t, version), classifier,
                                                     profiles)
