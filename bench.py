@@ -3,8 +3,8 @@
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
 ``ingest`` normalises, redacts, merges and stores every source event and enriches its prompts; the
-questions then read the stored log. Each question is run once to warm up and then three times; the
-median is reported.
+questions then read the stored log. Each question is run once to warm up and then ``BENCH_RUNS``
+times (one by default); the median is reported.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 QUESTIONS = (
     "daily_usage", "totals", "active_time_by_day", "buckets_by_hour", "by_category", "by_project",
     "technology_contexts", "models_with_share", "session_list", "session_metrics",
