@@ -103,3 +103,17 @@ def lookup(rows: DataFrame, table: DataFrame, on: str, spread: str, salts: int =
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     parts = salted.select(on, "_salt").distinct().join(table, on)
     return salted.join(parts, [on, "_salt"]).drop("_salt")
+
+
+def keep_rows(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text are those of a row of ``chosen`` (doc_id, body_hash).
+
+    Rows that repeat both stay once. All columns are kept; the texts are shuffled once.
+    """
+    one, two = "_keep_key", "_keep_text"
+    key = F.xxhash64(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`"))
+    wanted = chosen.select(
+        F.xxhash64(F.col("doc_id").isNull(), "doc_id").alias(one), F.col("body_hash").alias(two)
+    ).distinct()
+    marked = docs.withColumn(one, key).withColumn(two, F.xxhash64(F.col(f"`{text}`")))
+    return marked.join(wanted, [one, two], "left_semi").dropDuplicates([one, two]).drop(one, two)

@@ -1,4 +1,4 @@
 """All queries of the subpackage; importing the modules registers them."""
 
-from . import exact_dedup, mixing, sharding  # noqa: F401
+from . import decontaminate, exact_dedup, language, mixing, sharding, simhash  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
