@@ -18,10 +18,12 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import keep_rows, read, stage
 from .registry import query
@@ -80,46 +82,54 @@ def _index_schema(doc_id: T.DataType) -> T.StructType:
 
 def build_index(docs: DataFrame, terms: dict[bytes, int], gap: int, doc_id: str, text: str) -> DataFrame:
     """Stored rows of two kinds: a document (term 0, n words from place ``first``) or a term's list."""
+    body, key = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
+    schema = _index_schema(docs.select(key).schema[0].dataType)
+    arrow = to_arrow_schema(schema)
     spread = docs.sparkSession.sparkContext.broadcast(terms)
-    names = [f.name for f in _index_schema(T.NullType()).fields]
 
-    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows_of(number: int, heads: list[pa.RecordBatch], words: list[int], parts: list[np.ndarray]):
+        """The index rows of one segment: its documents, then its lists."""
+        n = np.array(words, dtype=np.int64)
+        table = pa.Table.from_batches(heads)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(n), number)), pa.array(np.zeros(len(n), dtype=np.int32)), pa.array(n),
+            pa.nulls(len(n), pa.binary()), table.column(0).combine_chunks(), table.column(1).combine_chunks(),
+            pa.array(np.cumsum(n + gap) - n - gap),
+        ], schema=arrow)
+        place = np.concatenate(parts)
+        used = np.flatnonzero(place)
+        order = used[np.argsort(place[used], kind="stable")]
+        term, start, count = np.unique(place[order], return_index=True, return_counts=True)
+        steps = [np.diff(order[s:s + k], prepend=0).astype("<i4").tobytes() for s, k in zip(start, count)]
+        none = len(term)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(none, number)), pa.array(term.astype(np.int32)), pa.array(count.astype(np.int64)),
+            pa.array(steps, pa.binary()), pa.nulls(none, arrow.field("doc_id").type), pa.nulls(none, pa.int64()),
+            pa.nulls(none, pa.int64()),
+        ], schema=arrow)
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, space = spread.value, np.zeros(gap, dtype=np.int32)
         number = TaskContext.get().partitionId() << 32
-        parts: list[np.ndarray] = []
-        rows: list[tuple] = []
-        at = 0
-
-        def out() -> pd.DataFrame:
-            place = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
-            used = np.flatnonzero(place)
-            order = used[np.argsort(place[used], kind="stable")]
-            term, start, n = np.unique(place[order], return_index=True, return_counts=True)
-            lists = [
-                (number, int(t), int(k), np.diff(order[s:s + k], prepend=0).astype("<i4").tobytes(),
-                 None, None, None)
-                for t, s, k in zip(term, start, n)
-            ]
-            return pd.DataFrame(rows + lists, columns=names)
-
+        heads, words, parts, size = [], [], [], 0
         for batch in batches:
-            for key, body_hash, body in batch.itertuples(index=False, name=None):
-                words = words_of(body)
-                rows.append((number, 0, len(words), None, key, body_hash, at))
-                found = np.fromiter(map(known.get, words, repeat(0)), dtype=np.int32, count=len(words))
-                parts.append(np.append(found, space))
-                at += len(words) + gap
-                if at >= SEGMENT:
-                    yield out()
-                    number, parts, rows, at = number + 1, [], [], 0
-        if rows:
-            yield out()
-
-    body = F.col(f"`{text}`").cast("string")
-    key = F.col(f"`{doc_id}`")
-    kind = docs.select(key).schema[0].dataType
-    narrow = docs.select(key, F.xxhash64(F.col(f"`{text}`")), F.encode(body, "UTF-8"))
-    return stage(narrow.toDF("doc_id", "body_hash", "body").mapInPandas(segments, _index_schema(kind)))
+            begun = 0
+            for i, text in enumerate(batch.column(2)):
+                found = words_of(text.as_py())
+                words.append(len(found))
+                parts += [np.fromiter(map(known.get, found, repeat(0)), dtype=np.int32, count=len(found)), space]
+                size += len(found) + gap
+                if size >= SEGMENT:
+                    heads.append(batch.slice(begun, i + 1 - begun))
+                    yield from rows_of(number, heads, words, parts)
+                    number, begun, heads, words, parts, size = number + 1, i + 1, [], [], [], 0
+            if begun < batch.num_rows:
+                heads.append(batch.slice(begun))
+        if words:
+            yield from rows_of(number, heads, words, parts)
+
+    narrow = docs.select(key, F.xxhash64(body), F.encode(body.cast("string"), "UTF-8"))
+    return stage(narrow.toDF("doc_id", "body_hash", "body").mapInArrow(segments, schema))
 
 
 def _places(windows: list, slop: int, lists: dict[int, np.ndarray], size: int):
