@@ -27,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import keep_rows, read, stage
 from .registry import query
+from .words import words_of
 
 #: Words of a test window; an item of fewer words is one window.
 WINDOW = 10
@@ -38,19 +39,6 @@ SLOP = 3
 #: items of about this size, each block against the whole index.
 TEST_WORDS = 1 << 21
 
-_KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(0x80, 0x100))
-_FOLD = bytes(
-    (c + 32 if 0x41 <= c <= 0x5A else c) if (c + 32 if 0x41 <= c <= 0x5A else c) in _KEEP else 0x20
-    for c in range(256)
-)
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    """Words of a UTF-8 text: runs of ASCII digits, letters with A-Z in lower case, and all else
-    beyond ASCII."""
-    return (text or b"").translate(_FOLD).split()
-
-
 class Tests:
     """Windows of some benchmark items, with their terms as numbers from 1."""
 

@@ -1,4 +1,6 @@
 """All queries of the subpackage; importing the modules registers them."""
 
-from . import decontaminate, exact_dedup, language, mixing, sharding, simhash  # noqa: F401
+from . import (  # noqa: F401
+    decontaminate, exact_dedup, language, licenses, mixing, secrets, sharding, simhash,
+)
 from .registry import QUERIES, SQL  # noqa: F401
