@@ -1,6 +1,6 @@
 """All queries of the subpackage; importing the modules registers them."""
 
 from . import (  # noqa: F401
-    decontaminate, exact_dedup, language, licenses, line_dedup, mixing, secrets, sharding, simhash,
+    decontaminate, exact_dedup, language, licenses, line_dedup, mixing, quality, secrets, sharding, simhash,
 )
 from .registry import QUERIES, SQL  # noqa: F401
