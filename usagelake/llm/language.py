@@ -114,10 +114,10 @@ class Model:
         size = len(langs)
         scripts = np.zeros((OTHER + 1, size))
         pairs, thirds = np.zeros((SLOTS, size)), np.zeros((SLOTS, size))
-        at = counts["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy()
+        at = counts["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy(dtype=np.int64)
         for kind, table in enumerate((scripts, pairs, thirds)):
             rows = (counts["kind"] == kind).to_numpy()
-            table[counts["slot"].to_numpy()[rows], at[rows]] = counts["n"].to_numpy()[rows]
+            table[counts["slot"].to_numpy(dtype=np.int64)[rows], at[rows]] = counts["n"].to_numpy(dtype=np.float64)[rows]
         self.allowed = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1)
         self.thirds = np.log(thirds + ADDED).astype(np.float32)
         self.pairs = np.log(pairs + 32 * ADDED).astype(np.float32)
