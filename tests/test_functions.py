@@ -289,3 +289,18 @@ def test_hostile_texts_finish(spark, text):
         tx.fingerprint(F.col("x")).alias("f"), tx.extensions_in(F.col("x")).alias("e"),
         redaction.redact(F.col("x")).alias("r"), tx.preview(F.col("x")).alias("p")).first()
     assert row.r.text == text and len(row.f) == 64
+
+
+def test_json_redaction_at_any_depth_and_around_escapes(spark):
+    import json
+
+    deep = "password=hunter2hunter2"
+    for i in range(40):
+        deep = {"level": deep} if i % 2 else [deep, i]
+    plain = {"password": "kept key", "a\"b": "x\\", "c": "say \"password=hunter2hunter2\" \n now", "n": [1.50, True, None]}
+    docs = [json.dumps(deep), json.dumps(plain), "not json password=hunter2hunter2", None, "{}"]
+    got = values(spark, docs, redaction.redact_json(F.col("x")))
+    assert "hunter2" not in got[0] and json.loads(got[0]) is not None
+    assert json.loads(got[1]) == {**plain, "c": 'say "password=[redacted:assigned_secret]" \n now'}
+    assert got[2] == "not json password=[redacted:assigned_secret]"
+    assert got[3:] == [None, "{}"]

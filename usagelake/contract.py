@@ -30,7 +30,6 @@ CLASSIFIER_VERSION = 1
 DEFAULT_IDLE_MS = 5 * 60 * 1000
 TAIL_MS = 60 * 1000
 TOOL_LOOKAHEAD_MS = 5 * 60 * 1000
-MAX_BATCH_EVENTS = 2000
 
 #: What a source hands over: one row per event, before validation.
 EVENT_INPUT = T.StructType(

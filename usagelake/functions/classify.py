@@ -199,7 +199,7 @@ def detect_technologies(
     text: Column, project_technologies: Column | None = None,
     extra_extensions: Column | None = None, hits: Column | None = None,
 ) -> Column:
-    """At most eight technologies, most certain first: ``array<struct<name,confidence>>``.
+    """All technologies found, most certain first: ``array<struct<name,confidence>>``.
 
     ``hits`` are the text's rule terms where the caller already has them.
     """
@@ -240,7 +240,7 @@ def detect_technologies(
             F.concat(found, added),
             lambda e: F.struct((-e["confidence"]).alias("neg"), e["name"].alias("name")),
         )
-        top = F.slice(F.sort_array(keyed), 1, technology.MAX_TECHNOLOGIES)
+        top = F.sort_array(keyed)
         return F.transform(
             top, lambda e: F.struct(e["name"].alias("name"), (-e["neg"]).alias("confidence"))
         )
@@ -261,7 +261,7 @@ def detect_technologies(
 def detect_contexts(
     normalized: Column, technologies: Column, hits: Column | None = None
 ) -> Column:
-    """At most four task areas of a normalised text with their share of the evidence."""
+    """Task areas of a normalised text with their share of the evidence."""
     by_context = {
         context: [t.name for t in technology.TECHNOLOGIES if context in t.contexts]
         for context in TASK_CONTEXTS
@@ -318,7 +318,7 @@ def detect_contexts(
                 ),
             )
             kept = F.filter(rounded, lambda e: -e["neg"] >= technology.CONTEXT_FLOOR)
-            top = F.slice(F.sort_array(kept), 1, technology.MAX_CONTEXTS)
+            top = F.sort_array(kept)
             return F.transform(
                 top, lambda e: F.struct(e["name"].alias("name"), (-e["neg"]).alias("confidence"))
             )

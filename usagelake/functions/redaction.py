@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import json
 import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from usagelake.functions.exprs import EDGE, let
 from usagelake.rules.secrets import PLACEHOLDER, REDACTED_PREFIX, SECRET_RULES, SecretRule
 
 # Noncharacters: they cannot occur in exchanged text, so they can bracket a candidate secret.
 _OPEN, _CLOSE = "﷐", "﷑"
-MAX_DEPTH = 12
+# Stand for an escaped backslash and an escaped quote while a JSON document is cut.
+_SLASH, _QUOTE = "\ufdd2", "\ufdd3"
 
 RESULT = "struct<text:string,count:int,kinds:array<string>>"
 
@@ -86,57 +84,43 @@ def _worth_reading(metadata: Column, rules) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def _leaves(document: Column, clean) -> Column:
+    """Apply ``clean`` to every string value of a JSON document, at any depth, keys left alone.
+
+    Escaped signs are set aside, so that a string literal ends at the next quote; a literal that a
+    colon follows is a key. Literals are decoded and encoded by the JSON functions themselves.
+    """
+    hidden = F.replace(F.replace(document, F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    literal = '"[^"]*"'
+    parts = F.arrays_zip(
+        F.split(hidden, literal, -1).alias("between"),
+        F.regexp_extract_all(hidden, F.lit(literal), F.lit(0)).alias("literal"),
+        F.slice(F.split(hidden, literal, -1), 2, 2**31 - 1).alias("after"),
+    )
+
+    def part(p: Column) -> Column:
+        shown = F.replace(F.replace(p["literal"], F.lit(_QUOTE), F.lit('\\"')), F.lit(_SLASH), F.lit("\\\\"))
+
+        def decoded(raw: Column) -> Column:
+            text = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>")[0]
+            return let(clean(text), lambda c: F.when(
+                c["count"] > 0, F.regexp_replace(F.to_json(F.array(c["text"])), r"^\[|\]$", "")
+            ).otherwise(raw))
+
+        value = F.when(p["after"].rlike(r"^\s*:"), shown).otherwise(let(shown, decoded))
+        return F.concat(p["between"], F.coalesce(value, F.lit("")))
+
+    return F.array_join(F.transform(parts, part), "")
+
+
 def redact_json(metadata: Column, rules=SECRET_RULES) -> Column:
-    """Redact every string leaf of a JSON document, to a bounded depth.
+    """Redact every string value of a JSON document, however deep; other text is redacted whole.
 
-    Leaves have to be visited one by one (a key and its value are separate strings), which no
-    built-in does for nested JSON, so this is an Arrow-batched UDF over the small metadata column.
-    Only documents that mention some credential hint are sent to Python.
+    Only documents that mention some credential hint are taken apart; the rest stay as they are.
     """
-    plain = [(r.kind, f"({r.before})({r.secret})({r.after})", r.ignore_case) for r in rules]
-    spared, prefix, max_depth = PLACEHOLDER, REDACTED_PREFIX, MAX_DEPTH
-
-    # Self-contained on purpose: workers need not have this package on their path.
-    @F.pandas_udf(T.StringType())
-    def run(values: pd.Series) -> pd.Series:
-        compiled = [
-            (kind, re.compile(pattern, re.ASCII | (re.IGNORECASE if folded else 0)))
-            for kind, pattern, folded in plain
-        ]
-        placeholder = re.compile(spared, re.ASCII | re.IGNORECASE)
-
-        def clean(text):
-            for kind, pattern in compiled:
-
-                def swap(match, kind=kind):
-                    before, secret, after = match.groups()
-                    if secret.startswith(prefix) or placeholder.fullmatch(secret):
-                        return match.group(0)
-                    return f"{before}{prefix}{kind}]{after}"
-
-                text = pattern.sub(swap, text)
-            return text
-
-        def walk(node, depth):
-            if depth > max_depth:
-                return node
-            if isinstance(node, str):
-                return clean(node)
-            if isinstance(node, list):
-                return [walk(item, depth + 1) for item in node]
-            if isinstance(node, dict):
-                return {key: walk(item, depth + 1) for key, item in node.items()}
-            return node
-
-        def one(value):
-            if value is None:
-                return None
-            try:
-                parsed = json.loads(value)
-            except ValueError:
-                return clean(value)
-            return json.dumps(walk(parsed, 0), ensure_ascii=False, separators=(",", ":"))
-
-        return values.map(one, na_action="ignore")
-
-    return F.coalesce(run(F.when(_worth_reading(metadata, rules), metadata)), metadata)
+    def cleaned(text: Column) -> Column:
+        return redact(text, rules)
+
+    valid = F.try_parse_json(metadata).isNotNull()
+    redacted = F.when(valid, _leaves(metadata, cleaned)).otherwise(cleaned(metadata)["text"])
+    return F.when(_worth_reading(metadata, rules), redacted).otherwise(metadata)

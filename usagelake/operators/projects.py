@@ -11,7 +11,6 @@ from usagelake.operators.filters import apply_filters, prune
 from usagelake.operators.totals import count_if
 
 # Fixed value: how many parent directories are searched for a repository root.
-MAX_ASCENT = 40
 
 
 def ancestors(path: Column, include_self: bool) -> Column:
@@ -39,7 +38,7 @@ def resolve_roots(directories: DataFrame, repo_roots: DataFrame) -> DataFrame:
     chain = F.reverse(ancestors(F.col("working_directory"), True))
     climbed = dirs.select(
         "working_directory",
-        F.explode_outer(F.when(walkable, F.slice(chain, 1, MAX_ASCENT))).alias("path"),
+        F.explode_outer(F.when(walkable, chain)).alias("path"),
     )
     roots = repo_roots.select("path", "git_remote", F.lit(True).alias("is_root"))
     found = climbed.join(roots, "path", "left")
@@ -72,7 +71,7 @@ def merge_projects(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def project_details(
-    tables: Tables, f: EventFilters | None = None, limit: int | None = 100,
+    tables: Tables, f: EventFilters | None = None, limit: int | None = None,
     idle_ms: int = DEFAULT_IDLE_MS, tail_ms: int = TAIL_MS,
 ) -> DataFrame:
     """Prompts, sessions, last activity and active time per project of the slice.
@@ -129,7 +128,7 @@ def top_per_project(
 
 
 def project_usage(
-    tables: Tables, f: EventFilters | None = None, limit: int = 100,
+    tables: Tables, f: EventFilters | None = None, limit: int | None = None,
     idle_ms: int = DEFAULT_IDLE_MS, tail_ms: int = TAIL_MS,
 ) -> DataFrame:
     """Project table with its top categories, technologies and models as lists."""

@@ -14,15 +14,13 @@ from usagelake.operators.asof import next_responses
 from usagelake.operators.filters import after_cursor, apply_filters, prune
 from usagelake.rules.words import STOP_WORDS
 
-MAX_QUERY_TOKENS = 12
-THEME_SAMPLE = 2000
 MIN_REPEAT_LENGTH = 12
 
 
 def query_tokens(query: str) -> list[str]:
-    """Bare lower-case tokens of a search query, at most twelve."""
+    """Bare lower-case tokens of a search query."""
     tokens = re.split(r"[^\w]+", query.lower())
-    return [t for t in tokens if t][:MAX_QUERY_TOKENS]
+    return [t for t in tokens if t]
 
 
 def matches(text: Column, query: str) -> Column:
@@ -214,32 +212,25 @@ def length_stats(tables: Tables, f: EventFilters | None = None) -> DataFrame:
     )
 
 
-def recent_previews(
-    tables: Tables, f: EventFilters | None = None, limit: int = THEME_SAMPLE
-) -> DataFrame:
-    """The newest previews; "recent" is the feature, so the count is a parameter of it."""
+def stored_texts(tables: Tables, f: EventFilters | None = None) -> DataFrame:
+    """The stored text of every prompt in scope, redacted as it was stored."""
     tables = prune(tables, f)
-    prompts = apply_filters(tables, f, event_type="prompt").select("event_id", "ts_ms")
-    return (
-        prompts.join(
-            tables.prompts.where(F.col("preview").isNotNull()).select("event_id", "preview"),
-            "event_id",
-        )
-        .orderBy(F.desc("ts_ms"), F.desc("event_id"))
-        .limit(limit)
+    prompts = apply_filters(tables, f, event_type="prompt").select("event_id")
+    return prompts.join(
+        tables.prompts.where(F.col("text").isNotNull()).select("event_id", "text"), "event_id"
     )
 
 
-def themes(previews: DataFrame, limit: int = 12) -> DataFrame:
-    """Terms by the number of previews they occur in, ties alphabetically."""
+def themes(texts: DataFrame, limit: int | None = 12) -> DataFrame:
+    """The terms that occur in most texts, ties alphabetically; the number of terms is the feature."""
     tokens = F.array_except(
-        F.split(tx.normalized_text(F.col("preview")), " "), F.array(*[F.lit(w) for w in STOP_WORDS])
+        F.split(tx.normalized_text(F.col("text")), " "), F.array(*[F.lit(w) for w in STOP_WORDS])
     )
-    return (
-        previews.select(F.explode(tokens).alias("term"))
+    counted = (
+        texts.select(F.explode(tokens).alias("term"))
         .where(F.length("term") >= 4)
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("count"))
         .orderBy(F.desc("count"), "term")
-        .limit(limit)
     )
+    return counted if limit is None else counted.limit(limit)

@@ -163,7 +163,7 @@ def rollup_buckets(
 
 def rollup_by(
     rollups: DataFrame, dimension: str, f: EventFilters, names: DataFrame | None = None,
-    limit: int | None = 100,
+    limit: int | None = None,
 ) -> DataFrame:
     """Prompts per provider, project, model or category, without empty groups."""
     if dimension not in DIMENSIONS:
@@ -186,7 +186,7 @@ def rollup_by(
     )
 
 
-def rollup_models(rollups: DataFrame, f: EventFilters, limit: int | None = 100) -> DataFrame:
+def rollup_models(rollups: DataFrame, f: EventFilters, limit: int | None = None) -> DataFrame:
     """Replies per model: the reply, not the prompt, is what names the model."""
     counted = (
         _slice(rollups, f)

@@ -215,18 +215,27 @@ def session_categories(tables: Tables, top_n: int | None = None) -> DataFrame:
     return counted.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= top_n)
 
 
-def session_timeline(tables: Tables, session_id: str, limit: int = 500) -> DataFrame:
-    """Events of one session by time with a readable label."""
-    page = (
-        tables.events.where(F.col("session_id") == session_id)
-        .orderBy("ts_ms", "event_id")
-        .limit(limit)
-    )
-    ids = page.select("event_id")
+def session_timeline(
+    tables: Tables, session_id: str, limit: int | None = None,
+    cursor: tuple[int, str] | None = None,
+) -> DataFrame:
+    """Events of one session by time with a readable label.
+
+    With a limit, a page of that many rows; ``cursor`` is the (ts_ms, event_id) of the last row of
+    the page before.
+    """
+    own = tables.events.where(F.col("session_id") == session_id)
+    if cursor is not None:
+        ts, event_id = cursor
+        own = own.where(
+            (F.col("ts_ms") > ts) | ((F.col("ts_ms") == ts) & (F.col("event_id") > event_id))
+        )
+    page = own.orderBy("ts_ms", "event_id")
+    page = page if limit is None else page.limit(limit)
+    days = page.select("local_date").distinct()
 
     def side(df: DataFrame, *columns: str) -> DataFrame:
-        # The page is at most ``limit`` rows, so the side table is narrowed to it first.
-        return df.select("event_id", *columns).join(F.broadcast(ids), "event_id", "left_semi")
+        return df.join(days, "local_date", "left_semi").select("event_id", *columns)
 
     return (
         page.join(side(tables.tool_calls, "tool_name"), "event_id", "left")

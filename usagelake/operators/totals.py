@@ -166,7 +166,7 @@ def categories(current: DataFrame, previous: DataFrame) -> DataFrame:
     )
 
 
-def by_project(tables: Tables, f: EventFilters | None = None, limit: int = 100) -> DataFrame:
+def by_project(tables: Tables, f: EventFilters | None = None, limit: int | None = None) -> DataFrame:
     counted = (
         apply_filters(tables, f, event_type="prompt")
         .where(F.col("project_id").isNotNull())
@@ -180,7 +180,7 @@ def by_project(tables: Tables, f: EventFilters | None = None, limit: int = 100)
     return top(named, None)
 
 
-def by_technology(tables: Tables, f: EventFilters | None = None, limit: int = 100) -> DataFrame:
+def by_technology(tables: Tables, f: EventFilters | None = None, limit: int | None = None) -> DataFrame:
     """Prompt and technology pairs counted once each."""
     tables = prune(tables, f)
     prompts = apply_filters(tables, f, event_type="prompt").select("event_id")
@@ -208,7 +208,7 @@ def by_context(
 
 
 def technology_contexts(
-    tables: Tables, f: EventFilters | None = None, limit: int = 40, top_contexts: int = 4
+    tables: Tables, f: EventFilters | None = None, limit: int | None = None, top_contexts: int = 4
 ) -> DataFrame:
     """Technologies with the task areas they were used in, in one pass over the pairs."""
     tables = prune(tables, f)

@@ -101,13 +101,11 @@ Markdown | markdown, mdx | Documentation | md, mdx
 YAML | yaml, yml | Infrastructure | yml, yaml
 """)
 
-# Confidence of each kind of evidence, and list limits.
+# Confidence of each kind of evidence, and the least share of an area.
 ALIAS_CONFIDENCE = 0.85
 EXTENSION_CONFIDENCE = 0.7
 PROJECT_CONFIDENCE = 0.4
-MAX_TECHNOLOGIES = 8
 CONTEXT_FLOOR = 0.15
-MAX_CONTEXTS = 4
 
 
 def _context_terms(text: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
@@ -130,13 +128,12 @@ Documentation | docs, documentation, readme, guide, changelog
 Research | research, compare, evaluate, investigate, benchmark, options
 """)
 
-# Package manifests read, their size limit, and what their content reveals.
+# Package manifests read, and what their content reveals.
 MANIFEST_FILES = (
     "package.json", "requirements.txt", "pyproject.toml", "Cargo.toml", "go.mod", "pom.xml",
     "build.gradle", "Gemfile", "composer.json", "hardhat.config.ts", "hardhat.config.js",
     "foundry.toml",
 )
-MAX_MANIFEST_BYTES = 512 * 1024
 MANIFEST_SIGNALS = (
     ("Next.js", r'"next"\s*:'),
     ("React", r'"react"\s*:'),

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelake.functions.ids import project_key
-from usagelake.rules.technology import MANIFEST_FILES, MANIFEST_SIGNALS, MAX_MANIFEST_BYTES
+from usagelake.rules.technology import MANIFEST_FILES, MANIFEST_SIGNALS
 
 
 def read_manifests(spark: SparkSession, directory: str) -> DataFrame:
-    """Manifest files under a directory, oversized ones left out before they are read."""
+    """All manifest files under a directory."""
     names = "{" + ",".join(MANIFEST_FILES) + "}"
     files = (
         spark.read.option("recursiveFileLookup", True)
@@ -19,7 +19,7 @@ def read_manifests(spark: SparkSession, directory: str) -> DataFrame:
     )
     path = F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")),
                             r"^file:/+", "/")
-    return files.where(F.col("_metadata.file_size") <= MAX_MANIFEST_BYTES).select(
+    return files.select(
         F.regexp_extract(path, r"^(.*)/[^/]+\z", 1).alias("project_path"),
         F.regexp_extract(path, r"([^/]+)\z", 1).alias("file_name"),
         F.col("value").alias("content"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelake.contract import EVENT_INPUT, MAX_BATCH_EVENTS
+from usagelake.contract import EVENT_INPUT
 
 
 def _camel(name: str) -> str:
@@ -20,11 +20,13 @@ WIRE_SCHEMA = f"providerId string, events array<struct<{WIRE_EVENT}>>"
 
 
 def _events(batches: DataFrame) -> DataFrame:
-    sized = F.size("events").between(1, MAX_BATCH_EVENTS)
-    named = F.length("providerId").between(1, 64)
-    rows = batches.where(sized & named).select(
-        F.col("providerId").alias("batch_provider"), F.explode("events").alias("e")
-    )
+    """The events of all batches, however large.
+
+    A batch that is empty, or that could not be read as JSON, gives one row without any event
+    fields: it fails validation and so is counted as rejected. A missing provider id fails the
+    events that name none themselves.
+    """
+    rows = batches.select(F.col("providerId").alias("batch_provider"), F.explode_outer("events").alias("e"))
     columns = [
         F.coalesce(F.col("e.providerId"), F.col("batch_provider")).alias("provider_id")
         if field.name == "provider_id"

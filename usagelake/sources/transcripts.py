@@ -10,7 +10,6 @@ from usagelake.functions.exprs import strip
 # Identity of the transcript source and limits of the scan.
 PROVIDER_ID = "claude-code"
 PRODUCT_NAME = "Claude Code"
-MAX_DEPTH = 6
 DRIFT_MIN_SAMPLE = 50
 DRIFT_MIN_COVERAGE = 0.5
 HEAD_BYTES = 4096
@@ -26,7 +25,7 @@ def read_lines(
     spark: SparkSession, directory: str, modified_after: str | None = None,
     pattern: str = "*.jsonl",
 ) -> DataFrame:
-    """Lines of every transcript file at most six directories down, with where they came from.
+    """Lines of every transcript file below a directory, with where they came from.
 
     A grown file is simply read again: the merge is idempotent, so no byte offsets are kept.
     ``modified_after`` prunes files that have not changed since the last scan.
@@ -34,7 +33,7 @@ def read_lines(
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    return _located(reader.option("lineSep", "\n").text(directory), directory)
+    return _located(reader.option("lineSep", "\n").text(directory))
 
 
 def stream_lines(
@@ -48,20 +47,17 @@ def stream_lines(
         .option("lineSep", "\n")
         .text(directory)
     )
-    return _located(stream, directory)
+    return _located(stream)
 
 
-def _located(lines: DataFrame, directory: str) -> DataFrame:
-    placed = lines.select(
+def _located(lines: DataFrame) -> DataFrame:
+    return lines.select(
         "value",
         F.col("_metadata.file_path").alias("source_path"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("_metadata.file_modification_time").alias("modified_at"),
+        F.col("_metadata.file_block_start").alias("block_start"),
     )
-    # Nesting below the root: segments of the file's path after the root directory.
-    base = directory.rstrip("/").split("://")[-1].lstrip("/").removeprefix("file:").lstrip("/")
-    depth = F.size(F.split(F.substring_index("source_path", base, -1), "/")) - 2
-    return placed.where(depth <= MAX_DEPTH)
 
 
 def discover(lines: DataFrame) -> DataFrame:

@@ -247,7 +247,7 @@ def _technologies() -> str:
     found = "[" + ",\n".join(rows) + "]"
     return (
         f"list_sort(list_transform(list_filter({found}, lambda x: x.neg IS NOT NULL),"
-        f" lambda x: {{'neg': -(x.neg::DOUBLE), 'name': x.name}}))[1:8]"
+        f" lambda x: {{'neg': -(x.neg::DOUBLE), 'name': x.name}}))"
     )
 
 
@@ -310,7 +310,7 @@ tools_d AS (
     techs,
     coalesce(list_sort(list_filter(list_transform(areas, lambda x:
       {{'neg': -(floor(x.score / area_total * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE), 'rank': x.rank, 'name': x.name}}),
-      lambda x: -x.neg >= 0.15))[1:4], []) AS ctx
+      lambda x: -x.neg >= 0.15)), []) AS ctx
   FROM n4
 ), tech_d AS (
   SELECT event_id, local_date, t.name AS technology, -t.neg AS confidence
