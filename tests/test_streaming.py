@@ -79,8 +79,8 @@ def test_deferred_rollups_and_enrichment(spark, tmp_path):
     ingest = Ingest(EventStore(spark, str(tmp_path / "s")), Settings(), defer_rollups=True)
     ingest.run(source(spark, ROWS), 0)
     assert ingest.store.read("daily_rollups") is None
-    ingest.rebuild("r0")
-    ingest.enrich("e0")
+    ingest.rebuild()
+    ingest.enrich()
     got = dict(ingest.store.read("classifications").join(
         ingest.store.read("events"), "event_id").select("external_id", "category").collect())
     assert got == {"1": "Testing", "4": "DevOps"} or got["4"] == "DevOps"
@@ -112,15 +112,20 @@ def test_backfill_from_a_landing_directory(spark, tmp_path):
     assert ingest.store.read("prompts").count() == 12
 
 
-def test_push_batch_limits(spark, tmp_path):
+def test_no_push_batch_vanishes(spark, tmp_path):
     one = {"timestamp": at(0), "eventType": "prompt"}
-    (tmp_path / "big.json").write_text(json.dumps({"providerId": "p", "events": [one] * 2001}))
-    (tmp_path / "none.json").write_text(json.dumps({"providerId": "p", "events": []}))
-    (tmp_path / "ok.json").write_text(
-        json.dumps({"providerId": "p", "events": [one, {**one, "providerId": "q"}]}))
-    got = push.read_batches(spark, str(tmp_path))
-    assert sorted(r.provider_id for r in got.collect()) == ["p", "q"]
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    (landing / "big.json").write_text(json.dumps({"providerId": "p", "events": [
+        {**one, "externalId": str(i)} for i in range(2001)]}))
+    (landing / "none.json").write_text(json.dumps({"providerId": "p", "events": []}))
+    (landing / "anonymous.json").write_text(json.dumps({"events": [one, {**one, "providerId": "q"}]}))
+    got = push.read_batches(spark, str(landing))
     assert got.columns == [f for f in EVENT_INPUT.fieldNames()]
+    ingest = Ingest(EventStore(spark, str(tmp_path / "s")), Settings())
+    ingest.run(got, 0)
+    row = ingest.audit().first()
+    assert (row.accepted, row.failed) == (2002, 2)
 
 
 @pytest.fixture
@@ -170,3 +175,81 @@ def test_prompt_model_passes_are_repeatable(spark, stream_dir):
     twice = asof.link_prompt_models(once.drop("linked"))
     assert twice.where("linked").count() == 0
     assert tt.counters(once).first().prompts == 8
+
+
+def test_two_streams_with_equal_batch_ids_lose_nothing(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "s"))
+    Ingest(store, Settings()).run(source(spark, ROWS[:2]), 0)
+    Ingest(store, Settings()).run(source(spark, ROWS[2:]), 0)
+    assert store.read("events").count() == len(ROWS)
+    assert not (tmp_path / "s" / "_staging").exists() or not any((tmp_path / "s" / "_staging").iterdir())
+
+
+def test_enriching_again_after_another_batch(spark, tmp_path):
+    ingest = Ingest(EventStore(spark, str(tmp_path / "s")), Settings())
+    ingest.run(source(spark, ROWS[:1]), 0)
+    ingest.enrich()
+    ingest.run(source(spark, ROWS[3:4]), 1)
+    ingest.enrich()
+    assert ingest.store.read("events").count() == 2
+    assert ingest.store.read("classifications").count() == 2
+
+
+@pytest.fixture
+def filled(spark, tmp_path):
+    ingest = Ingest(EventStore(spark, str(tmp_path / "s")), Settings(store_responses=True, retention_months=1))
+    later = [event(10, "prompt", 3 * 1440, prompt="next week"),
+             event(11, "response", 3 * 1440 + 1, model="claude-opus-4-8", response="an answer")]
+    ingest.run(source(spark, ROWS + later), 0)
+    ingest.enrich()
+    return ingest
+
+
+SETS = ("events", "prompts", "responses", "tool_calls", "classifications", "technologies", "contexts", "projects",
+        "daily_rollups", "daily_active")
+
+
+def left(ingest):
+    found = {name: ingest.store.read(name) for name in SETS}
+    return {name: 0 if df is None else df.count() for name, df in found.items()}
+
+
+def test_deleting_everything_reaches_the_disk(filled):
+    from usagelake.operators.maintenance import DeleteScope
+
+    filled.delete(DeleteScope("all"))
+    assert set(left(filled).values()) == {0}
+
+
+def test_erasing_text_reaches_the_disk(filled):
+    from usagelake.operators.maintenance import DeleteScope
+
+    before = left(filled)
+    filled.delete(DeleteScope("prompts"))
+    assert left(filled) == {**before, "responses": 0}
+    assert filled.store.read("prompts").where("text IS NOT NULL OR preview IS NOT NULL").count() == 0
+
+
+def test_deleting_a_range_rebuilds_its_days(spark, filled):
+    import datetime as dt
+
+    from tests.helpers import BASE
+    from usagelake.operators.maintenance import DeleteScope
+
+    filled.delete(DeleteScope("range", from_ts=BASE - dt.timedelta(days=1), to_ts=BASE + dt.timedelta(days=1)))
+    store = filled.store
+    assert {r.external_id for r in store.read("events").collect()} == {"10", "11"}
+    assert store.read("daily_rollups").select("day").distinct().count() == 1
+    assert rows_of(store.read("daily_active"), "day", "active_ms") == rows_of(
+        ru.daily_active(store.read("events")), "day", "active_ms")
+
+
+def test_retention_reaches_the_disk(filled):
+    import datetime as dt
+
+    from tests.helpers import BASE
+
+    filled.retain(as_of=BASE + dt.timedelta(days=33))
+    kept = filled.store.read("prompts").where("text IS NOT NULL")
+    assert [r.text for r in kept.collect()] == ["next week"]
+    assert filled.store.read("prompts").count() == 3

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import fields
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from usagelake.contract import Tables
 
 PARTITIONED = ("log", "annotations", "events", "prompts", "responses", "tool_calls", "classifications", "technologies",
                "contexts")
 ROLLUPS = ("daily_rollups", "daily_active")
+#: Sets without partitions, written as versions.
+SWAPPED = ("projects", "providers")
 
 _KEYS = "event_id string, local_date date, provider_id string"
 #: Side tables a young store may not hold yet.
@@ -32,7 +36,8 @@ class EventStore:
     """Named datasets under one root folder that all executors reach.
 
     Time-bounded questions prune partitions of the events and of every side table. Rewrites use
-    dynamic partition overwrite, so only the (day, provider) folders present in the output change.
+    dynamic partition overwrite, so only the (day, provider) folders present in the output change;
+    ``replace`` also removes those that are left without rows.
     """
 
     def __init__(self, spark: SparkSession, root: str, by_provider: bool = True):
@@ -50,10 +55,42 @@ class EventStore:
             return ("local_date", *tail)
         return ("day", *tail) if name in ROLLUPS else ()
 
+    # -- files --------------------------------------------------------------------------------
+
+    def _path(self, where: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(where)
+
+    def _files(self, path):
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def finished(self, where: str) -> bool:
+        """Whether a write to the path ran to its end, on whatever file system it lies."""
+        marker = self._path(f"{where}/_SUCCESS")
+        return self._files(marker).exists(marker)
+
+    def remove(self, where: str) -> None:
+        path = self._path(where)
+        self._files(path).delete(path, True)
+
+    def _versions(self, name: str) -> list[str]:
+        """Finished versions of an unpartitioned set, oldest first."""
+        base = self._path(self.path(name))
+        files = self._files(base)
+        if not files.exists(base):
+            return []
+        names = sorted(s.getPath().getName() for s in files.listStatus(base) if s.isDirectory())
+        return [n for n in names if self.finished(f"{self.path(name)}/{n}")]
+
+    # -- datasets -----------------------------------------------------------------------------
+
     def read(self, name: str) -> DataFrame | None:
         """The dataset, or ``None`` when nothing was written to it yet."""
+        where = self.path(name)
+        if name in SWAPPED:
+            versions = self._versions(name)
+            return self.spark.read.parquet(f"{where}/{versions[-1]}") if versions else None
         try:
-            return self.spark.read.parquet(self.path(name))
+            return self.spark.read.parquet(where)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
                 return None
@@ -63,31 +100,59 @@ class EventStore:
         """Replace the dataset, or for partitioned ones the partitions that occur in ``df``.
 
         Rows are rebalanced on the partition keys: small days share a file and a day that holds
-        a large part of the data is split over several tasks.
+        a large part of the data is split over several tasks. An unpartitioned set is written as a
+        new version beside the old one, which readers see until the new one is finished; so it may
+        be derived from what it replaces.
         """
+        if name in SWAPPED:
+            versions = self._versions(name)
+            number = int(versions[-1].split("-")[0]) + 1 if versions else 0
+            df.write.parquet(f"{self.path(name)}/{number:012d}-{uuid.uuid4().hex}")
+            for old in versions[:-1]:
+                self.remove(f"{self.path(name)}/{old}")
+            return
         keys = self.keys(name)
         writer = df.hint("rebalance", *keys).write if keys else df.write
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*keys) if keys else writer).parquet(self.path(name))
 
-    def finished(self, path: str) -> bool:
-        """Whether a write to the path ran to its end, on whatever file system it lies."""
-        marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        return marker.getFileSystem(conf).exists(marker)
+    def replace(self, name: str, df: DataFrame, touched: DataFrame | None = None) -> None:
+        """Make ``df`` all that the touched partitions hold; a partition without rows is removed.
+
+        ``df`` must be staged, as what it was derived from is overwritten. ``touched`` has
+        local_date and provider_id; without it every partition counts as touched. The list of
+        emptied folders, a few per day at most, is all that reaches the driver.
+        """
+        stored = self.read(name)
+        if stored is not None and name not in SWAPPED:
+            keys = list(self.keys(name))
+            folder = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1)
+            there = stored.select(*keys, folder.alias("folder")).distinct()
+            if touched is not None:
+                renamed = touched.withColumnRenamed("local_date", keys[0]).select(*keys).distinct()
+                there = there.join(renamed, keys, "left_semi")
+            emptied = there.join(df.select(*keys).distinct(), keys, "left_anti")
+            for row in emptied.select("folder").collect():
+                path = self._path(self.spark._jvm.java.net.URI(row["folder"]))
+                self._files(path).delete(path, True)
+        self.write(name, df)
 
     def stage(self, batch_id: str, name: str, df: DataFrame) -> DataFrame:
         """Write a frame to the batch's staging folder and read it back.
 
         Cuts the lineage and survives lost executors. A staged frame of a batch that is run again
         is reused, so the retry applies exactly what the first attempt computed; one that was
-        left unfinished is written again.
+        left unfinished is written again. The label must tell batches of different content apart.
         """
         path = f"{self.root}/_staging/{batch_id}/{name}"
         if not self.finished(path):
             df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def unstage(self, batch_id: str) -> None:
+        """Drop what was staged for a batch that is published."""
+        self.remove(f"{self.root}/_staging/{batch_id}")
+
     def tables(self) -> Tables:
         """Everything stored; a side table nothing was written to yet is empty."""
         found = {f.name: self.read(f.name) for f in fields(Tables)}
@@ -97,7 +162,12 @@ class EventStore:
         return Tables(**found)
 
     def write_tables(self, tables: Tables) -> None:
-        for f in fields(Tables):
-            df = getattr(tables, f.name)
-            if df is not None:
-                self.write(f.name, df)
+        """Make the given tables all that is stored; they may be derived from the stored ones."""
+        label = f"tables-{uuid.uuid4().hex}"
+        staged = {
+            f.name: self.stage(label, f.name, getattr(tables, f.name))
+            for f in fields(Tables) if getattr(tables, f.name) is not None
+        }
+        for name, df in staged.items():
+            self.replace(name, df)
+        self.unstage(label)

@@ -1,24 +1,28 @@
 """Ingest of micro-batches into the store: one path for backfill, follow mode and push.
 
 Delivery is at least once; the effect is exactly once because events merge on their dedupe key,
-every step of a batch is staged before anything is published, and a batch that is run again
-publishes the same staged frames.
+every step of a batch is staged before anything is published, and a batch that is run again after
+a failure publishes the same staged frames. Staging is named by source, batch and content, so
+batches of another stream or of a new checkpoint never meet it, and is dropped when the batch is
+published.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
+from dataclasses import fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from usagelake.contract import ENRICHMENT_VERSION, Settings
+from usagelake.contract import ENRICHMENT_VERSION, Settings, Tables
 from usagelake.functions import classify as cl
-from usagelake.operators import asof, enrichment, merge, normalize as nz, rollups as ru
+from usagelake.operators import asof, enrichment, maintenance as mt, merge, normalize as nz, rollups as ru
 from usagelake.operators.sessions import session_metrics
-from usagelake.sources.store import EventStore
+from usagelake.sources.store import ROLLUPS, EventStore
 
 DAYS = ["local_date", "provider_id"]
 SIDES = (("prompts", "prompt"), ("responses", "response"), ("tool_calls", "tool_call"))
@@ -43,9 +47,10 @@ class Ingest:
 
         The signature is the one ``foreachBatch`` calls.
         """
-        store, name = self.store, f"{self.source}-{batch_id}"
-        started = dt.datetime.now(dt.timezone.utc)
-        checked = store.stage(name, "checked", nz.validate(nz.conform(events, self.provider_id)))
+        store, started = self.store, dt.datetime.now(dt.timezone.utc)
+        conformed = nz.conform(events, self.provider_id)
+        name = f"{self.source}-{batch_id}-{_content(conformed)}"
+        checked = store.stage(name, "checked", nz.validate(conformed))
         valid = checked.where("is_valid")
         providers = store.read("providers")
         accepted = valid if providers is None else nz.drop_paused(valid, providers)
@@ -85,7 +90,8 @@ class Ingest:
         touched = store.stage(name, "stale", merge.union_touched(touched, relinked))
         if not self.defer_rollups:
             self.refresh(touched, sessions, name)
-        self._audit(name, checked, normalized, outcome, started)
+        self._audit(name, f"{self.source}-{batch_id}", checked, normalized, outcome, started)
+        store.unstage(name)
 
     def _add(self, batch: str, dataset: str, new: DataFrame) -> None:
         """Add side rows of newly accepted events; a repeated batch adds nothing twice."""
@@ -148,8 +154,8 @@ class Ingest:
         later day, so active time is rebuilt for the later days of those sessions as well.
         """
         store, t = self.store, self.store.tables()
-        store.write("daily_rollups",
-                    store.stage(batch, "daily_rollups", ru.daily_rollups(t, touched)))
+        store.replace("daily_rollups",
+                      store.stage(batch, "daily_rollups", ru.daily_rollups(t, touched)), touched)
         stale = touched
         if sessions is not None:
             first = touched.agg(F.min("local_date")).scalar()
@@ -158,29 +164,73 @@ class Ingest:
             )
             stale = merge.union_touched(touched, later.select(*DAYS))
         active = ru.daily_active(t.events, stale, self.settings.idle_ms, self.settings.tail_ms)
-        store.write("daily_active", store.stage(batch, "daily_active", active))
+        store.replace("daily_active", store.stage(batch, "daily_active", active), stale)
 
-    def rebuild(self, batch: str) -> None:
+    def rebuild(self) -> None:
         """Rebuild all rollups, after an import with deferred rollups or a changed idle limit."""
+        label = _label("rebuild")
+        self.refresh(self.store.tables().events.select(*DAYS).distinct(), None, label)
+        self.store.unstage(label)
+
+    # -- maintenance --------------------------------------------------------------------------
+
+    def delete(self, scope: mt.DeleteScope) -> None:
+        """Delete from the store what the scope covers, and rebuild the rollups of its days."""
         t = self.store.tables()
-        self.refresh(t.events.select(*DAYS).distinct(), None, batch)
+        touched = t.events.select(*DAYS).distinct() if scope.scope in ("all", "prompts") else (
+            mt.touched_by(t, scope))
+        self._apply(mt.delete(t, scope), touched)
 
-    def enrich(self, batch: str, version: int = ENRICHMENT_VERSION,
+    def retain(self, as_of: dt.datetime | None = None) -> None:
+        """Clear the stored text of prompts older than the retention of the settings."""
+        months, as_of = self.settings.retention_months, as_of or self.settings.as_of
+        t = self.store.tables()
+        old = t.events.where(F.col("ts_ms") < mt.retention_cutoff_ms(as_of, months))
+        if months > 0:
+            self._apply(mt.apply_retention(t, months, as_of), old.select(*DAYS).distinct())
+
+    def _apply(self, after: Tables, touched: DataFrame) -> None:
+        """Publish changed tables: the touched days of every set, then their rollups."""
+        store, label = self.store, _label("apply")
+        touched = store.stage(label, "touched", touched)
+        staged = {}
+        for f in fields(Tables):
+            df = getattr(after, f.name)
+            if df is not None:
+                part = df.join(touched, DAYS, "left_semi").select(*df.columns) if "local_date" in df.columns else df
+                staged[f.name] = store.stage(label, f.name, part)
+        for name, df in staged.items():
+            store.replace(name, df, touched)
+        if store.read("events") is None:
+            for name in ROLLUPS:
+                store.remove(store.path(name))
+            store.unstage(label)
+            return
+        # Active time of later days counted the gap after an event that may be gone.
+        first = touched.agg(F.min("local_date")).scalar()
+        later = store.tables().events.where(F.col("local_date") >= first).select(*DAYS)
+        self.refresh(store.stage(label, "stale", merge.union_touched(touched, later)), None, label)
+        store.unstage(label)
+
+    def enrich(self, version: int = ENRICHMENT_VERSION,
                classifier: enrichment.Classifier = cl.classify,
                profiles: DataFrame | None = None) -> None:
         """Classify everything pending and rebuild what that touched."""
-        store, t = self.store, self.store.tables()
+        store, t, label = self.store, self.store.tables(), _label("enrich")
         rows = store.stage(
-            batch, "annotated", enrichment.annotate(enrichment.pending(t, version), classifier,
+            label, "annotated", enrichment.annotate(enrichment.pending(t, version), classifier,
                                                     profiles)
         )
-        days = rows.select(*DAYS).distinct()
+        days = store.stage(label, "days", rows.select(*DAYS).distinct())
         after = enrichment.apply_enrichment(t, rows, version)
+        staged = {}
         for name in ("classifications", "technologies", "contexts", "events"):
             frame = getattr(after, name).join(days, DAYS, "left_semi")
-            staged = store.stage(batch, name, frame.select(*getattr(after, name).columns))
-            store.write(name, staged)
-        self.refresh(store.stage(batch, "days", days), None, f"{batch}-rollups")
+            staged[name] = store.stage(label, name, frame.select(*getattr(after, name).columns))
+        for name, df in staged.items():
+            store.replace(name, df, days)
+        self.refresh(days, None, label)
+        store.unstage(label)
 
     def sessions(self) -> DataFrame:
         """Session rows, always derived from the events they summarise."""
@@ -188,28 +238,44 @@ class Ingest:
             self.store.read("events"), self.settings.idle_ms, self.settings.tail_ms
         )
 
-    def _audit(self, batch: str, checked: DataFrame, normalized: DataFrame, outcome: DataFrame,
-               started: dt.datetime) -> None:
+    def _audit(self, batch: str, shown: str, checked: DataFrame, normalized: DataFrame,
+               outcome: DataFrame, started: dt.datetime) -> None:
+        """One entry per batch; content that comes again under the same id keeps its first entry."""
+        entry = f"{self.store.path('ingest_log')}/batch={batch}"
+        if self.store.finished(entry):
+            return
         valid = F.count(F.when(F.col("is_valid"), 1))
         kept = normalized.agg(F.count(F.lit(1))).scalar()
         row = checked.agg(
             (F.count(F.lit(1)) - valid).alias("failed"), valid.alias("valid")
         ).select(
-            F.lit(batch).alias("batch_id"), F.lit(self.source).alias("source"),
+            F.lit(shown).alias("batch_id"), F.lit(self.source).alias("source"),
             outcome.select("accepted").scalar().alias("accepted"),
             outcome.select("deduped").scalar().alias("deduped"),
             "failed", (F.col("valid") - kept).alias("skipped"),
             F.lit(started.isoformat()).alias("started_at"),
         )
-        # One file per batch, so a repeated batch replaces its own entry.
         row.coalesce(1).write.mode("overwrite").option(
             "partitionOverwriteMode", "static"
-        ).parquet(f"{self.store.path('ingest_log')}/batch={batch}")
+        ).parquet(entry)
 
     def audit(self) -> DataFrame:
         return self.store.spark.read.parquet(self.store.path("ingest_log")).drop("batch")
 
 
+def _content(events: DataFrame) -> str:
+    """A fingerprint of a batch's rows, whatever their order."""
+    row = events.select(F.xxhash64(*events.columns).alias("h")).agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")
+    ).first()
+    return f"{row['n']}-{(row['x'] or 0) & (2**64 - 1):016x}-{int(row['s'] or 0) & (2**64 - 1):016x}"
+
+
+def _label(what: str) -> str:
+    """A staging name of its own for every call."""
+    return f"{what}-{uuid.uuid4().hex}"
+
+
 def backfill(stream: DataFrame, ingest: Ingest, checkpoint: str) -> StreamingQuery:
     """Process everything that is there, in bounded batches, then stop."""
     return _start(stream, ingest.run, checkpoint).trigger(availableNow=True).start()
