@@ -21,20 +21,40 @@ def _span(f: EventFilters) -> Column:
     return (day >= F.lit(f.from_day).cast("date")) & (day <= F.lit(f.to_day).cast("date"))
 
 
+def _daily(tables: Tables, scope: Scope, f: EventFilters) -> DataFrame | None:
+    """Active time per day and provider as the rollups hold it, taken from the log.
+
+    A gap counts on the day of its later event, also where the earlier one lies before the period,
+    so the history of the sessions seen is read. ``None`` where rollups could not answer: then
+    active time is that of the slice alone.
+    """
+    if not (ru.rollups_can_answer(f) and ru.active_can_answer(f)):
+        return None
+    days = apply_filters(tables, f).select("local_date", "provider_id").distinct()
+    s = scope.settings
+    return ru.daily_active(tables.events, days, s.idle_ms, s.tail_ms)
+
+
 def period_totals(tables: Tables, scope: Scope, rollups: DataFrame | None = None,
                   active: DataFrame | None = None) -> DataFrame:
     """Totals of the current and the previous period, one row each, keyed by ``period``.
 
     From the log both periods are read in one scan. From rollups the counters come from the daily
     rows, while distinct sessions still come from the log, and so does active time when the filter
-    names a dimension the daily active time lacks.
+    names a dimension the daily active time lacks. Either way gives the same rows.
     """
     periods = F.when(_span(scope.filters), "current").when(_span(scope.previous), "previous")
     both = scope.filters.but(from_day=scope.previous.from_day)
     s = scope.settings
     if not (scope.use_rollups and rollups is not None and active is not None):
         events = apply_filters(tables, both).withColumn("period", periods)
-        found = tt.totals(events, ["period"], s.idle_ms, s.tail_ms)
+        daily = _daily(tables, scope, both)
+        if daily is None:
+            found = tt.totals(events, ["period"], s.idle_ms, s.tail_ms)
+        else:
+            spent = daily.withColumnRenamed("day", "local_date").groupBy(periods.alias("period")).agg(
+                F.sum("active_ms").alias("active_ms"))
+            found = tt.counters(events, ["period"]).join(spent, "period", "left")
         axis = tables.events.sparkSession.createDataFrame(
             [("current",), ("previous",)], "period string"
         )
@@ -111,10 +131,19 @@ def timeline(tables: Tables, scope: Scope, rollups: DataFrame | None = None,
     """Buckets of the current period at the scope's granularity."""
     s, f = scope.settings, scope.filters
     if not (scope.use_rollups and rollups is not None and active is not None):
-        return tt.timeseries(apply_filters(tables, f), scope.granularity, s.idle_ms, s.tail_ms)
+        sliced, daily = apply_filters(tables, f), _daily(tables, scope, f)
+        if scope.granularity != "day" or daily is None:
+            return tt.timeseries(sliced, scope.granularity, s.idle_ms, s.tail_ms)
+        spent = daily.groupBy(F.col("day").cast("string").alias("bucket")).agg(
+            F.sum("active_ms").alias("active_ms"))
+        return tt.buckets(sliced, "day").join(spent, "bucket", "left").withColumn(
+            "active_ms", F.coalesce("active_ms", F.lit(0)))
     points = ru.rollup_buckets(rollups, active, f, scope.granularity == "week")
     if scope.granularity != "day":
-        return points.withColumn("active_ms", F.lit(0).cast("bigint"))
+        # A session of two days of a week is one session, so the log is asked.
+        exact = tt.buckets(apply_filters(tables, f), scope.granularity).select("bucket", "sessions")
+        return points.drop("sessions").join(exact, "bucket", "left").withColumn(
+            "active_ms", F.lit(0).cast("bigint"))
     by_day = ru.rollup_active_by_day(active, f)
     if by_day is None:
         by_day = active_by_day(apply_filters(tables, f), s.idle_ms, s.tail_ms).select(
@@ -151,9 +180,9 @@ def overview(
         sources = ru.rollup_by(rollups, "provider_id", f, tables.providers)
         categories = ru.rollup_categories(rollups, f)
         projects = ru.rollup_by(rollups, "project_id", f, tables.projects, 8)
-        models = ru.rollup_models(rollups, f, 8)
+        models = ru.rollup_models(rollups, f)
     else:
-        sources = tt.by_provider(tables, f)
+        sources = tt.by_provider(tables, f).where(F.col("count") > 0)
         categories = tt.by_category(tables, f)
         projects = tt.by_project(tables, f, 8)
         models = tt.top(

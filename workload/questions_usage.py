@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from workload import views as v
 from workload.oracle_base import (
     ALL, DIM, IDLE, LOG, NOTES, TAIL, TEXT, active as act, gaps, normalized, q, with_,
 )
-from workload.registry import query
+from workload.registry import flat, query
 
 EV, PRS, NTS, DMS, EVERY = (with_(*p) for p in (LOG, TEXT, NOTES, DIM, ALL))
 SPAN = DaySpan(dt.date(2024, 1, 16), dt.date(2024, 1, 30))
@@ -236,7 +237,7 @@ def _(spark, sf):
 
 
 @query("technology_contexts", NTS + """, t AS (
-  SELECT technology, count(*)::BIGINT AS n FROM tech_d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 40
+  SELECT technology, count(*)::BIGINT AS n FROM tech_d GROUP BY 1
 ), x AS (
   SELECT technology, context, count(*) AS n, row_number() OVER (PARTITION BY technology ORDER BY count(*) DESC, context) AS place
   FROM tech_d JOIN ctx_d USING (event_id) GROUP BY 1, 2)
@@ -433,7 +434,7 @@ def one_session() -> str:
 SELECT ev.event_id, ev.ts_ms, event_type, coalesce(preview, tool_name, event_type) AS label, model, tool_name, category,
   is_subagent::BIGINT AS is_subagent
 FROM ev LEFT JOIN note USING (event_id) LEFT JOIN prompts_d p USING (event_id) WHERE session_id = {ONE}
-ORDER BY ev.ts_ms, ev.event_id LIMIT 500""")
+ORDER BY ev.ts_ms, ev.event_id""")
 def _(spark, sf):
     return ss.session_timeline(v.tables(spark, sf), one_session())
 
@@ -545,12 +546,12 @@ def _(spark, sf):
     return pr.length_stats(v.tables(spark, sf))
 
 
-@query("themes", PRS + f""", newest AS (SELECT preview FROM prompts_d WHERE preview IS NOT NULL ORDER BY ts_ms DESC, event_id DESC LIMIT 2000)
+@query("themes", PRS + f"""
 SELECT term, count(*)::BIGINT AS count FROM (
-  SELECT unnest(list_distinct(string_split({normalized('preview')}, ' '))) AS term FROM newest)
+  SELECT unnest(list_distinct(string_split(stored_norm, ' '))) AS term FROM prompts_d WHERE text IS NOT NULL)
 WHERE length(term) >= 4 AND term NOT IN ({', '.join(q(w) for w in pr.STOP_WORDS)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""")
 def _(spark, sf):
-    return pr.themes(pr.recent_previews(v.tables(spark, sf)))
+    return pr.themes(pr.stored_texts(v.tables(spark, sf)))
 
 
 FOLDS = "' ' || trim(regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+', ' ', 'g'))"
@@ -801,10 +802,13 @@ def _(spark, sf):
 
 
 def period_sql(name: str, where: str, active_days: str | None = None) -> str:
+    spent = f"SELECT {act()} FROM {name}_g"
+    if active_days:
+        spent = f"SELECT coalesce(sum(active_ms), 0)::BIGINT FROM act WHERE {active_days}"
     return f"""{name}_s AS (SELECT * FROM ev WHERE {where}), {name}_g AS (
   SELECT session_id, local_date, coalesce(least(greatest(ts_ms - lag(ts_ms) OVER (PARTITION BY session_id ORDER BY ts_ms, local_date, event_id), 0), {IDLE}), 0) AS gap
   FROM {name}_s WHERE session_id IS NOT NULL), {name} AS (
-  SELECT {counts()}, (SELECT {act()} FROM {name}_g) AS active_ms FROM {name}_s)"""
+  SELECT {counts()}, ({spent}) AS active_ms FROM {name}_s)"""
 
 
 def change_sql(metric: str) -> str:
@@ -812,8 +816,9 @@ def change_sql(metric: str) -> str:
   ELSE floor((c.{metric} - p.{metric})::DOUBLE / p.{metric} * 1000.0 + 0.5) / 10.0 END::DOUBLE AS {metric}_change_pct"""
 
 
-PERIODS = EV + "," + period_sql("c", "local_date BETWEEN DATE '2024-01-20' AND DATE '2024-01-26'") + (
-    "," + period_sql("p", "local_date BETWEEN DATE '2024-01-13' AND DATE '2024-01-19'"))
+PERIODS = EV + ACTIVE + "," + ",".join(
+    period_sql(name, f"local_date BETWEEN {days}", f"day BETWEEN {days}")
+    for name, days in (("c", "DATE '2024-01-20' AND DATE '2024-01-26'"), ("p", "DATE '2024-01-13' AND DATE '2024-01-19'")))
 
 
 @query("period_over_period", PERIODS + f"""
@@ -849,6 +854,19 @@ for _part in ("sources", "categories", "projects", "technologies", "models", "ti
         return ov.overview(t, s, *rolled(spark, sf))[part]
 
 
+for _part in ("period", "sources", "categories", "projects", "technologies", "models", "timeline"):
+
+    @query(f"overview_routes_{_part}", "SELECT 0::BIGINT AS different")
+    def _(spark, sf, part=_part):
+        """Rows of nine days that only one of the two routes, log and rollups, gives."""
+        t, roll = v.tables(spark, sf), rolled(spark, sf)
+        nine = scope(DaySpan(dt.date(2024, 1, 18), dt.date(2024, 1, 26)))
+        direct = flat(ov.overview(t, replace(nine, use_rollups=False))[part])
+        routed = flat(ov.overview(t, replace(nine, use_rollups=True), *roll)[part].select(*direct.columns))
+        return direct.exceptAll(routed).unionByName(routed.exceptAll(direct)).agg(
+            F.count(F.lit(1)).alias("different"))
+
+
 @query("insights")
 def _(spark, sf):
     return insights.findings(v.tables(spark, sf), scope(WEEK))
