@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import lookup, stage
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -18,9 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two rewrites until nothing changes: every edge's larger end is tied to the smallest
     neighbour of its smaller end, then the smaller neighbours of a node are tied to the smallest of
-    them. Each round is two aggregations and two joins over as many edges as before at most, its
-    result is written to the shared folder, and only a count and a checksum reach the driver; the
-    number of rounds grows with the logarithm of a component's width.
+    them. Each round is a few aggregations and joins over as many edges as before at most, and the
+    edges of a node that has very many are dealt over tasks. Its result is written to the shared
+    folder, and only a count and a checksum reach the driver. The number of rounds grows with the
+    logarithm of a component's width.
     """
     edge = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     now = stage(edges.where("u <> v").select(*edge).distinct())
@@ -28,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         ends = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = ends.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
-        tied = now.join(least, "v").select("u", F.least("v", "m").alias("v")).distinct()
+        tied = lookup(now, least, "v", "u").select("u", F.least("v", "m").alias("v")).distinct()
         lowest = tied.groupBy("u").agg(F.min("v").alias("m"))
         both = tied.join(lowest, "u").select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
