@@ -2,8 +2,8 @@
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
-``ingest`` normalises, redacts, merges and stores every source event and enriches its prompts; the
-questions then read the stored log. Each question is run once to warm up and then ``BENCH_RUNS``
+``ingest`` normalises, redacts and stores every source event and enriches its prompts, without the
+merge of a running ingest job; the questions then read the stored log. Each question is run once to warm up and then ``BENCH_RUNS``
 times (one by default); the median is reported.
 """
 

@@ -345,7 +345,7 @@ def test_insights_need_evidence(spark):
     assert set(found) == {"repeated_prompt", "prompt_length"}
     assert found["repeated_prompt"].value == 40
     line = insights.summary(big, week).first().summary
-    assert line.startswith("You used AI mostly on testing and devops, almost entirely in Tool A, mostly in alpha, and most of it between")
+    assert line.startswith("Prompts on testing and devops, nearly all with Tool A, largest project alpha, busiest from")
 
 
 def test_folding_of_directories(spark):

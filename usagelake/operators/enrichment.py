@@ -174,10 +174,11 @@ def apply_overrides(tables: Tables, overrides: DataFrame) -> Tables:
 
 
 def confusion(labelled: DataFrame, classifier: Classifier = cl.classify) -> DataFrame:
-    """``labelled(text, expected)`` as expected/predicted counts."""
-    none = F.array().cast("array<string>")
+    """``labelled(text, expected[, tool_names])`` as expected/predicted counts."""
+    tools = F.col("tool_names") if "tool_names" in labelled.columns else F.array()
+    predicted = classifier(F.col("text"), tools.cast("array<string>"))["category"]
     return (
-        labelled.withColumn("predicted", classifier(F.col("text"), none)["category"])
+        labelled.withColumn("predicted", predicted)
         .groupBy("expected", "predicted")
         .agg(F.count(F.lit(1)).alias("count"))
     )

@@ -26,7 +26,7 @@ def activity(
     ids = page.select("event_id")
 
     def side(df: DataFrame, *columns) -> DataFrame:
-        return df.select("event_id", *columns).join(F.broadcast(ids), "event_id", "left_semi")
+        return df.select("event_id", *columns).join(ids, "event_id", "left_semi")
 
     return (
         page.join(

@@ -40,7 +40,7 @@ def matches(text: Column, query: str) -> Column:
 def _technology_lists(technologies: DataFrame, ids: DataFrame) -> DataFrame:
     return (
         technologies.select("event_id", "technology")
-        .join(F.broadcast(ids), "event_id", "left_semi")
+        .join(ids, "event_id", "left_semi")
         .groupBy("event_id")
         .agg(F.array_sort(F.collect_set("technology")).alias("technologies"))
     )
@@ -71,7 +71,7 @@ def describe_prompts(tables: Tables, page: DataFrame) -> DataFrame:
     ids = page.select("event_id")
     labels = tables.classifications.select(
         "event_id", "category", F.col("confidence").alias("category_confidence")
-    ).join(F.broadcast(ids), "event_id", "left_semi")
+    ).join(ids, "event_id", "left_semi")
     return (
         page.join(
             tables.providers.select("provider_id", F.col("name").alias("provider_name")),
@@ -145,10 +145,11 @@ def details(tables: Tables, prompts: DataFrame) -> DataFrame:
     sessions = chosen.select("session_id").distinct()
     around = tables.events.join(sessions, "session_id", "left_semi")
     replies = next_responses(around, tables.responses).select("event_id", "response_text")
-    technologies = tables.technologies.groupBy("event_id").agg(
+    ids = chosen.select("event_id")
+    technologies = tables.technologies.join(ids, "event_id", "left_semi").groupBy("event_id").agg(
         F.array_sort(F.collect_set("technology")).alias("technologies")
     )
-    contexts = tables.contexts.groupBy("event_id").agg(
+    contexts = tables.contexts.join(ids, "event_id", "left_semi").groupBy("event_id").agg(
         F.array_sort(F.collect_set("context")).alias("contexts")
     )
     nothing = F.array().cast("array<string>")

@@ -359,14 +359,8 @@ def _(spark, sf):
 
 def _copies(spark, sf):
     """Two overlapping deliveries of the event rows: the second fills and contradicts the first."""
-    log = v.tables(spark, sf).events.select(
-        "event_id", "dedupe_key", "provider_id", "ts", "ts_ms", "local_date", "event_type",
-        "model", "model_family", "session_id", "project_id", "input_tokens", "output_tokens",
-        "cache_read_tokens", "cache_write_tokens", "estimated_cost_usd", "duration_ms",
-        "git_branch", "repository", "ingest_version", "external_id",
-    )
-    n = F.regexp_extract("external_id", r"^ev-(\d+)\z", 1)
-    own = log.where(n != "").withColumn("n", n.cast("bigint")).drop("external_id")
+    own = v.tables(spark, sf).events.withColumn(
+        "n", F.conv(F.substring("dedupe_key", 1, 8), 16, 10).cast("bigint"))
     stored = own.where(F.col("n") % 3 != 0).withColumn(
         "model", F.when(F.col("n") % 2 == 0, F.col("model"))
     ).withColumn("ingest_version", F.when(F.col("n") % 10 == 0, 2).otherwise(1))
@@ -377,7 +371,7 @@ def _copies(spark, sf):
 
 
 MERGE_SQL = """, own AS (
-  SELECT *, regexp_extract(external_id, '^ev-(\\d+)$', 1)::BIGINT AS n FROM ev WHERE external_id LIKE 'ev-%'
+  SELECT *, ('0x' || substr(dedupe_key, 1, 8))::BIGINT AS n FROM ev
 ), s AS (
   SELECT dedupe_key, CASE WHEN n % 2 = 0 THEN model END AS model, session_id, input_tokens,
     CASE WHEN n % 10 = 0 THEN 2 ELSE 1 END AS v FROM own WHERE n % 3 <> 0

@@ -12,7 +12,7 @@ from usagelake.functions import classify as cl
 from usagelake.functions import measures
 from usagelake.functions import text as tx
 from usagelake.functions.ids import is_real_model
-from usagelake.operators import active, enrichment, feed, filters, maintenance as mt
+from usagelake.operators import active, enrichment, feed, filters, lookups, maintenance as mt
 from usagelake.operators import projects as pj, prompts as pr, rollups as ru, sessions as ss
 from usagelake.operators import totals as tt
 from usagelake.plans import insights, overview as ov
@@ -117,9 +117,9 @@ SELECT {_key} AS bucket, {P} AS prompts, count(DISTINCT session_id)::BIGINT AS s
         return tt.buckets(v.tables(spark, sf).events, grain)
 
 
-@query("first_event", EV + "SELECT min(ts_ms) AS first_event_ms FROM ev WHERE provider_id = 'alpha-cli'")
+@query("first_event", EV + "SELECT min(ts_ms) AS first_event_ms FROM ev")
 def _(spark, sf):
-    return tt.first_event(filters.apply_filters(v.tables(spark, sf), CLI))
+    return tt.first_event(v.tables(spark, sf).events)
 
 
 @query("provider_summary", DMS + """
@@ -268,17 +268,17 @@ def _(spark, sf):
 
 @query("active_hours", EV + """
 SELECT h AS hour, coalesce(n, 0)::BIGINT AS prompts FROM range(24) r(h) LEFT JOIN (
-  SELECT local_hour AS h, count(*) AS n FROM ev WHERE event_type = 'prompt' AND provider_id = 'chat-log' GROUP BY 1) USING (h)""")
+  SELECT local_hour AS h, count(*) AS n FROM ev WHERE event_type = 'prompt' GROUP BY 1) USING (h)""")
 def _(spark, sf):
-    f = EventFilters(provider_id="chat-log", event_type="prompt")
+    f = EventFilters(event_type="prompt")
     return tt.active_hours(filters.apply_filters(v.tables(spark, sf), f))
 
 
 @query("active_weekdays", EV + """
 SELECT w AS weekday, coalesce(n, 0)::BIGINT AS prompts FROM range(7) r(w) LEFT JOIN (
-  SELECT local_weekday AS w, count(*) AS n FROM ev WHERE event_type = 'prompt' AND provider_id = 'doc-review' GROUP BY 1) USING (w)""")
+  SELECT local_weekday AS w, count(*) AS n FROM ev WHERE event_type = 'prompt' GROUP BY 1) USING (w)""")
 def _(spark, sf):
-    f = EventFilters(provider_id="doc-review", event_type="prompt")
+    f = EventFilters(event_type="prompt")
     return tt.active_weekdays(filters.apply_filters(v.tables(spark, sf), f))
 
 
@@ -299,12 +299,11 @@ def _(spark, sf):
 
 
 @query("cache_reuse", EV + """
-SELECT provider_id, round((sum(cache_read_tokens) / nullif(coalesce(sum(input_tokens), 0) + coalesce(sum(cache_read_tokens), 0)
-  + coalesce(sum(cache_write_tokens), 0), 0))::DOUBLE, 6) AS cache_reuse FROM ev WHERE provider_id NOT IN ('chat-log', 'doc-review') GROUP BY 1""")
+SELECT provider_id, round((coalesce(sum(cache_read_tokens), 0) / nullif(coalesce(sum(input_tokens), 0) + coalesce(sum(cache_read_tokens), 0)
+  + coalesce(sum(cache_write_tokens), 0), 0))::DOUBLE, 6) AS cache_reuse FROM ev GROUP BY 1""")
 def _(spark, sf):
     t = v.tables(spark, sf)
-    rows = tt.counters(t.events.where(~F.col("provider_id").isin("chat-log", "doc-review")),
-                       ["provider_id"])
+    rows = tt.counters(t.events, ["provider_id"])
     return rows.select("provider_id", measures.cache_reuse(
         F.col("input_tokens"), F.col("cache_read_tokens"), F.col("cache_write_tokens")
     ).alias("cache_reuse"))
@@ -540,6 +539,32 @@ def _(spark, sf):
     return pr.repeated(v.tables(spark, sf))
 
 
+@query("newest_events", EV + """
+SELECT provider_id, max_by(event_id, (ts_ms, event_id)) AS event_id, max(ts_ms) AS ts_ms FROM ev GROUP BY 1""")
+def _(spark, sf):
+    return lookups.newest(v.tables(spark, sf).events)
+
+
+@query("sessions_without_start", EV + """
+SELECT session_id FROM ev WHERE session_id IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (event_type = 'session_start') = 0""")
+def _(spark, sf):
+    return lookups.sessions_without_start(v.tables(spark, sf).events)
+
+
+@query("session_by_external_id", EV + f"""
+SELECT session_id, provider_id, count(*)::BIGINT AS events FROM ev WHERE session_id = {ONE} GROUP BY ALL""")
+def _(spark, sf):
+    return lookups.session_of(v.tables(spark, sf), "alpha-cli", "s8")
+
+
+@query("events_present", EV + """
+SELECT event_id, true::BIGINT AS present FROM ev WHERE event_type = 'prompt' UNION ALL SELECT 'not-there', 0::BIGINT""")
+def _(spark, sf):
+    events = v.tables(spark, sf).events
+    keys = events.where(F.col("event_type") == "prompt").select("event_id")
+    return lookups.present(events, keys.unionByName(keys.limit(1).select(F.lit("not-there").alias("event_id"))))
+
+
 @query("prompt_length", PRS + """
 SELECT round(avg(char_length), 6) AS avg_chars, round(avg(word_length), 6) AS avg_words, count(*)::BIGINT AS total FROM prompts_d""")
 def _(spark, sf):
@@ -656,13 +681,13 @@ def _(spark, sf):
 @query("classifier_confusion", NTS + """
 SELECT CASE WHEN contains(pad, ' test ') THEN 'Testing' ELSE 'Other' END AS expected,
   category AS predicted, count(*)::BIGINT AS count
-FROM (SELECT n0.pad, note.category FROM n0 JOIN note USING (event_id) WHERE len(n0.tools) = 0) GROUP BY 1, 2""")
+FROM (SELECT n0.pad, note.category FROM n0 JOIN note USING (event_id)) GROUP BY 1, 2""")
 def _(spark, sf):
     t = v.tables(spark, sf)
-    bare = enrichment.pending(t).where((F.size("tool_names") == 0) & F.col("text").isNotNull())
+    due = enrichment.pending(t).where(F.col("text").isNotNull())
     padded = F.concat(F.lit(" "), tx.normalized_text(F.col("text")), F.lit(" "))
-    labelled = bare.select(
-        "text", F.when(F.contains(padded, F.lit(" test ")), "Testing").otherwise("Other")
+    labelled = due.select(
+        "text", "tool_names", F.when(F.contains(padded, F.lit(" test ")), "Testing").otherwise("Other")
         .alias("expected"),
     )
     return enrichment.confusion(labelled)
@@ -846,9 +871,35 @@ def _(spark, sf):
     )
 
 
+ASKED = f"(SELECT count(*) FROM ev WHERE event_type = 'prompt' AND {IN_SPAN})"
+
+
+def of_all(count: str, total: str = ASKED) -> str:
+    return f"(floor({count}::DOUBLE / {total} * 1000.0 + 0.5) / 10.0)::DOUBLE AS share"
+
+
+OVERVIEW_SQL = {
+    "sources": DMS + f"""
+SELECT ev.provider_id AS key, coalesce(max(p.name), ev.provider_id) AS name, {P} AS count, {of_all('count(*) FILTER (event_type = $$prompt$$)')}
+FROM ev LEFT JOIN providers_d p USING (provider_id) WHERE ev.{IN_SPAN} GROUP BY 1 HAVING {P} > 0""",
+    "categories": NTS + f"""
+SELECT *, {of_all('count')} FROM ({BY_CATEGORY} AND ev.{IN_SPAN} GROUP BY 1)""",
+    "projects": DMS + f"""
+SELECT ev.project_id AS key, coalesce(max(p.name), ev.project_id) AS name, count(*)::BIGINT AS count, {of_all('count(*)')}
+FROM ev LEFT JOIN projects_d p USING (project_id) WHERE event_type = 'prompt' AND ev.project_id IS NOT NULL AND ev.{IN_SPAN}
+GROUP BY 1 ORDER BY count DESC, key LIMIT 8""",
+    "technologies": NTS + f"""
+SELECT technology AS key, count(*)::BIGINT AS count, {of_all('count(*)')} FROM tech_d WHERE {IN_SPAN} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
+    "timeline": EV + ACTIVE + f"""
+SELECT local_date::VARCHAR AS bucket, {P} AS prompts, {tokens(('input_tokens', 'output_tokens'))}, round(sum(cost), 6) AS estimated_cost_usd,
+  count(DISTINCT session_id)::BIGINT AS sessions,
+  (SELECT coalesce(sum(active_ms), 0)::BIGINT FROM act WHERE day = ev.local_date) AS active_ms
+FROM ev WHERE {IN_SPAN} GROUP BY local_date""",
+}
+
 for _part in ("sources", "categories", "projects", "technologies", "models", "timeline"):
 
-    @query(f"overview_{_part}")
+    @query(f"overview_{_part}", OVERVIEW_SQL.get(_part, "").replace("$$", "'") or None)
     def _(spark, sf, part=_part):
         t, s = v.tables(spark, sf), scope()
         return ov.overview(t, s, *rolled(spark, sf))[part]
