@@ -15,6 +15,7 @@ few of them are text. What is left is reported as a secret.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
+MATCHES = "array<struct<skipped:int,length:int,good:boolean,match:string>>"
+#: In lower case, one of these is in every text with an assignment.
+KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+
 #: A run of signs that encodings use, as long as it goes, of 20 signs or more.
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 # Encodings and their signs in order of value.
@@ -49,10 +54,12 @@ FALSE_SHARE = 0.05
 STEPS, POWERS = 20, 16
 
 
-def found_in(text: Column, pattern: str, value: int = 0, least: int = 1) -> Column:
-    """Every match of a pattern: characters since the match before, length, length of the value.
+def found_in(text: Column, may: Column, pattern: str, value: int = 0, least: int = 1) -> Column:
+    """Every match of a pattern: characters since the match before, length, whether the value is as
+    long as ``least``, and the match.
 
-    Pieces between matches and the matches themselves are zipped, so each is cut out once.
+    Pieces between matches and the matches themselves are zipped, so each is cut out once. ``may``
+    is a cheap test that every text with a match passes.
     """
     parts = F.arrays_zip(
         F.split(text, pattern, -1).alias("between"),
@@ -60,10 +67,11 @@ def found_in(text: Column, pattern: str, value: int = 0, least: int = 1) -> Colu
         F.regexp_extract_all(text, F.lit(pattern), F.lit(value)).alias("value"),
     )
     matches = F.filter(parts, lambda p: p["match"].isNotNull())
-    return F.transform(matches, lambda p: F.struct(
+    found = F.transform(matches, lambda p: F.struct(
         F.length(p["between"]).alias("skipped"), F.length(p["match"]).alias("length"),
         (F.length(p["value"]) >= least).alias("good"), p["match"].alias("match"),
     ))
+    return F.when(may, found).otherwise(F.array().cast(MATCHES))
 
 
 def _tail(z: Column) -> Column:
@@ -123,10 +131,18 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     # A byte string that isn't UTF-8 is out of scope: text columns hold UTF-8.
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    rows = stage(docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"),
-        found_in(body, ASSIGN, 2, 6).alias("assign"), found_in(body, ACCESS, 0, 20).alias("access"),
-        found_in(body, HEX, 0, 24).alias("hex"), found_in(body, RUN, 0, 20).alias("random"),
+    keyword = reduce(lambda a, b: a | b, [F.contains("lowered", F.lit(k)) for k in KEYWORDS])
+    # A run of hexadecimal digits is part of a run of any signs, so one search settles both.
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("body"), F.lower(body).alias("lowered"))
+    tested = texts.select("doc_id", "body", keyword.alias("keyword"),
+                          F.contains("body", F.lit("AKIA")).alias("akia"), F.col("body").rlike(RUN).alias("run"))
+    body = F.col("body")
+    rows = stage(tested.select(
+        F.monotonically_increasing_id().alias("row"), "doc_id",
+        found_in(body, F.col("keyword"), ASSIGN, 2, 6).alias("assign"),
+        found_in(body, F.col("akia"), ACCESS, 0, 20).alias("access"),
+        found_in(body, F.col("run"), HEX, 0, 24).alias("hex"),
+        found_in(body, F.col("run"), RUN, 0, 20).alias("random"),
     ))
     matches = None
     for rank, kind in enumerate(KINDS):
