@@ -111,11 +111,12 @@ def union_touched(*frames: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def existing_keys(events: DataFrame, keys: DataFrame) -> DataFrame:
-    """Which of the given dedupe keys are already stored."""
-    return keys.select("dedupe_key").distinct().join(
-        events.select("dedupe_key"), "dedupe_key", "left_semi"
-    )
+def existing_keys(events: DataFrame, keys: DataFrame, *columns: str) -> DataFrame:
+    """Which of the given dedupe keys are already stored, with these columns of the stored rows."""
+    wanted = keys.select("dedupe_key").distinct()
+    if not columns:
+        return wanted.join(events.select("dedupe_key"), "dedupe_key", "left_semi")
+    return events.select(*columns).join(wanted, "dedupe_key", "left_semi")
 
 
 def new_projects(batch: DataFrame) -> DataFrame:

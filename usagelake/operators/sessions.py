@@ -112,10 +112,6 @@ def prune_empty(sessions: DataFrame, events: DataFrame) -> DataFrame:
     return sessions.join(events.select("session_id").distinct(), "session_id", "left_semi")
 
 
-def without_start(sessions: DataFrame) -> DataFrame:
-    return sessions.where(F.col("started_ms").isNull()).select("session_id")
-
-
 def session_list(
     tables: Tables, f: EventFilters | None = None, idle_ms: int = DEFAULT_IDLE_MS,
     tail_ms: int = TAIL_MS, limit: int | None = 50, cursor: tuple[int, str] | None = None,

@@ -12,7 +12,7 @@ PROVIDER_ID = "claude-code"
 PRODUCT_NAME = "Claude Code"
 DRIFT_MIN_SAMPLE = 50
 DRIFT_MIN_COVERAGE = 0.5
-HEAD_BYTES = 4096
+HEAD_CHARS = 4096
 
 _EVENT = (
     "struct<external_id:string,event_type:string,model:string,prompt:string,response:string,"
@@ -93,16 +93,16 @@ def changed_files(current: DataFrame, watermarks: DataFrame) -> DataFrame:
 
 
 def file_heads(spark: SparkSession, directory: str, pattern: str = "*.jsonl") -> DataFrame:
-    """Size and hash of the first bytes of each transcript, for rewrite detection."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(directory)
-    )
-    return files.select(
-        F.col("path").alias("source_path"), F.col("length").alias("file_size"),
-        F.sha2(F.substring("content", 1, HEAD_BYTES), 256).alias("head_hash"),
+    """Size and hash of the first line of each transcript, for rewrite detection.
+
+    Files of any size are read line by line; the lines of a file's first block are in order within
+    their task, so the smallest row number is the first line.
+    """
+    lines = read_lines(spark, directory, pattern=pattern).where("block_start = 0")
+    placed = lines.withColumn("at", F.monotonically_increasing_id())
+    return placed.groupBy("source_path").agg(
+        F.max("file_size").alias("file_size"),
+        F.sha2(F.min_by(F.substring("value", 1, HEAD_CHARS), F.col("at")), 256).alias("head_hash"),
     )
 
 

@@ -57,18 +57,20 @@ class Ingest:
         normalized = store.stage(name, "normalized", nz.normalize(accepted, self.settings))
 
         stored = store.read("events")
-        outcome = store.stage(name, "outcome", merge.merge_outcome(stored, normalized))
-        fresh = merge.merge_events(None, normalized)
+        known = None
         if stored is not None:
-            fresh = fresh.join(stored.select("dedupe_key"), "dedupe_key", "left_anti")
+            # The stored log is probed once; what the batch meets there is small and staged.
+            known = store.stage(name, "known", merge.existing_keys(
+                stored, normalized, "dedupe_key", *DAYS))
+        outcome = store.stage(name, "outcome", merge.merge_outcome(known, normalized))
+        fresh = merge.merge_events(None, normalized)
+        if known is not None:
+            fresh = fresh.join(known.select("dedupe_key"), "dedupe_key", "left_anti")
         fresh = store.stage(name, "fresh", fresh)
         touched = merge.touched_days(normalized)
-        if stored is not None:
+        if known is not None:
             # A later copy may carry another clock than the stored one, so its day is touched too.
-            hit = stored.select("dedupe_key", *DAYS).join(
-                normalized.select("dedupe_key"), "dedupe_key", "left_semi"
-            )
-            touched = merge.union_touched(touched, hit.select(*DAYS))
+            touched = merge.union_touched(touched, known.select(*DAYS))
         touched = store.stage(name, "touched", touched)
 
         batch = nz.split_tables(normalized).events
