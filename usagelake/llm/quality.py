@@ -15,10 +15,10 @@ its language.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ ORDER = 5
 #: Bits of a character: code points below 2,048 as they are, others folded into as many classes.
 BITS = 12
 CLASSES = 1 << BITS
-#: Rows of the tables in a shard, besides those of the two lowest orders: 24 bytes each.
+#: Rows of the tables in a shard, besides those of the two lowest orders: 16 bytes each.
 SHARD_ROWS = 1 << 21
 #: Characters handled at once in a task.
 CHUNK = 1 << 22
@@ -89,10 +89,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(trusted: DataFrame, text: str = "text") -> DataFrame:
-    """The stored model: (kind, size, code, value).
+    """The stored model: (table, code, value).
 
-    kind ``p``: the discounted share of an n-gram of so many characters; kind ``rest``: what is
-    left to the next lower order after a context of so many characters.
+    Table 2 k has the discounted shares of n-grams of k characters, table 2 k - 1 what is left to
+    the next lower order after the contexts of such n-grams.
     """
     some = trusted.select(F.col(f"`{text}`").cast("string"))
     counts = stage(some.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
@@ -107,10 +107,10 @@ def train(trusted: DataFrame, text: str = "text") -> DataFrame:
             "cut", F.element_at(F.array(*map(F.lit, cut)), F.least("n", F.lit(3)).cast("int")))
         total = grouped.groupBy("context").agg(F.sum("n").alias("all"), F.sum("cut").alias("freed"))
         share = grouped.join(total, "context").select(
-            F.lit("p").alias("kind"), F.lit(size).alias("size"), F.col("gram").alias("code"),
-            ((F.col("n") - F.col("cut")) / F.col("all")).alias("value"))
-        rest = total.select(F.lit("rest").alias("kind"), F.lit(size - 1).alias("size"),
-                            F.col("context").alias("code"), (F.col("freed") / F.col("all")).alias("value"))
+            F.lit(2 * size).alias("table"), F.col("gram").alias("code"),
+            ((F.col("n") - F.col("cut")) / F.col("all")).cast("float").alias("value"))
+        rest = total.select(F.lit(2 * size - 1).alias("table"), F.col("context").alias("code"),
+                            (F.col("freed") / F.col("all")).cast("float").alias("value"))
         tables += [share, rest]
     model = tables[0]
     for table in tables[1:]:
@@ -128,20 +128,35 @@ def discounts(counts_of_counts: list[int]) -> list[float]:
 
 
 class Shard:
-    """Tables for the positions whose last two context characters fall into the shard."""
+    """Tables for the positions whose last two context characters fall into the shard.
 
-    def __init__(self, rows: pd.DataFrame, number: int, shards: int):
+    On its way to the tasks a shard is packed: codes in order as steps, then compressed. Tasks
+    index it when they first use it.
+    """
+
+    def __init__(self, rows: pa.Table, number: int, shards: int):
         self.number, self.shards = number, shards
-        self.tables = {}
-        for (kind, size), part in rows.groupby(["kind", "size"]):
-            code = part["code"].to_numpy().view(np.uint64)
-            order = np.argsort(code)
-            self.tables[kind, size] = code[order], part["value"].to_numpy()[order].astype(np.float32)
-        self._index()
+        table, code = rows.column("table").to_numpy(), rows.column("code").to_numpy().view(np.uint64)
+        order = np.lexsort((code, table))
+        self.code, self.value = code[order], rows.column("value").to_numpy()[order]
+        self.ends = np.searchsorted(table[order], np.arange(2 * ORDER + 2))
+        self.tables: list[tuple[np.ndarray, np.ndarray]] | None = None
+
+    def __getstate__(self):
+        steps = np.diff(self.code, prepend=np.uint64(0))
+        return (self.number, self.shards, self.ends, zlib.compress(steps.tobytes(), 1),
+                zlib.compress(self.value.astype("<f4").tobytes(), 1))
+
+    def __setstate__(self, state):
+        self.number, self.shards, self.ends, steps, values = state
+        self.code = np.cumsum(np.frombuffer(zlib.decompress(steps), dtype=np.uint64), dtype=np.uint64)
+        self.value = np.frombuffer(zlib.decompress(values), dtype="<f4")
+        self.tables = None
 
     def _index(self) -> None:
         """A hash table of the log-probabilities of all 5-grams seen; where two collide one stays."""
-        seen, _ = self.tables.get(("p", ORDER), (np.zeros(0, dtype=np.uint64), None))
+        self.tables = [(self.code[a:b], self.value[a:b]) for a, b in zip(self.ends, self.ends[1:])]
+        seen, _ = self.tables[2 * ORDER]
         self.bits = max(8, int(4 * len(seen)).bit_length())
         self.slots = np.full(1 << self.bits, np.iinfo(np.uint64).max, dtype=np.uint64)
         self.logs = np.zeros(1 << self.bits, dtype=np.float32)
@@ -152,8 +167,8 @@ class Shard:
     def _slot(self, gram: np.ndarray) -> np.ndarray:
         return (gram * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def _look(self, kind: str, size: int, code: np.ndarray, missing: float) -> np.ndarray:
-        codes, values = self.tables.get((kind, size), (np.zeros(0, dtype=np.uint64), np.zeros(0)))
+    def _look(self, table: int, code: np.ndarray, missing: float) -> np.ndarray:
+        codes, values = self.tables[table]
         if not len(codes):
             return np.full(len(code), missing)
         at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
@@ -163,10 +178,13 @@ class Shard:
         p = np.full(len(gram), 1.0 / CLASSES)
         for size in range(1, ORDER + 1):
             code = gram & np.uint64((1 << BITS * size) - 1)
-            p = self._look("p", size, code, 0.0) + self._look("rest", size - 1, code >> np.uint64(BITS), 1.0) * p
+            rest = self._look(2 * size - 1, code >> np.uint64(BITS), 1.0)
+            p = self._look(2 * size, code, 0.0) + rest * p
         return np.log(p)
 
     def log_p(self, gram: np.ndarray) -> np.ndarray:
+        if self.tables is None:
+            self._index()
         at = self._slot(gram)
         out = self.logs[at].astype(np.float64)
         miss = np.flatnonzero(self.slots[at] != gram)
@@ -188,17 +206,16 @@ def _shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
 
 def shards_of(model: DataFrame) -> Iterator[Shard]:
     """The shards of a stored model, one after the other; as many as its rows ask for."""
-    shards = max(1, -(-model.where("size > 2").count() // SHARD_ROWS))
-    context = F.when(F.col("kind") == "p", F.shiftright("code", BITS)).otherwise(F.col("code"))
+    shards = max(1, -(-model.where("table > 4").count() // SHARD_ROWS))
+    context = F.when(F.col("table") % 2 == 0, F.shiftright("code", BITS)).otherwise(F.col("code"))
     pair = context.bitwiseAND((1 << 2 * BITS) - 1)
     number = F.shiftright(pair * 2654435761, 8) % shards
-    low = (F.col("size") + (F.col("kind") == "rest").cast("int")) <= 2
     for i in range(shards):
-        yield Shard(model.where(low | (number == i)).toPandas(), i, shards)
+        yield Shard(model.where((F.col("table") <= 4) | (number == i)).toArrow(), i, shards)
 
 
 def _score(docs: DataFrame, shard: Shard) -> DataFrame:
-    """(doc_id, body_hash, lang, n, log_p) per document: what the shard's positions add."""
+    """Stored: (doc_id, body_hash, lang, n, log_p) per document: what the shard's positions add."""
     spread = docs.sparkSession.sparkContext.broadcast(shard)
     schema = T.StructType([
         *[docs.schema[c] for c in ("doc_id", "body_hash", "lang")],
@@ -226,7 +243,9 @@ def _score(docs: DataFrame, shard: Shard) -> DataFrame:
                     pa.array(np.add.reduceat(values, first)),
                 ], schema=arrow)
 
-    return docs.mapInArrow(score, schema)
+    scored = stage(docs.mapInArrow(score, schema))
+    spread.destroy()  # what it gave is stored
+    return scored
 
 
 def perplexity(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -235,7 +254,7 @@ def perplexity(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text:
     body = F.col(f"`{text}`").cast("string")
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("body_hash"),
                          F.col(f"`{lang}`").cast("string").alias("lang"), body.alias("text"))
-    parts = [stage(_score(narrow, shard)) for shard in shards_of(model)]
+    parts = [_score(narrow, shard) for shard in shards_of(model)]
     if len(parts) == 1:
         rows = parts[0]
     else:
