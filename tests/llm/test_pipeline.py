@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+from tests.llm import data
 from usagelake.llm import decontaminate, language, mixing, simhash
 from usagelake.llm.common import read, stage
 from usagelake.llm.queries import QUERIES
@@ -34,5 +35,16 @@ def test_stages(spark):
     assert Counter(map(tuple, whole.select(order).collect())) == Counter(map(tuple, kept[5].select(order).collect()))
 
 
+def test_stages_stand_odd_documents(spark):
+    documents = data.plain(30) + data.odd()
+    for rows in (documents, []):
+        docs = data.frame(spark, rows, clash=True)
+        for name, apply in corpus_pipeline.STAGES[:-1]:
+            out = apply(spark, docs, SMALL)
+            assert set(out.columns) == set(docs.columns), name
+            assert out.count() <= 3 * len(rows), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == len(rows)
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
