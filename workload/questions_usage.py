@@ -22,7 +22,7 @@ from usagelake.sources import export as ex
 from usagelake.sources import push
 from workload import views as v
 from workload.oracle_base import (
-    ALL, DIM, IDLE, LOG, NOTES, TAIL, TEXT, active as act, gaps, normalized, q, with_,
+    ALL, DIM, IDLE, LOG, NOTES, TAIL, TEXT, active as act, gaps, q, with_,
 )
 from workload.registry import flat, query
 
@@ -34,7 +34,6 @@ SETTINGS = Settings(timezone="UTC", idle_ms=IDLE, as_of=AS_OF)
 F_SPAN = EventFilters(from_day="2024-01-16", to_day="2024-01-30")
 IN_SPAN = "local_date BETWEEN DATE '2024-01-16' AND DATE '2024-01-30'"
 IN_PREV = "local_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-15'"
-CLI = EventFilters(provider_id="alpha-cli")
 
 MACHINE = (
     r"(?is)^(<task-notification|<system-reminder|<ide.|<command-|<local-command"
