@@ -25,15 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back.
+def stage(df: DataFrame, **options) -> DataFrame:
+    """Write a frame to the shared folder and read it back. ``options`` go to the Parquet writer.
 
     It cuts the lineage, so a lost executor costs a re-read and not a recomputation, and columns
     that a later step does not need are not read again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/usagelake-llm/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
