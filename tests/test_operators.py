@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 import random
 import tempfile
@@ -237,6 +238,25 @@ def test_transcript_changes(spark, transcript, tmp_path):
     assert [r.reason for r in tr.changed_files(tr.file_heads(spark, transcript), marks).collect()] == ["rewritten"]
 
 
+def test_transcript_rewritten_behind_its_first_line(spark, tmp_path):
+    path = tmp_path / "one.jsonl"
+    path.write_bytes(b'{"type":"summary"}\n' + "é\r\n".encode() + b"a" * 3000 + b"\n" + b"b" * 3000 + b"\n\nlast")
+    (tmp_path / "short.jsonl").write_bytes(b"{}\n\n")
+    old = tr.file_heads(spark, str(tmp_path))
+    marks = spark.createDataFrame(old.collect(), old.schema)
+    hashes = {r.source_path.rsplit("/", 1)[1]: r.head_hash for r in marks.collect()}
+    for name, found in hashes.items():
+        assert found == hashlib.sha256((tmp_path / name).read_bytes()[:4096]).hexdigest()
+    body = path.read_bytes()
+    path.write_bytes(body.replace(b"aaa", b"xyz"))
+    for tail in (b"", b"\ngrown"):
+        with open(path, "ab") as f:
+            f.write(tail)
+        assert [r.reason for r in tr.changed_files(tr.file_heads(spark, str(tmp_path)), marks).collect()] == ["rewritten"]
+    path.write_bytes(body + b"\ngrown")
+    assert [r.reason for r in tr.changed_files(tr.file_heads(spark, str(tmp_path)), marks).collect()] == ["appended"]
+
+
 def test_manifests(spark, tmp_path):
     app = tmp_path / "my app+x"
     app.mkdir()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelake.functions.exprs import strip
@@ -12,7 +12,7 @@ PROVIDER_ID = "claude-code"
 PRODUCT_NAME = "Claude Code"
 DRIFT_MIN_SAMPLE = 50
 DRIFT_MIN_COVERAGE = 0.5
-HEAD_CHARS = 4096
+HEAD_BYTES = 4096
 
 _EVENT = (
     "struct<external_id:string,event_type:string,model:string,prompt:string,response:string,"
@@ -93,16 +93,32 @@ def changed_files(current: DataFrame, watermarks: DataFrame) -> DataFrame:
 
 
 def file_heads(spark: SparkSession, directory: str, pattern: str = "*.jsonl") -> DataFrame:
-    """Size and hash of the first line of each transcript, for rewrite detection.
+    """Size and hash of the first 4 KB of each transcript, for rewrite detection.
 
-    Files of any size are read line by line; the lines of a file's first block are in order within
-    their task, so the smallest row number is the first line.
+    Files of any size are read line by line, and the lines of a block are in order within their
+    task. Only the lines that begin in the first 4 KB are put together again; every line but an
+    unfinished last one ends in a line feed, so the file's own size tells where the head ends.
     """
-    lines = read_lines(spark, directory, pattern=pattern).where("block_start = 0")
-    placed = lines.withColumn("at", F.monotonically_increasing_id())
-    return placed.groupBy("source_path").agg(
-        F.max("file_size").alias("file_size"),
-        F.sha2(F.min_by(F.substring("value", 1, HEAD_CHARS), F.col("at")), 256).alias("head_hash"),
+    lines = read_lines(spark, directory, pattern=pattern).where(F.col("block_start") < HEAD_BYTES)
+    placed = lines.select(
+        "source_path", "file_size", "block_start", F.monotonically_increasing_id().alias("at"),
+        (F.octet_length("value") + 1).alias("length"),
+        F.substring(F.concat(F.col("value").cast("binary"), F.lit(b"\n")), 1, HEAD_BYTES).alias("head"),
+    )
+    earlier = Window.partitionBy("source_path").orderBy("block_start", "at").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    first = placed.withColumn("start", F.coalesce(F.sum("length").over(earlier), F.lit(0))).where(
+        F.col("start") < HEAD_BYTES
+    )
+    parts = F.array_sort(F.collect_list(F.struct("start", F.hex("head").alias("head"))))
+    files = first.groupBy("source_path").agg(
+        F.max("file_size").alias("file_size"), F.array_join(parts["head"], "").alias("head")
+    )
+    size = F.least(F.col("file_size"), F.lit(HEAD_BYTES)).cast("int")
+    return files.select(
+        "source_path", "file_size",
+        F.sha2(F.substring(F.unhex("head"), F.lit(1), size), 256).alias("head_hash"),
     )
 
 
