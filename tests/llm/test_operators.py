@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import data
 from usagelake.llm import (decontaminate, exact_dedup, language, licenses, line_dedup, mixing, quality, secrets,
-                           sharding, simhash)
+                           sharding, simhash, similar)
 from usagelake.llm.components import components
 
 PLAIN = re.compile(r"[^\x20\x09-\x0D]+")
@@ -164,6 +164,58 @@ def test_near_duplicates_and_the_rows_that_stay(spark):
     assert {r["doc_id"] for r in kept.collect()} <= {d[0] for d in documents}
 
 
+def linked(texts, near):
+    label = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near(i, j)]
+    while True:
+        before = label[:]
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            return label
+
+
+def varied():
+    """Texts with 1 to 40 words changed, in chains, and others that only share a long passage."""
+    rng = random.Random(21)
+    words = ["w%d" % i for i in range(4000)]
+    passage = rng.choices(words, k=60)
+    out = []
+    for group in range(12):
+        text = rng.choices(words, k=rng.choice((6, 30, 200, 600)))
+        for _ in range(12):
+            text = list(text)
+            for _ in range(rng.randint(0, 1 + len(text) // 30)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            out.append(" ".join(text))
+    out += [" ".join(passage + rng.choices(words, k=40)) for _ in range(30)]
+    return out + ["one two", "One  two", "", " "]
+
+
+@pytest.mark.parametrize("block", (4, similar.BLOCK))
+def test_near_duplicates_by_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    texts = varied()
+    words = [lower(t).split() for t in texts]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    label = linked(texts, lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    docs = data.frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]).repartition(3)
+    got = dict(rows(simhash.near_duplicates(docs).select("doc_id", "component_id")))
+    assert got == dict(enumerate(label))
+    assert {r["doc_id"] for r in simhash.one_of_each(docs).collect()} == set(label)
+
+
+def test_near_duplicates_by_distance(spark):
+    texts = varied()
+    prints = [simhash.fingerprint_of(t.encode()) for t in texts]
+    label = linked(texts, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    docs = data.frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])
+    got = dict(rows(simhash.near_duplicates(docs, shingle=3, distance=3).select("doc_id", "component_id")))
+    assert got == dict(enumerate(label))
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(docs, distance=4)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

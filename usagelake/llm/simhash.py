@@ -14,11 +14,15 @@ pigeonhole principle, in one of two ways:
 
 So every linked pair meets under at least one key, which holds 33 bits or more. Fingerprints that
 meet are compared in full.
+
+At similarity 0.8 about 10 of the 64 bits differ, and keys of so few bits would pair everything. A
+least similarity is therefore answered by ``similar``, an exact join of the sets of shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import permutations, repeat
 
 import numpy as np
@@ -28,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import similar
 from .common import keep_rows, lookup, read, stage
 from .components import components
 from .registry import query
@@ -65,17 +70,17 @@ def golay_indices() -> np.ndarray:
     return _decoded[0]
 
 
-def fingerprint_of(text: bytes | None) -> int:
+def fingerprint_of(text: bytes | None, shingle: int = SHINGLE) -> int:
     """The fingerprint of one text as an unsigned number; 0 for a text without words."""
     words = (text or b"").lower().split()
     if not words:
         return 0
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype="<u8")
     else:
-        grams = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))
+        grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype="<u8",
-                             count=len(words) - SHINGLE + 1)
+                             count=len(words) - shingle + 1)
     columns = hashes.view(np.uint8).reshape(-1, 8)
     if len(hashes) < 256:
         ones = np.unpackbits(columns, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -84,14 +89,13 @@ def fingerprint_of(text: bytes | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint_of(t) for t in texts], dtype=np.uint64).view(np.int64))
-
-
-def fingerprint(text: Column) -> Column:
+def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     """The 64 bits as a signed number."""
-    return _fingerprints(F.encode(text.cast("string"), "UTF-8"))
+    @F.pandas_udf(T.LongType())
+    def fingerprints(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint_of(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+
+    return fingerprints(F.encode(text.cast("string"), "UTF-8"))
 
 
 def _unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +173,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _links_of(asks: np.ndarray, answers: np.ndarray, ask_of: np.ndarray, answer_from: np.ndarray,
-              answer_n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+              answer_n: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Compares each asking row with the answering rows of its group, some pairs at a time."""
     total = np.cumsum(answer_n[ask_of])
     start = 0
@@ -181,13 +185,13 @@ def _links_of(asks: np.ndarray, answers: np.ndarray, ask_of: np.ndarray, answer_
         left = np.repeat(asks[start:end], times)
         step = np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times)
         right = answers[np.repeat(answer_from[group], times) + step]
-        near = (left != right) & (np.bitwise_count(left ^ right) <= DISTANCE)
+        near = (left != right) & (np.bitwise_count(left ^ right) <= distance)
         if near.any():
             yield forest(left[near].view(np.int64), right[near].view(np.int64))
         start = end
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], distance: int = DISTANCE) -> Iterator[pd.DataFrame]:
     """Links of rows sorted by (key, ask_block, answer_block), of which each set is a group."""
     held: pd.DataFrame | None = None
 
@@ -197,7 +201,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asking = rows["asks"].to_numpy()
         prints = rows["fp"].to_numpy().view(np.uint64)
         n = np.bincount(group[~asking], minlength=group[-1] + 1)
-        found = list(_links_of(prints[asking], prints[~asking], group[asking], np.cumsum(n) - n, n))
+        found = list(_links_of(prints[asking], prints[~asking], group[asking], np.cumsum(n) - n, n, distance))
         if found:
             u, v = forest(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
             yield pd.DataFrame({"u": u, "v": v})
@@ -213,14 +217,17 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from links(held)
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs (u, v) of distinct fingerprints that connect all those linked directly or in a chain.
 
     ``prints`` has a column fp without repeats. Keys that only one fingerprint has are dropped by an
     aggregation before anything is compared. A key's members are dealt over blocks by hash and each
     pair of blocks is compared in a group of its own, so a crowded key is spread over tasks; a
-    group hands on a tree of each component in it, never its pairs.
+    group hands on a tree of each component in it, never its pairs. The keys hold for a distance of
+    3 at most.
     """
+    if distance > DISTANCE:
+        raise ValueError(f"keys find pairs of {DISTANCE} differing bits at most")
     keys = prints.mapInPandas(_key_rows, "key long, role int, fp long")
     asks, answers = F.col("role").bitwiseAND(1) > 0, F.col("role") > 1
     shared = (
@@ -244,40 +251,54 @@ def links(prints: DataFrame) -> DataFrame:
     place = ["key", "ask_block", "answer_block"]
     return (
         both.repartition(*place).sortWithinPartitions(*place)
-        .select(*place, "asks", "fp").mapInPandas(_compare, "u long, v long")
+        .select(*place, "asks", "fp").mapInPandas(partial(_compare, distance=distance), "u long, v long")
     )
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = similar.SHINGLE,
+                    distance: int | None = None, least: tuple[int, int] = similar.LEAST) -> DataFrame:
     """One row per document: doc_id, body_hash, fp, root (of its component) and component_id.
 
-    Fingerprints of three-word shingles link at 3 or fewer differing bits; a component is all that
-    is linked directly or in a chain, and component_id the smallest id in it. Equal fingerprints
-    are one node, so copies cost nothing beyond their own rows. A text without words, null
-    included, has fingerprint zero and is linked like any other. Null ids are passed over when the
-    smallest is sought; a component of null ids only has component_id null. An empty table gives an
-    empty result; other columns are not looked at.
+    Without a ``distance`` two documents link if the Jaccard similarity of their sets of shingles of
+    ``shingle`` words is ``least`` or more, every pair verified, and fp tells the set. With one,
+    SimHash fingerprints fp link at ``distance`` or fewer differing bits, 3 at most, and ``least``
+    is not looked at.
+
+    A component is all that is linked directly or in a chain, and component_id the smallest id in
+    it. Equal fp are one node, so copies cost nothing beyond their own rows. A text without words,
+    null included, has no shingles or fingerprint zero and is equal to any other such text. Null
+    ids are passed over when the smallest is sought; a component of null ids only has component_id
+    null. An empty table gives an empty result; other columns are not looked at.
     """
-    body = F.col(f"`{text}`")
-    rows = stage(docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("body_hash"),
-        fingerprint(body).alias("fp"),
-    ))
+    if distance is None:
+        rows = similar.sets_of(docs, doc_id, text, shingle, least)
+    else:
+        body = F.col(f"`{text}`")
+        rows = stage(docs.select(
+            F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("body_hash"),
+            fingerprint(body, shingle).alias("fp"),
+        ))
     prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(prints.select("fp"))).withColumnRenamed("node", "fp")
+    if distance is None:
+        edges = similar.links(rows, docs, text, shingle, least)
+    else:
+        edges = links(prints.select("fp"), distance)
+    roots = components(edges).withColumnRenamed("node", "fp")
     rooted = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = lookup(rooted.select("fp", "root"), least, "root", "fp")
-    return lookup(rows, named, "fp", "doc_id").select("doc_id", "body_hash", "fp", "root", "component_id")
+    least_id = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = lookup(rooted.select("fp", "root"), least_id, "root", "fp")
+    return lookup(rows.select("doc_id", "body_hash", "fp"), named, "fp", "doc_id").select(
+        "doc_id", "body_hash", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = similar.SHINGLE,
+                distance: int | None = None, least: tuple[int, int] = similar.LEAST) -> DataFrame:
     """The documents that stay: of each component the row with the smallest id.
 
     Returns rows of ``docs`` with all their columns. Null ids come after all others; rows that
     repeat id and text stay once.
     """
-    found = near_duplicates(docs, doc_id, text)
+    found = near_duplicates(docs, doc_id, text, shingle, distance, least)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body_hash")
     first = found.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.body_hash")
     return keep_rows(docs, first, doc_id, text)
@@ -285,5 +306,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 @query("op1_simhash")
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).select(
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=SHINGLE, distance=DISTANCE).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
