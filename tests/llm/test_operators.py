@@ -164,6 +164,15 @@ def test_near_duplicates_and_the_rows_that_stay(spark):
     assert {r["doc_id"] for r in kept.collect()} <= {d[0] for d in documents}
 
 
+def test_clean_rows_that_repeat_all_stay(spark):
+    documents = [(1, "one two three", "en", "a", 1), (1, "one two three", "de", "b", 2), (1, "one two three", "de", "b", 2),
+                 (None, "four five", "en", "a", 1), (None, "four five", "en", "a", 1), (2, "bad text here", "en", "a", 1)]
+    benchmark = spark.createDataFrame([(1, "bad text")], "item_id int, text string")
+    clean = decontaminate.without_matches(data.frame(spark, documents), benchmark)
+    assert Counter(rows(clean)) == Counter(documents[:5])
+    assert simhash.one_of_each(data.frame(spark, documents)).count() == 3
+
+
 def linked(texts, near):
     label = list(range(len(texts)))
     pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near(i, j)]

@@ -105,10 +105,10 @@ def lookup(rows: DataFrame, table: DataFrame, on: str, spread: str, salts: int =
     return salted.join(parts, [on, "_salt"]).drop("_salt")
 
 
-def keep_rows(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
+def keep_rows(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str, once: bool = False) -> DataFrame:
     """The rows of ``docs`` whose id and text are those of a row of ``chosen`` (doc_id, body_hash).
 
-    Rows that repeat both stay once. All columns are kept; the texts are shuffled once.
+    Rows that repeat both all stay, or any of them if only ``once``. All columns are kept; the texts are shuffled once.
     """
     one, two = "_keep_key", "_keep_text"
     key = F.xxhash64(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`"))
@@ -116,4 +116,5 @@ def keep_rows(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> Dat
         F.xxhash64(F.col("doc_id").isNull(), "doc_id").alias(one), F.col("body_hash").alias(two)
     ).distinct()
     marked = docs.withColumn(one, key).withColumn(two, F.xxhash64(F.col(f"`{text}`")))
-    return marked.join(wanted, [one, two], "left_semi").dropDuplicates([one, two]).drop(one, two)
+    kept = marked.join(wanted, [one, two], "left_semi")
+    return (kept.dropDuplicates([one, two]) if once else kept).drop(one, two)

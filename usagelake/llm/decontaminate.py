@@ -259,7 +259,7 @@ def _together(blocks: list[DataFrame]) -> DataFrame:
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without an exact match, with all their columns."""
+    """All rows of ``docs`` without an exact match, repeated ones too, with all their columns."""
     found = find(docs, benchmark, doc_id, text)
     return keep_rows(docs, found.where("n_hit = 0"), doc_id, text)
 

@@ -301,7 +301,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     found = near_duplicates(docs, doc_id, text, shingle, distance, least)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body_hash")
     first = found.groupBy("root").agg(F.min(order).alias("first")).select("first.doc_id", "first.body_hash")
-    return keep_rows(docs, first, doc_id, text)
+    return keep_rows(docs, first, doc_id, text, once=True)
 
 
 @query("op1_simhash")
