@@ -164,6 +164,15 @@ def test_near_duplicates_and_the_rows_that_stay(spark):
     assert {r["doc_id"] for r in kept.collect()} <= {d[0] for d in documents}
 
 
+def test_documents_in_three_languages_are_accepted(spark):
+    documents = data.plain(90)
+    three = " ".join(next(d[1] for d in documents if d[2] == lang and len(d[1]) > 150)[:150] for lang in ("en", "de", "fr"))
+    documents += [(500, three, None, "s", 1), (501, "12 34", None, "s", 1), (502, None, None, "s", 1)]
+    docs = data.frame(spark, documents)
+    assert language.identify(docs).where("doc_id = 500 AND score < 0.5").count() == 1
+    assert {r["doc_id"] for r in language.accepted(docs).collect()} == {*range(90), 500}
+
+
 def test_clean_rows_that_repeat_all_stay(spark):
     documents = [(1, "one two three", "en", "a", 1), (1, "one two three", "de", "b", 2), (1, "one two three", "de", "b", 2),
                  (None, "four five", "en", "a", 1), (None, "four five", "en", "a", 1), (2, "bad text here", "en", "a", 1)]

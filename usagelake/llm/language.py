@@ -298,12 +298,18 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 
 def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
              least: float = 0.5) -> DataFrame:
-    """The rows whose language is known and has at least the share ``least`` of the letters."""
+    """The rows of which at least the share ``least`` of the letters lies in words of known languages,
+    however many of them there are."""
     model = learn(docs, text, lang, ~held_out(doc_id))
     found = "_language"
     marked = docs.withColumn(found, label(docs, model, text))
-    good = (F.col(f"{found}.lang_pred") != UNKNOWN) & (F.col(f"{found}.score") >= least)
-    return marked.where(good).drop(found)
+    spans = F.col(f"{found}.spans")
+
+    def letters(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0).cast("long"), lambda n, s: n + s["letters"])
+
+    known = letters(F.filter(spans, lambda s: s["lang"] != UNKNOWN))
+    return marked.where((known > 0) & (known >= least * letters(spans))).drop(found)
 
 
 @query("op8_language")
