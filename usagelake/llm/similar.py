@@ -6,8 +6,8 @@ and can still reach the overlap after the first shingle they share (positional f
 FIELD bits, of which every shingle flips one, tells a least number of different shingles. What
 passes is compared in full.
 
-Only the components matter, so pairs are made in two rounds: every set with the first set under
-each of its shingles, which ties nearly all of a large group of near copies together, and then sets
+Only the components matter, so pairs are made in two rounds: every set with one that is the first
+under most of its shingles, which ties nearly all of a large group of near copies together, and then sets
 under one shingle that are still in different components.
 """
 
@@ -163,7 +163,9 @@ def links(sets: DataFrame, docs: DataFrame, text: str, shingle: int, least: tupl
         .repartition("key").sortWithinPartitions("key", "fp")
         .mapInArrow(_meet, "key long, a long, a_n long, a_at long, b long, b_n long, b_at long")
     )
-    first = stage(met.where(_can_be(least)).select("a", "b").distinct())
+    # Of the first sets it meets, each set is compared with the one it meets most often.
+    often = met.where(_can_be(least)).groupBy("b", "a").agg(F.count(F.lit(1)).alias("times"))
+    first = stage(often.groupBy("b").agg(F.max(F.struct("times", "a")).alias("most")).select("most.a", "b"))
     tied = _verified(first, sets, docs, text, shingle, least)
     roots = stage(components(tied))
 
