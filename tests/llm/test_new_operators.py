@@ -39,6 +39,9 @@ def test_products_equal_dense_ones(monkeypatch, held):
         assert (left.times_vector(np.arange(m)) == a @ np.arange(m)).all()
         assert (left.row_sums() == a.sum(axis=1)).all() and (left.row_counts() == (a != 0).sum(axis=1)).all()
         assert left.transposed().height == m
+        row, col = rng.integers(0, max(n, 1), 50 * (n * m > 0)), rng.integers(0, max(m, 1), 50 * (n * m > 0))
+        one, two = CSR.counted(row, col, n, m), CSR.summed(row, col, np.ones(len(row), dtype=int), n, m)
+        assert all((getattr(one, x) == getattr(two, x)).all() for x in ("indptr", "indices", "data"))
 
 
 # -- token alignment ----------------------------------------------------------------------------
@@ -232,8 +235,7 @@ def test_the_dictionary_has_no_gaps_and_blocks_agree_on_it(spark):
     rows = audit_rows()
     blocks = filter_audit.matrix_blocks(data.frame(spark, rows), block_bytes=900)
     words = {w for r in rows for w in (r[1] or "").encode().split()}
-    numbers = {bytes(r.word): r.id for r in filter_audit.dictionary(
-        blocks.select(F.explode("words").alias("word"))).collect()}
+    numbers = {bytes(r.word): r.id for r in filter_audit.dictionary(blocks).collect()}
     assert set(numbers) == words and sorted(numbers.values()) == list(range(len(words)))
     seen = defaultdict(set)
     own = {r.block: r.words for r in blocks.collect()}

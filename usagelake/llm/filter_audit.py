@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import lookup, read, stage
+from .common import read, stage
 from .csr import CSR
 from .registry import query
 
 FILTERS = "ABCDE"
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK = 1 << 25
+BLOCK = 1 << 24
 #: The dictionary is numbered in 2 ** NUMBER_BITS ranges of the words' hash.
-NUMBER_BITS = 12
+NUMBER_BITS = 14
 _CAPITALS = bytes(range(0x41, 0x5B))
 _FOLLOWING = bytes(range(0x80, 0xC0))
 _SIGNS = b"#$%&*|"
@@ -95,7 +95,7 @@ def matrix_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
             columns.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
         col = np.concatenate(columns)
         row = np.repeat(np.arange(len(held)), [len(c) for c in columns])
-        matrix = CSR.summed(row, col, np.ones(len(col), dtype=np.int64), len(held), len(known))
+        matrix = CSR.counted(row, col, len(held), len(known))
         values = [[number], [list(known)], [matrix.indptr], [matrix.indices], [matrix.data], [[d for _, d in held]]]
         return pa.RecordBatch.from_arrays(
             [pa.array(v, type=f.type) for v, f in zip(values, arrow)], schema=arrow)
@@ -105,34 +105,41 @@ def matrix_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
                  .mapInArrow(build, schema), compression="zstd")
 
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """Stored: every different ``word`` of the corpus with its number ``id``, from 0 without gaps.
+def numbered(blocks: DataFrame) -> DataFrame:
+    """Every word of every block's vocabulary: block, local (its place there), word, and range and within,
+    its place in the dictionary of the corpus.
 
-    Numbers follow the words' hash. A range of it holds a 2 ** NUMBER_BITS-th of the words; only
-    the ranges' sizes are added up as a whole.
+    Words are dealt over 2 ** NUMBER_BITS ranges of their hash and numbered inside their range. A
+    word comes once a block, so none has more than a vocabulary's share of the rows.
     """
-    ranged = words.select("word").distinct().withColumn("hash", F.xxhash64("word")).withColumn(
-        "range", F.shiftrightunsigned("hash", 64 - NUMBER_BITS))
-    ranged = stage(ranged)
+    entries = blocks.select("block", F.posexplode("words").alias("local", "word"))
+    at = F.shiftrightunsigned(F.xxhash64("word"), 64 - NUMBER_BITS).cast("int")
+    within = F.dense_rank().over(Window.partitionBy("range").orderBy("word")) - 1
+    return entries.withColumn("range", at).withColumn("within", within)
+
+
+def starts(places: DataFrame) -> DataFrame:
+    """The first number of each range, 2 ** NUMBER_BITS rows at most."""
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n")).select(
+    return places.groupBy("range").agg((F.max("within") + 1).alias("n")).select(
         "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("range").orderBy("hash", "word")) - 1
-    return stage(
-        ranged.withColumn("within", within).join(starts, "range")
-        .select("word", (F.col("start") + F.col("within")).alias("id"))
-    )
 
 
-def term_shards(blocks: DataFrame) -> DataFrame:
-    """The blocks with ``terms``: the dictionary's number of each of the block's own numbers.
+def dictionary(blocks: DataFrame) -> DataFrame:
+    """Every different ``word`` of the corpus with its number ``id``, from 0 without gaps."""
+    places = numbered(blocks)
+    return places.join(F.broadcast(starts(places)), "range").select(
+        "word", (F.col("start") + F.col("within")).alias("id")).distinct()
 
-    A word occurs once in a block's vocabulary, but may occur in every block: its rows are dealt
-    over salts for the lookup.
-    """
-    entries = blocks.select("block", F.posexplode("words").alias("local", "word"))
-    numbered = lookup(entries, dictionary(entries), "word", "block").select("block", "local", "id")
-    terms = numbered.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("local", "id"))).alias("terms"))
+
+def term_shards(blocks: DataFrame) -> DataFrame:
+    """The blocks with ``terms``: the dictionary's number of each of the block's own numbers."""
+    places = stage(numbered(blocks).drop("word"), compression="zstd")
+    terms = (
+        places.join(F.broadcast(starts(places)), "range")
+        .select("block", "local", (F.col("start") + F.col("within")).alias("id"))
+        .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("local", "id"))).alias("terms"))
+    )
     return blocks.drop("words").join(
         terms.select("block", F.col("terms.id").alias("terms")), "block", "left")
 
