@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import lookup, read, stage
+from .common import read, stage
 from .csr import CSR
 from .registry import query
 
@@ -39,7 +39,7 @@ from .registry import query
 FOLDER = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK = 1 << 25
+BLOCK = 1 << 22
 #: Pieces whose text goes to a tokenizer at once, in bytes.
 AT_ONCE = 1 << 16
 #: Fixed value: the sign that B's pieces have for a space.
@@ -203,10 +203,10 @@ def align_block(tokenizers: Tokenizers, texts: list[str]) -> dict:
     alignment = Alignment(tokenizers, pieces, *ids)
     row = np.repeat(np.arange(len(texts)), [len(p) for p in places])
     col = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
-    documents = CSR.summed(row, col, np.ones(len(col), dtype=np.int64), len(texts), len(pieces))
+    documents = CSR.counted(row, col, len(texts), len(pieces))
     text, a, b = alignment.links()
     pairs, local = np.unique((a << 32) | b, return_inverse=True)
-    links = CSR.summed(text, local, np.ones(len(text), dtype=np.int64), len(pieces), len(pairs))
+    links = CSR.counted(text, local, len(pieces), len(pairs))
     held = np.bincount(documents.times(links).indices, minlength=len(pairs))
     sums = {name: documents.times_vector(v) for name, v in alignment.per_text().items()}
     written = alignment.written()
@@ -295,8 +295,8 @@ def align(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: s
     """
     blocks = aligned_blocks(docs, doc_id, text, folder, file_a, file_b, block_bytes)
     asked = blocks.select("block", F.posexplode("pairs").alias("local", "pair"))
-    # A pair may be in every block: its rows are dealt over salts.
-    answered = lookup(asked, pair_counts(blocks).select("pair", "docs", "best"), "pair", "block")
+    # A pair comes once a block, so none has more than the share of one of a block's pairs.
+    answered = asked.join(pair_counts(blocks).select("pair", "docs", "best"), "pair")
     scores = answered.groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("local", "docs", "best"))).alias("s")
     ).select("block", F.col("s.docs").alias("docs_of"), F.col("s.best").alias("best_of"))
