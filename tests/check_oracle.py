@@ -35,7 +35,7 @@ def _clean(x):
     return x
 
 
-KINDS = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double"}
+KINDS = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "INTEGER": "int", "BOOLEAN": "boolean"}
 
 
 def compare(spark, con, name, query, sql, sf_dir):

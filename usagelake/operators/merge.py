@@ -76,7 +76,7 @@ def merge_events(
         return _fold(batch, F.col("_rank")).drop("_rank")
     kind = dict(batch.dtypes)["_rank"]
     first = F.struct(F.lit(0).alias("batch"), F.lit(None).alias("order")).cast(kind)
-    both = stored.withColumn("_rank", first).unionByName(batch)
+    both = stored.withColumn("_rank", first).unionByName(batch.select(*stored.columns, "_rank"))
     return _fold(both, F.col("_rank")).drop("_rank")
 
 

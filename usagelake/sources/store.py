@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelake.contract import Tables
+from usagelake.sources.append_log import LOGGED, OPEN, AppendLog
+from usagelake.sources.key_index import KeyIndex
 
 PARTITIONED = ("log", "annotations", "events", "prompts", "responses", "tool_calls", "classifications", "technologies",
                "contexts")
 ROLLUPS = ("daily_rollups", "daily_active")
 #: Sets without partitions, written as versions.
-SWAPPED = ("projects", "providers")
+SWAPPED = ("projects", "providers", *OPEN)
 
 _KEYS = "event_id string, local_date date, provider_id string"
 #: Side tables a young store may not hold yet.
@@ -45,6 +47,8 @@ class EventStore:
         self.spark = spark
         self.root = root.rstrip("/")
         self.by_provider = by_provider
+        self.log = AppendLog(self)
+        self.keys_index = KeyIndex(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -72,6 +76,39 @@ class EventStore:
         path = self._path(where)
         self._files(path).delete(path, True)
 
+    def exists(self, where: str) -> bool:
+        path = self._path(where)
+        return self._files(path).exists(path)
+
+    def names(self, where: str) -> list[str]:
+        """Names of the files and folders below a folder, in order; none if it isn't there."""
+        path = self._path(where)
+        files = self._files(path)
+        if not files.exists(path):
+            return []
+        found = (s.getPath().getName() for s in files.listStatus(path))
+        return sorted(n for n in found if not n.startswith((".", "_")))
+
+    def read_text(self, where: str) -> str:
+        path = self._path(where)
+        stream = self._files(path).open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write_text(self, where: str, text: str) -> None:
+        """A small file that is there as a whole or not at all: written beside and renamed."""
+        path, beside = self._path(where), self._path(f"{where.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+        files = self._files(path)
+        stream = files.create(beside, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        files.delete(path, False)
+        files.rename(beside, path)
+
     def _versions(self, name: str) -> list[str]:
         """Finished versions of an unpartitioned set, oldest first."""
         base = self._path(self.path(name))
@@ -84,7 +121,11 @@ class EventStore:
     # -- datasets -----------------------------------------------------------------------------
 
     def read(self, name: str) -> DataFrame | None:
-        """The dataset, or ``None`` when nothing was written to it yet."""
+        """The dataset with all published batches, or ``None`` when nothing was written to it yet."""
+        return self.log.read(name) if name in LOGGED else self.stored(name)
+
+    def stored(self, name: str) -> DataFrame | None:
+        """The dataset without the batches that lie beside it."""
         where = self.path(name)
         if name in SWAPPED:
             versions = self._versions(name)
@@ -163,6 +204,7 @@ class EventStore:
 
     def write_tables(self, tables: Tables) -> None:
         """Make the given tables all that is stored; they may be derived from the stored ones."""
+        self.log.compact()
         label = f"tables-{uuid.uuid4().hex}"
         staged = {
             f.name: self.stage(label, f.name, getattr(tables, f.name))

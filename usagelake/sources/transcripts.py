@@ -306,7 +306,8 @@ def map_records(parsed: DataFrame, store_responses: bool = False) -> DataFrame:
 
 
 def tool_outcomes(parsed: DataFrame) -> DataFrame:
-    """Whether each answered tool call succeeded; the latest answer counts."""
+    """Whether each answered tool call succeeded, and when that was said (``at``); the latest answer
+    counts."""
     answers = (
         with_fields(parsed)
         .where(F.col("type") == "user")
@@ -321,14 +322,15 @@ def tool_outcomes(parsed: DataFrame) -> DataFrame:
         )
     )
     return answers.groupBy(F.col("b.tool_use_id").alias("external_id")).agg(
-        F.max_by(~F.col("b.is_error"), F.coalesce("timestamp", F.lit(""))).alias("outcome")
+        F.max_by(~F.col("b.is_error"), F.coalesce("timestamp", F.lit(""))).alias("outcome"),
+        F.max(F.coalesce("timestamp", F.lit(""))).alias("at"),
     )
 
 
 def resolve_outcomes(events: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Fill unknown tool outcomes over the whole data, wherever the answer was written."""
     calls = F.col("event_type") == "tool_call"
-    answered = events.where(calls).join(outcomes, "external_id", "left").withColumn(
+    answered = events.where(calls).join(outcomes.select("external_id", "outcome"), "external_id", "left").withColumn(
         "tool_succeeded", F.coalesce("tool_succeeded", "outcome")
     ).drop("outcome").select(*events.columns)
     return events.where(~calls).unionByName(answered)
