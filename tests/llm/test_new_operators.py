@@ -239,9 +239,8 @@ def test_the_dictionary_has_no_gaps_and_blocks_agree_on_it(spark):
     assert set(numbers) == words and sorted(numbers.values()) == list(range(len(words)))
     seen = defaultdict(set)
     own = {r.block: r.words for r in blocks.collect()}
-    for r in filter_audit.term_shards(blocks).collect():
-        for word, number in zip(own[r.block], r.terms or []):
-            seen[bytes(word)].add(number)
+    for r in filter_audit.terms(blocks).collect():
+        seen[bytes(own[r.block][r.local])].add(r.id)
     assert seen == {w: {n} for w, n in numbers.items()}
 
 

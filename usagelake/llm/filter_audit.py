@@ -132,46 +132,40 @@ def dictionary(blocks: DataFrame) -> DataFrame:
         "word", (F.col("start") + F.col("within")).alias("id")).distinct()
 
 
-def term_shards(blocks: DataFrame) -> DataFrame:
-    """The blocks with ``terms``: the dictionary's number of each of the block's own numbers."""
+def terms(blocks: DataFrame) -> DataFrame:
+    """The dictionary's number (``id``) of every block's own number (``local``)."""
     places = stage(numbered(blocks).drop("word"), compression="zstd")
-    terms = (
-        places.join(F.broadcast(starts(places)), "range")
-        .select("block", "local", (F.col("start") + F.col("within")).alias("id"))
-        .groupBy("block").agg(F.sort_array(F.collect_list(F.struct("local", "id"))).alias("terms"))
-    )
-    return blocks.drop("words").join(
-        terms.select("block", F.col("terms.id").alias("terms")), "block", "left")
+    return places.join(F.broadcast(starts(places)), "range").select(
+        "block", "local", (F.col("start") + F.col("within")).alias("id"))
 
 
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "lang",
              block_bytes: int = BLOCK) -> DataFrame:
-    """Stored: one row per document with its measures: doc_id, part, n_words, n_distinct, n_points,
-    n_capitals, signs, text_high, text_low (a 128-bit hash of the text).
+    """Stored: one row per document with its measures: doc_id, part, n_points, n_capitals, signs,
+    text_high, text_low (a 128-bit hash of the text), n_words, n_distinct.
 
     A null text counts as empty, a null part as the empty string. Repeated rows stay apart; an
     empty table gives an empty result; other columns are not looked at.
     """
-    shards = term_shards(matrix_blocks(docs, doc_id, text, part, block_bytes))
-    doc = shards.schema["docs"].dataType.elementType
+    blocks = matrix_blocks(docs, doc_id, text, part, block_bytes)
+    doc = blocks.schema["docs"].dataType.elementType
     schema = T.StructType([*doc.fields, T.StructField("n_words", T.LongType()),
                            T.StructField("n_distinct", T.LongType())])
     arrow = to_arrow_schema(schema)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                starts, cols, counts, terms = (
-                    np.asarray(batch.column(name)[i].values if batch.column(name)[i].is_valid else [], dtype=np.int64)
-                    for name in ("starts", "cols", "counts", "terms"))
-                # The dictionary's numbers as columns, in order within each row as before.
-                width = int(terms.max()) + 1 if len(terms) else 0
-                shard = CSR(starts, terms[cols] if len(terms) else cols, counts, width)
-                fields = batch.column("docs")[i].values.flatten()
-                yield pa.RecordBatch.from_arrays(
-                    [*fields, pa.array(shard.row_sums()), pa.array(shard.row_counts())], schema=arrow)
-
-    return stage(shards.select("starts", "cols", "counts", "terms", "docs").mapInArrow(count, schema))
+    def count(block: pa.Table, numbers: pa.Table) -> pa.Table:
+        starts, cols, counts = (
+            np.asarray(block[name].combine_chunks()[0].values, dtype=np.int64) for name in ("starts", "cols", "counts"))
+        # The dictionary's numbers as columns; a block has each of its words once.
+        ids = np.empty(numbers.num_rows, dtype=np.int64)
+        ids[numbers["local"].to_numpy()] = numbers["id"].to_numpy()
+        shard = CSR(starts, ids[cols], counts, int(ids.max(initial=-1)) + 1)
+        fields = block["docs"].combine_chunks()[0].values.flatten()
+        return pa.Table.from_arrays(
+            [*fields, pa.array(shard.row_sums()), pa.array(shard.row_counts())], schema=arrow)
+
+    matrices = blocks.select("block", "starts", "cols", "counts", "docs")
+    return stage(matrices.groupBy("block").cogroup(terms(blocks).groupBy("block")).applyInArrow(count, schema))
 
 
 def failures(rows: DataFrame) -> DataFrame:
