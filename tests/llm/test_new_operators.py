@@ -143,6 +143,7 @@ def test_alignment_equals_the_plain_one(spark, tokenizers, monkeypatch, block, a
     if at_once == 1 and block != 2000:
         pytest.skip("one size of block is enough")
     monkeypatch.setattr(ta, "AT_ONCE", at_once)
+    monkeypatch.setattr(ta, "REMEMBERED", 5 if block == 2000 else ta.REMEMBERED)
     texts = [(i, t) for i, t in enumerate(TRICKY * 2)] + [(None, None), (None, "a b"), (99, "a b"), (99, "a b")]
     texts += [(1000 + r[0], r[1]) for r in data.plain(25)]
     df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("pair", F.lit(1)).withColumn("n_a", F.lit("x"))
@@ -154,10 +155,10 @@ def test_a_text_with_other_bytes_leaves_its_block_alone(spark, tokenizers, monke
     """Where the pieces of a block don't give its bytes, every document is asked for by itself."""
     encode = ta.Tokenizers.encode
     monkeypatch.setattr(ta.Tokenizers, "encode", lambda self, t: None if "q" in t else encode(self, t))
-    found = ta.align_block(tokenizers, ["good text", "q other", "more text"])
+    found = ta.align_block(ta.Pieces(tokenizers), ["good text", "q other", "more text"])
     assert found["sums"]["n_a"].tolist() == [2, 0, 2] and found["digests"][1] == ""
     monkeypatch.setattr(ta.Tokenizers, "encode", encode)
-    alone = ta.align_block(tokenizers, ["good text", "more text"])
+    alone = ta.align_block(ta.Pieces(tokenizers), ["good text", "more text"])
     assert [d for d in found["digests"] if d] == alone["digests"]
 
 

@@ -8,7 +8,7 @@ over the groups give the pairs that share one.
 
 A text is cut before spaces that follow a sign other than white space: no token of either
 tokenizer crosses such a place, so a piece has the same tokens wherever it stands. The different
-pieces of a block of documents are encoded once; a matrix of documents by pieces, times one of
+pieces that a task meets are encoded once; a matrix of documents by pieces, times one of
 pieces by linked ids, gives each document's links.
 
 The documents that hold an id pair are counted over the corpus in Spark, and the counts come back
@@ -22,6 +22,7 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,16 @@ FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK = 1 << 22
 #: Pieces whose text goes to a tokenizer at once, in bytes.
 AT_ONCE = 1 << 16
+#: Pieces whose alignment a task remembers from block to block.
+REMEMBERED = 300_000
 #: Fixed value: the sign that B's pieces have for a space.
 SPACE = "▁"
 _SPACES = re.compile(r"\s ")
 
 
+_SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
+
+
 class Tokenizers:
     """Both tokenizers, and the bytes of each of their tokens."""
 
@@ -63,6 +69,9 @@ class Tokenizers:
         self.bytes_a = [
             bytes(signs.get(c, 0x3F) for c in names.get(i, "")) for i in range(max(names) + 1)]
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
+        # How an id is written inside its group and at the end of it, A's and then B's.
+        self.signs = [f"{i}{sign}" for i in range(len(self.bytes_a)) for sign in ",|"]
+        self.signs += [f"{i}{sign}" for i in range(len(self.bytes_b)) for sign in ",;"]
         self.length_a = np.array([len(t) for t in self.bytes_a])
         self.length_b = np.array([len(t) for t in self.bytes_b])
 
@@ -110,6 +119,7 @@ class Alignment:
 
     def __init__(self, tokenizers: Tokenizers, texts: list[str], ids_a: np.ndarray, ids_b: np.ndarray):
         self.ids_a, self.ids_b, self.n = ids_a, ids_b, len(texts)
+        self.signs, self.first_b = tokenizers.signs, len(tokenizers.bytes_a)
         length_a, length_b = tokenizers.length_a[ids_a], tokenizers.length_b[ids_b]
         bytes_a, bytes_b = CSR.runs(length_a), CSR.runs(length_b)
         self.ends = np.cumsum([len(t.encode()) for t in texts], dtype=np.int64)
@@ -151,14 +161,21 @@ class Alignment:
 
     def written(self) -> list[str]:
         """The groups of each text: ``a1,a2|b1;a3|b2,b3``."""
-        names_a, names_b = list(map(str, self.ids_a.tolist())), list(map(str, self.ids_b.tolist()))
-        cut_a = np.searchsorted(self.groups_a.indices, np.arange(self.n_groups + 1)).tolist()
-        cut_b = np.searchsorted(self.groups_b.indices, np.arange(self.n_groups + 1)).tolist()
-        groups = [
-            ",".join(names_a[cut_a[g]:cut_a[g + 1]]) + "|" + ",".join(names_b[cut_b[g]:cut_b[g + 1]])
-            for g in range(self.n_groups)]
-        at = np.searchsorted(self.text_of_group, np.arange(self.n + 1)).tolist()
-        return [";".join(groups[at[i]:at[i + 1]]) for i in range(self.n)]
+        code = np.concatenate([
+            2 * self.ids_a + _last(self.groups_a.indices),
+            2 * (self.ids_b + self.first_b) + _last(self.groups_b.indices)])
+        group = np.concatenate([2 * self.groups_a.indices, 2 * self.groups_b.indices + 1])
+        order = np.argsort(group, kind="stable")
+        signs = list(map(self.signs.__getitem__, code[order].tolist()))
+        text = np.sort(np.concatenate([self.text_a, self.text_b]))
+        at = np.searchsorted(text, np.arange(self.n + 1)).tolist()
+        # The last group of a text is followed by nothing.
+        return ["".join(signs[at[i]:at[i + 1]])[:-1] for i in range(self.n)]
+
+
+def _last(group: np.ndarray) -> np.ndarray:
+    """1 where the next token belongs to another group."""
+    return np.append(group[1:] != group[:-1], np.ones(min(1, len(group)), dtype=bool)).astype(np.int64)
 
 
 def encode_pieces(tokenizers: Tokenizers, pieces: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
@@ -178,40 +195,73 @@ def encode_pieces(tokenizers: Tokenizers, pieces: list[str]) -> tuple[np.ndarray
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def align_block(tokenizers: Tokenizers, texts: list[str]) -> dict:
+class Pieces:
+    """What a task knows of the pieces that it has met; it begins anew with ``REMEMBERED`` of them."""
+
+    def __init__(self, tokenizers: Tokenizers):
+        self.tokenizers = tokenizers
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.written: list[str] = []
+        self.sums = {name: np.zeros(0, dtype=np.int64) for name in _SUMS}
+        self.starts, self.pairs = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def learn(self, pieces: list[str], ids_a: np.ndarray, ids_b: np.ndarray) -> None:
+        """Align new pieces, which are numbered on from those that are known."""
+        alignment = Alignment(self.tokenizers, pieces, ids_a, ids_b)
+        self.written += alignment.written()
+        for name, values in alignment.per_text().items():
+            self.sums[name] = np.concatenate([self.sums[name], values])
+        _, a, b = alignment.links()
+        self.starts = np.concatenate([self.starts, len(self.pairs) + np.cumsum(self.sums["n_links"][len(self.starts) - 1:])])
+        self.pairs = np.concatenate([self.pairs, (a << 32) | b])
+
+    def links(self, used: np.ndarray) -> tuple[CSR, np.ndarray]:
+        """Pieces by id pairs, of the pieces asked for, and the pairs."""
+        length = np.diff(self.starts)[used]
+        row = np.repeat(np.arange(len(used)), length)
+        within = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+        pairs, col = np.unique(self.pairs[np.repeat(self.starts[used], length) + within], return_inverse=True)
+        return CSR.counted(row, col, len(used), len(pairs)), pairs
+
+
+def align_block(known: Pieces, texts: list[str]) -> dict:
     """Everything known of a block before the corpus is counted.
 
     ``texts`` are not empty. Matrices are documents by pieces (``d_*``) and pieces by id pairs
     (``l_*``); ``pairs`` are the pairs, A's id in the high half, and ``held`` the documents of the
     block that have each.
     """
-    known = defaultdict()
-    known.default_factory = known.__len__
+    if len(known.number) > REMEMBERED:
+        known.forget()
+    before = len(known.number)
     # B reads the sign of its spaces as one, so its bytes differ from the text.
     cut = [[] if SPACE in t else pieces_of(t) for t in texts]
-    places = [np.fromiter(map(known.__getitem__, c), dtype=np.int64, count=len(c)) for c in cut]
-    pieces = list(known)
-    ids = encode_pieces(tokenizers, pieces)
+    places = [np.fromiter(map(known.number.__getitem__, c), dtype=np.int64, count=len(c)) for c in cut]
+    new = list(islice(known.number, before, None))
+    ids = encode_pieces(known.tokenizers, new)
     if ids is None:
         # Some text has other bytes as tokens: ask for each document by itself.
-        whole = [None if SPACE in t else tokenizers.encode(" " + t) for t in texts]
-        pieces = [" " + t for t, w in zip(texts, whole) if w is not None]
-        number = iter(range(len(pieces)))
+        known.forget()
+        known = Pieces(known.tokenizers)
+        whole = [None if SPACE in t else known.tokenizers.encode(" " + t) for t in texts]
+        new = [" " + t for t, w in zip(texts, whole) if w is not None]
+        number = iter(range(len(new)))
         places = [np.array([] if w is None else [next(number)], dtype=np.int64) for w in whole]
         none = [np.zeros(0, dtype=np.int64)]
         ids = tuple(np.concatenate([w[i] for w in whole if w is not None] or none) for i in (0, 1))
-    alignment = Alignment(tokenizers, pieces, *ids)
+    known.learn(new, *ids)
     row = np.repeat(np.arange(len(texts)), [len(p) for p in places])
-    col = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
-    documents = CSR.counted(row, col, len(texts), len(pieces))
-    text, a, b = alignment.links()
-    pairs, local = np.unique((a << 32) | b, return_inverse=True)
-    links = CSR.counted(text, local, len(pieces), len(pairs))
+    used, col = np.unique(np.concatenate(places or [np.zeros(0, dtype=np.int64)]), return_inverse=True)
+    documents = CSR.counted(row, col, len(texts), len(used))
+    links, pairs = known.links(used)
     held = np.bincount(documents.times(links).indices, minlength=len(pairs))
-    sums = {name: documents.times_vector(v) for name, v in alignment.per_text().items()}
-    written = alignment.written()
+    sums = {name: documents.times_vector(values[used]) for name, values in known.sums.items()}
     digests = [
-        hashlib.sha256(";".join(map(written.__getitem__, p.tolist())).encode()).hexdigest() if len(p) else ""
+        hashlib.sha256(";".join(map(known.written.__getitem__, p.tolist())).encode()).hexdigest() if len(p) else ""
         for p in places]
     return {
         "pairs": pairs, "held": held, "d_starts": documents.indptr, "d_cols": documents.indices,
@@ -222,7 +272,6 @@ def align_block(tokenizers: Tokenizers, texts: list[str]) -> dict:
 
 _MATRICES = {"pairs": "long", "held": "int", "d_starts": "int", "d_cols": "int", "d_data": "int",
              "l_starts": "int", "l_cols": "int", "l_data": "int"}
-_SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
 
 
 def aligned_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder: str = FOLDER,
@@ -239,23 +288,23 @@ def aligned_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     arrow = to_arrow_schema(schema)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers = None
+        known = None
         number = TaskContext.get().partitionId() << 32
         held, size = [], 0
         for batch in batches:
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokenizers = tokenizers or Tokenizers(os.path.join(folder, file_a), os.path.join(folder, file_b))
+                known = known or Pieces(Tokenizers(os.path.join(folder, file_a), os.path.join(folder, file_b)))
                 if held and size + len(body or "") > block_bytes:
-                    yield block(tokenizers, number, held)
+                    yield block(known, number, held)
                     number, held, size = number + 1, [], 0
                 held.append((key, body))
                 size += len(body or "")
         if held:
-            yield block(tokenizers, number, held)
+            yield block(known, number, held)
 
-    def block(tokenizers, number, held):
+    def block(known, number, held):
         filled = [(i, body) for i, (_, body) in enumerate(held) if body]
-        found = align_block(tokenizers, [body for _, body in filled])
+        found = align_block(known, [body for _, body in filled])
         # Documents without tokens are empty rows of the first matrix.
         starts = np.zeros(len(held) + 1, dtype=np.int64)
         starts[[i + 1 for i, _ in filled]] = np.diff(found["d_starts"])
