@@ -321,6 +321,64 @@ def test_language_spans_and_texts_without_letters(spark):
     assert {r["doc_id"] for r in kept.collect()} == {d[0] for d in docs} | {900}
 
 
+def test_numerals_are_no_letters(spark):
+    docs = data.plain(60)
+    extra = [(900 + i, t, None, "s", 1) for i, t in enumerate(["½ ²", "Ⅷ", "①②③", "௰", "a½b"])]
+    got = {r["doc_id"]: r for r in language.identify(data.frame(spark, docs + extra)).collect()}
+    assert [(got[i]["lang_pred"], got[i]["score"]) for i in range(900, 904)] == [("und", 0.0)] * 4
+    assert got[904]["lang_pred"] != "und"
+    assert language.words_of("x½y Ⅷ né² 12 a_b") == ["x", "y", "né", "a", "b"]
+
+
+def slow_spans(text, k=licenses.NOTICE_K, near=licenses.NEIGHBOUR):
+    """Spans of notices by comparing every run of words with every run of every notice."""
+    words, found = WORD.findall(lower(text)), []
+    for label, notice in licenses.NOTICES:
+        own = WORD.findall(notice)
+        grams = [tuple(own[i:i + k]) for i in range(len(own) - k + 1)]
+        on = defaultdict(list)
+        for i in range(len(words) - k + 1):
+            for j, g in enumerate(grams):
+                if tuple(words[i:i + k]) == g:
+                    on[i - j].append(i)
+        bands = []
+        for d in sorted(on):
+            if bands and d - bands[-1][-1] <= near:
+                bands[-1].append(d)
+            else:
+                bands.append([d])
+        for band in bands:
+            spans = []
+            for first, last, n in sorted((on[d][0], on[d][-1], len(on[d])) for d in band):
+                if spans and first <= spans[-1][1] + near:
+                    spans[-1] = (spans[-1][0], max(last, spans[-1][1]), n + spans[-1][2])
+                else:
+                    spans.append((first, last, n))
+            for first, last, n in spans:
+                share = min(1.0, n / len(grams))
+                if share >= licenses.LEAST_NOTICE and n >= licenses.LEAST_SPAN * (last - first + 1):
+                    found.append((first, last + k - 1, label, round(share, 9)))
+    return sorted(found)
+
+
+def test_notices_with_words_put_in_are_found(spark):
+    rng, texts = random.Random(8), []
+    mit = dict(licenses.NOTICES)["mit"].split()
+    for own in ("permission is hereby granted", "four words not there", "permission is hereby granted free of charge"):
+        texts.append(" ".join(["before", *mit[:14], *own.split(), *mit[14:], "after"]))
+    for label, notice in licenses.NOTICES * 3:
+        words = notice.split()
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(words))
+            words[at:at] = rng.choice((["x"] * rng.randint(1, 12), words[:6], words[-5:], ["y"]))
+        texts.append(" ".join(["a b c"] * rng.randint(0, 3) + words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: sorted((s.first, s.last, s.label, round(s.share, 9)) for s in r.spans)
+           for r in licenses.scan_licenses(df).collect()}
+    assert got == {i: slow_spans(t) for i, t in enumerate(texts)}
+    assert all([s[2] for s in got[i]] == ["mit"] for i in range(3))
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     lengths = np.array([5, 1, 7])

@@ -54,8 +54,12 @@ UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case."""
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters in lower case; numerals that the pattern takes for letters end them."""
+    found = WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for w in found for part in (
+        [w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -163,14 +163,18 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     phrase = F.col("k") == PHRASE_K
     places = votes.where(phrase & (F.col("votes") == F.col("grams"))).groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct(F.col("diagonal").alias("first"), "label"))).alias("places"))
-    by_place = Window.partitionBy("row", "template").orderBy("first", "diagonal")
-    apart = (
-        (F.col("first") > F.lag("last").over(by_place) + NEIGHBOUR)
-        | (F.abs(F.col("diagonal") - F.lag("diagonal").over(by_place)) > NEIGHBOUR)
-    )
+    # Diagonals that follow each other closely are a band, whatever else lies between them in the
+    # text; in a band, matches without a long gap are a span.
+    by_diagonal = Window.partitionBy("row", "template").orderBy("diagonal")
+    by_place = Window.partitionBy("row", "template", "band").orderBy("first", "diagonal")
+    so_far = F.max("last").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    away = F.col("diagonal") - F.lag("diagonal").over(by_diagonal) > NEIGHBOUR
+    apart = F.col("first") > so_far + NEIGHBOUR
     merged = (
-        votes.where(~phrase).withColumn("starts", F.coalesce(apart, F.lit(True)).cast("int"))
-        .withColumn("span", F.sum("starts").over(by_place))
+        votes.where(~phrase).withColumn("away", F.coalesce(away, F.lit(True)).cast("int"))
+        .withColumn("band", F.sum("away").over(by_diagonal))
+        .withColumn("starts", F.coalesce(apart, F.lit(True)).cast("int"))
+        .withColumn("span", F.concat_ws(":", "band", F.sum("starts").over(by_place)))
         .groupBy("row", "template", "span", "label", "k", "grams")
         .agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
         .withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("grams")))
