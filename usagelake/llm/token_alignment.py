@@ -40,11 +40,11 @@ from .registry import query
 FOLDER = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Pieces whose text goes to a tokenizer at once, in bytes.
 AT_ONCE = 1 << 16
 #: Pieces whose alignment a task remembers from block to block.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Fixed value: the sign that B's pieces have for a space.
 SPACE = "▁"
 _SPACES = re.compile(r"\s ")
