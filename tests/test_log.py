@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from tests.helpers import at, event, log, source
 from usagelake.contract import Settings
-from usagelake.operators import asof, normalize as nz
-from usagelake.sources import key_index, transcript_source as ts
+from usagelake.operators import asof, normalize as nz, prompts as pr, rollups as ru
+from usagelake.operators.maintenance import DeleteScope
+from usagelake.sources import key_index, transcript_source as ts, transcripts as tr
+from usagelake.sources.append_log import OPEN
 from usagelake.sources.store import EventStore
 from usagelake.streaming import ingest as ig
 from usagelake.streaming.ingest import Ingest, backfill
@@ -73,6 +75,10 @@ def test_grown_shrunk_rewritten_and_lost_files(tmp_path):
     assert read(ts.Files(str(tmp_path / "nothing"), "*", 10))[0] == []
 
 
+def empty(spark):
+    return spark.createDataFrame([], "event_id string, category string, confidence double, technology string")
+
+
 # -- transcripts into the store -----------------------------------------------------------------
 
 
@@ -106,7 +112,7 @@ def test_following_files_gives_the_log_of_one_batch(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
     one, two = folder / "one.jsonl", folder / "two.jsonl"
-    ingest = Ingest(EventStore(spark, str(tmp_path / "a")), Settings())
+    ingest = Ingest(EventStore(spark, str(tmp_path / "a")), Settings(), defer_rollups=True)
 
     def step():
         backfill(ig.transcripts(spark, str(folder)), ingest, str(tmp_path / "checkpoint"), lines=True).awaitTermination(300)
@@ -122,11 +128,11 @@ def test_following_files_gives_the_log_of_one_batch(spark, tmp_path):
     assert ingest.store.log.commits() == [] and ingest.store.log.waiting("waiting").count() == 1
     one.write_text(prompt(9, 20) + reply(3, 30) + answer(1, 32, True) + reply(2, 6))
     step()
-    whole = Ingest(EventStore(spark, str(tmp_path / "b")), Settings())
-    for n, text in enumerate([prompt(1, 0) + reply(1, 1) + reply(1, 1.5, 1) + prompt(2, 5) + reply(2, 6) + prompt(9, 20)
-                              + reply(3, 30) + answer(3, 31, False) + answer(1, 32, True)]):
-        (tmp_path / "all").mkdir()
-        (tmp_path / "all" / "all.jsonl").write_text(text)
+    whole = Ingest(EventStore(spark, str(tmp_path / "b")), Settings(), defer_rollups=True)
+    (tmp_path / "all").mkdir()
+    (tmp_path / "all" / "all.jsonl").write_text(
+        prompt(1, 0) + reply(1, 1) + reply(1, 1.5, 1) + prompt(2, 5) + reply(2, 6) + prompt(9, 20) + reply(3, 30)
+        + answer(3, 31, False) + answer(1, 32, True))
     ts.register(spark)
     whole.run_lines(spark.read.format("transcripts").option("path", str(tmp_path / "all")).load(), 0)
     assert stored(ingest) == stored(whole)
@@ -135,11 +141,21 @@ def test_following_files_gives_the_log_of_one_batch(spark, tmp_path):
     assert {m for e, k, m, _ in events if k == "prompt"} == {"claude-opus-4-8"}
     assert sum(k == "response" for _, k, *_ in events) == 3
     for store in (ingest.store, whole.store):
-        assert store.log.waiting("waiting").count() == 0 and store.log.waiting("calls").count() == 1
-        assert store.log.waiting("outcomes") is None or store.log.waiting("outcomes").count() == 0
+        waits = {n: 0 if (rows := store.log.waiting(n)) is None else rows.count() for n in OPEN}
+        assert waits == {"waiting": 0, "calls": 1, "outcomes": 0}
+    # The postings kept by batches and compaction find what a scan of the texts finds.
+    texts = ingest.store.read("prompts")
+    for query in ("fix number 2", "PLEA", "number", "nothing", "!"):
+        want = {r.event_id for r in texts.where(pr.matches(F.col("text"), query)).collect()}
+        assert {r.event_id for r in pr.search_index(ingest.store.read("terms"), query).collect()} == want
     # What lies beside the log reads as what is compacted.
     before = stored(ingest)
     ingest.compact()
+    plan = pr.search(ingest.store.tables().but(classifications=empty(spark), technologies=empty(spark)), query="fix",
+                     index=ingest.store.read("terms"))._jdf.queryExecution().optimizedPlan().toString()
+    assert " text#" not in plan and "StartsWith(token" in plan
+    ingest.delete(DeleteScope("prompts"))
+    assert ingest.store.read("terms") is None
     assert stored(ingest) == before and ingest.store.stored("events").count() == len(before[0])
 
 
@@ -253,3 +269,27 @@ def test_a_batch_reads_no_stored_event_without_a_day_bound(spark, tmp_path):
     ingest.run(source(spark, [event("r", "response", 12 * 700, model="claude-haiku-4-5", session_id="s2")]), 1)
     found = {r.external_id: r.model for r in store.read("events").collect()}
     assert found["11"] == "claude-haiku-4-5" and whole["11"] is None
+
+
+def test_only_rollups_of_other_settings_are_rebuilt(spark, tmp_path):
+    store = EventStore(spark, str(tmp_path / "s"))
+    tables = nz.stored_tables(log(spark, ROWS))
+    for name in ("events", "prompts", "responses", "tool_calls"):
+        store.write(name, getattr(tables, name))
+    days = tables.events.select("local_date", "provider_id").distinct().count()
+    assert days > 2
+    ingest = Ingest(store, Settings())
+    assert [ingest.rebuild_stale(), ingest.rebuild_stale()] == [days, 0]
+    other = Ingest(store, Settings(idle_ms=60_000))
+    assert [other.rebuild_stale(), other.rebuild_stale()] == [days, 0]
+    got = {(r.day, r.active_ms) for r in store.read("daily_active").collect()}
+    assert got == {(r.day, r.active_ms) for r in ru.daily_active(tables.events, idle_ms=60_000).collect()}
+
+
+def test_files_are_listed_without_being_read(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "empty.jsonl").write_text("")
+    (tmp_path / "b.jsonl").write_text("x\n")
+    (tmp_path / "c.txt").write_text("x\n")
+    found = tr.discover(spark, str(tmp_path)).collect()
+    assert sorted((os.path.basename(r.source_path), r.file_size) for r in found) == [("b.jsonl", 2)]

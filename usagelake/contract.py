@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -79,6 +80,11 @@ class Settings:
         default_factory=lambda: dt.datetime.now(dt.timezone.utc).replace(microsecond=0)
     )
 
+    def rollup_fingerprint(self) -> str:
+        """Stands for everything but the log that rollups depend on."""
+        parts = (self.idle_ms, self.tail_ms, ENRICHMENT_VERSION, CLASSIFIER_VERSION)
+        return hashlib.sha256(repr(parts).encode()).hexdigest()[:16]
+
 
 @dataclass(frozen=True)
 class EventFilters:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from usagelake.contract import EventFilters, Tables
 from usagelake.functions import text as tx
 from usagelake.operators.asof import next_responses
-from usagelake.operators.filters import after_cursor, apply_filters, prune
+from usagelake.operators.filters import after_cursor, apply_filters, event_predicate, prune
 from usagelake.rules.words import STOP_WORDS
 
 MIN_REPEAT_LENGTH = 12
@@ -48,16 +48,25 @@ def _technology_lists(technologies: DataFrame, ids: DataFrame) -> DataFrame:
 
 def search(
     tables: Tables, f: EventFilters | None = None, query: str | None = None,
-    limit: int = 50, cursor: tuple[int, str] | None = None,
+    limit: int = 50, cursor: tuple[int, str] | None = None, index: DataFrame | None = None,
 ) -> DataFrame:
-    """Page of prompts, newest first, ``limit + 1`` rows so the caller knows there are more."""
+    """Page of prompts, newest first, ``limit + 1`` rows so the caller knows there are more.
+
+    With an ``index`` of the same prompts (``term_rows``) no text is read.
+    """
+    bounded = f is not None and index is not None and (f.from_day or f.to_day)
+    if bounded:
+        index = index.where(event_predicate(EventFilters(from_day=f.from_day, to_day=f.to_day)))
     tables = prune(tables, f)
     prompts = apply_filters(tables, f, event_type="prompt")
     if cursor is not None:
         prompts = prompts.where(after_cursor(*cursor))
     texts = tables.prompts
     if query is not None and query.strip():
-        texts = texts.where(matches(F.col("text"), query))
+        if index is not None:
+            texts = texts.join(search_index(index, query), "event_id", "left_semi")
+        else:
+            texts = texts.where(matches(F.col("text"), query))
     found = prompts.join(
         texts.select("event_id", "preview", "char_length", "word_length", "redaction_count"),
         "event_id",
@@ -94,19 +103,28 @@ def describe_prompts(tables: Tables, page: DataFrame) -> DataFrame:
     )
 
 
-def token_index(tables: Tables) -> DataFrame:
-    """Distinct (token, event) pairs for repeated searching.
+def term_rows(prompts: DataFrame) -> DataFrame:
+    """Postings: every different token of a stored text with its event, day and provider.
 
-    Written sorted by token it answers a prefix with a pruned range scan instead of reading texts.
+    Stored by day and sorted by token, they answer a prefix from the row groups whose range of
+    tokens it lies in, on the days asked for.
     """
     tokens = F.split(F.trim(tx.searchable(F.col("text"))), " ")
     return (
-        tables.prompts.where(F.col("text").isNotNull())
-        .select("event_id", F.explode(F.array_distinct(tokens)).alias("token"))
+        prompts.where(F.col("text").isNotNull())
+        .select("event_id", "local_date", "provider_id", F.explode(F.array_distinct(tokens)).alias("token"))
         .where(F.col("token") != "")
     )
 
 
+def token_index(tables: Tables) -> DataFrame:
+    """Distinct (token, event) pairs for repeated searching.
+
+    Written sorted by token it answers a prefix with a pruned range scan instead of reading texts.
+    """
+    return term_rows(tables.prompts).select("event_id", "token")
+
+
 def write_token_index(tables: Tables, path: str) -> None:
     """Range-partitioned by token and event, so a frequent token spans several files."""
     token_index(tables).repartitionByRange("token", "event_id").sortWithinPartitions(

@@ -79,6 +79,20 @@ def needs_rebuild(events: DataFrame, rollups: DataFrame) -> DataFrame:
     )
 
 
+def stale_days(events: DataFrame, rollups: DataFrame | None, fingerprint: str) -> DataFrame:
+    """(day, provider) pairs of the log whose rollups are missing or of other settings.
+
+    ``rollups`` keep the fingerprint of the settings they were built under in ``settings``.
+    """
+    pairs = events.select("local_date", "provider_id").distinct()
+    if rollups is None or "settings" not in rollups.columns:
+        return pairs
+    fresh = rollups.where(F.col("settings") == fingerprint).select(
+        F.col("day").alias("local_date"), "provider_id"
+    ).distinct()
+    return pairs.join(fresh, ["local_date", "provider_id"], "left_anti")
+
+
 def covered_days(active: DataFrame) -> DataFrame:
     return active.agg(F.count(F.lit(1)).alias("covered_days"))
 

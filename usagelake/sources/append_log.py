@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from usagelake.operators.merge import merge_events
 
 #: Sets that batches add to, and the key their patches name.
-LOGGED = {"events": "dedupe_key", "prompts": "event_id", "responses": "event_id", "tool_calls": "event_id"}
+LOGGED = {"events": "dedupe_key", "prompts": "event_id", "responses": "event_id", "tool_calls": "event_id",
+          "terms": "event_id"}
 #: Sets of what waits for its other side, by the key that settles it: prompts for a reply, tool calls
 #: for an outcome, outcomes for their call.
 OPEN = {"waiting": "dedupe_key", "calls": "event_id", "outcomes": "outcome_key"}
@@ -73,7 +74,7 @@ class AppendLog:
         for part, df in sets.items():
             path = f"{self.root}/batches/{name}/{part}"
             if not self.store.finished(path):
-                df.hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+                self.store.arranged(part.partition(".")[0], df.hint("rebalance")).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
             if not self.spark.read.schema(df.schema).parquet(path).isEmpty():
                 schemas[part] = df.schema.json()
         self.store.write_text(f"{self.root}/commits/{name}", json.dumps(schemas))

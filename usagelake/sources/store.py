@@ -14,7 +14,9 @@ from usagelake.sources.append_log import LOGGED, OPEN, AppendLog
 from usagelake.sources.key_index import KeyIndex
 
 PARTITIONED = ("log", "annotations", "events", "prompts", "responses", "tool_calls", "classifications", "technologies",
-               "contexts")
+               "contexts", "terms")
+#: Order inside the files of a set, for ranges that a scan may skip.
+SORTED = {"terms": ("token", "event_id")}
 ROLLUPS = ("daily_rollups", "daily_active")
 #: Sets without partitions, written as versions.
 SWAPPED = ("projects", "providers", *OPEN)
@@ -131,7 +133,8 @@ class EventStore:
             versions = self._versions(name)
             return self.spark.read.parquet(f"{where}/{versions[-1]}") if versions else None
         try:
-            return self.spark.read.parquet(where)
+            # Rollups of an earlier version have fewer columns.
+            return self.spark.read.option("mergeSchema", name in ROLLUPS).parquet(where)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
                 return None
@@ -153,10 +156,14 @@ class EventStore:
                 self.remove(f"{self.path(name)}/{old}")
             return
         keys = self.keys(name)
-        writer = df.hint("rebalance", *keys).write if keys else df.write
+        writer = self.arranged(name, df.hint("rebalance", *keys) if keys else df).write
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*keys) if keys else writer).parquet(self.path(name))
 
+    def arranged(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows in the order in which the files of the set keep them."""
+        return df.sortWithinPartitions(*self.keys(name), *SORTED[name]) if name in SORTED else df
+
     def replace(self, name: str, df: DataFrame, touched: DataFrame | None = None) -> None:
         """Make ``df`` all that the touched partitions hold; a partition without rows is removed.
 

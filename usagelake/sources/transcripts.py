@@ -60,13 +60,17 @@ def _located(lines: DataFrame) -> DataFrame:
     )
 
 
-def discover(lines: DataFrame) -> DataFrame:
-    """Transcript files with size and age, oldest first."""
-    return (
-        lines.groupBy("source_path")
-        .agg(F.max("file_size").alias("file_size"), F.max("modified_at").alias("modified_at"))
-        .orderBy("modified_at", "source_path")
-    )
+def discover(spark: SparkSession, directory: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Transcript files with size and age, oldest first. No file is opened; empty ones, which hold no
+    event yet, are left out by Spark's listing."""
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        .option("pathGlobFilter", pattern).load(directory)
+    )
+    return listed.select(
+        F.col("path").alias("source_path"), F.col("length").alias("file_size"),
+        F.col("modificationTime").alias("modified_at"),
+    ).orderBy("modified_at", "source_path")
 
 
 def changed_files(current: DataFrame, watermarks: DataFrame) -> DataFrame:

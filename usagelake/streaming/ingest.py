@@ -21,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 from usagelake.contract import ENRICHMENT_VERSION, Settings, Tables
 from usagelake.functions import classify as cl
 from usagelake.operators import asof, enrichment, maintenance as mt, merge, normalize as nz, rollups as ru
+from usagelake.operators.prompts import term_rows
 from usagelake.operators.sessions import session_metrics
 from usagelake.sources import transcript_source as source, transcripts as tr
 from usagelake.sources.append_log import OPEN, batch_label
@@ -89,6 +90,7 @@ class Ingest:
             "events.added": new,
             "events.patches": nz.stored_tables(later).events.unionByName(_model_patches(old, sides.events)),
             **{f"{dataset}.added": getattr(sides, dataset) for dataset, _ in SIDES},
+            "terms.added": term_rows(sides.prompts),
             "tool_calls.patches": answered,
             "keys": fresh.select("dedupe_key", *DAYS),
             "waiting.added": waits.select(*PROMPT), "waiting.settled": linked.select("dedupe_key"),
@@ -127,6 +129,9 @@ class Ingest:
         if stored is not None:
             store.keys_index.add("begin", stored.select("dedupe_key", *DAYS))
             store.write("waiting", _open_prompts(stored).select(*PROMPT))
+            texts = store.stored("prompts")
+            if texts is not None:
+                store.write("terms", term_rows(texts))
 
     def _attribute(self, batch: str, once: DataFrame, fresh: DataFrame) -> DataFrame:
         """Prompts, waiting or of this batch, with the model of a reply that was found for them.
@@ -212,8 +217,8 @@ class Ingest:
         later day, so active time is rebuilt for the later days of those sessions as well.
         """
         store, t = self.store, self.store.tables()
-        store.replace("daily_rollups",
-                      store.stage(batch, "daily_rollups", ru.daily_rollups(t, touched)), touched)
+        rolled = ru.daily_rollups(t, touched).withColumn("settings", F.lit(self.settings.rollup_fingerprint()))
+        store.replace("daily_rollups", store.stage(batch, "daily_rollups", rolled), touched)
         stale = touched
         if sessions is not None:
             first = touched.agg(F.min("local_date")).scalar()
@@ -230,6 +235,20 @@ class Ingest:
         self.refresh(self.store.tables().events.select(*DAYS).distinct(), None, label)
         self.store.unstage(label)
 
+    def rebuild_stale(self) -> int:
+        """Rebuild the days whose rollups are missing or were built under other settings; how many."""
+        label = _label("stale")
+        events = self.store.read("events")
+        if events is None:
+            return 0
+        fingerprint = self.settings.rollup_fingerprint()
+        stale = self.store.stage(label, "days", ru.stale_days(events, self.store.read("daily_rollups"), fingerprint))
+        n = stale.count()
+        if n:
+            self.refresh(stale, None, label)
+        self.store.unstage(label)
+        return n
+
     # -- maintenance --------------------------------------------------------------------------
 
     def delete(self, scope: mt.DeleteScope) -> None:
@@ -259,6 +278,8 @@ class Ingest:
             if df is not None:
                 part = df.join(touched, DAYS, "left_semi").select(*df.columns) if "local_date" in df.columns else df
                 staged[f.name] = store.stage(label, f.name, part)
+        if "prompts" in staged:
+            staged["terms"] = store.stage(label, "terms", term_rows(staged["prompts"]))
         for name, df in staged.items():
             store.replace(name, df, touched)
         left = store.read("events")

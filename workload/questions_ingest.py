@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from usagelake.operators import prompts as pr
 from workload import followed
 from workload.questions_log import TRANSCRIPT
+from workload.questions_usage import FOLDS
 from workload.registry import query
 
 #: Turns of one conversation are 40 s apart, so a later turn's reply comes later.
@@ -52,6 +54,15 @@ def _(spark, sf):
     return counts
 
 
+@query("followed_search", TRANSCRIPT + f"""
+SELECT name || '-u' AS external_id FROM c WHERE role = 'user' AND contains({FOLDS}, ' th') AND contains({FOLDS}, ' re')""")
+def _(spark, sf):
+    """From the postings that ingest and compaction kept; the texts are not read."""
+    saved = followed.ingest(spark, sf).store
+    found = pr.search_index(saved.read("terms"), "TH ré")
+    return saved.read("events").join(found, "event_id", "left_semi").select("external_id")
+
+
 @query("followed_audit", TRANSCRIPT + """, n AS (
   SELECT count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS a,
     count(*) FILTER (role = 'system') AS s FROM c)

@@ -512,7 +512,7 @@ def _(spark, sf):
 
 @query("transcript_files")
 def _(spark, sf):
-    return tr.discover(tr.read_lines(spark, wt.directory(spark, sf), pattern=wt.PATTERN)).select(
+    return tr.discover(spark, wt.directory(spark, sf), wt.PATTERN).select(
         F.regexp_extract("source_path", r"(folder=[^/]+)/", 1).alias("folder"), "file_size"
     )
 

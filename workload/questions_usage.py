@@ -602,6 +602,15 @@ def _(spark, sf):
     return pr.search_index(pr.token_index(v.tables(spark, sf)), "test py")
 
 
+@query("prompt_search_by_terms", PRS + f"""
+SELECT event_id, ts_ms FROM prompts_d WHERE contains({FOLDS}, ' the') AND contains({FOLDS}, ' re')
+  AND local_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' ORDER BY ts_ms DESC, event_id DESC LIMIT 51""")
+def _(spark, sf):
+    t = v.tables(spark, sf)
+    days = EventFilters(from_day=dt.date(2024, 1, 5), to_day=dt.date(2024, 1, 20))
+    return pr.search(t, days, "thé re", index=pr.term_rows(t.prompts)).select("event_id", "ts_ms")
+
+
 @query("prompt_matches", PRS + f"""
 SELECT local_date::VARCHAR AS local_date, count(*)::BIGINT AS prompts FROM prompts_d WHERE contains({FOLDS}, ' the') AND contains({FOLDS}, ' re') GROUP BY 1""")
 def _(spark, sf):
@@ -749,6 +758,18 @@ def _(spark, sf):
     return ru.needs_rebuild(t.events, roll.where(F.col("prompts") < 0))
 
 
+@query("stale_rollups", EV + """
+SELECT DISTINCT local_date::VARCHAR AS local_date, provider_id FROM ev
+WHERE local_date >= DATE '2024-01-12' OR provider_id = 'chat-log'""")
+def _(spark, sf):
+    """Rollups of which the later days were built under another idle limit and one provider not at all."""
+    t = v.tables(spark, sf)
+    now, other = Settings().rollup_fingerprint(), Settings(idle_ms=1).rollup_fingerprint()
+    built = rolled(spark, sf)[0].where("provider_id <> 'chat-log'").withColumn(
+        "settings", F.when(F.col("day") < F.lit("2024-01-12").cast("date"), now).otherwise(other))
+    return ru.stale_days(t.events, built, now)
+
+
 @query("covered_days", EV + ACTIVE + "SELECT count(*)::BIGINT AS covered_days FROM act")
 def _(spark, sf):
     return ru.covered_days(rolled(spark, sf)[1])
