@@ -116,7 +116,7 @@ def _days(f: EventFilters, column: str = "day") -> Column:
     return clause
 
 
-def _slice(rollups: DataFrame, f: EventFilters) -> DataFrame:
+def sliced(rollups: DataFrame, f: EventFilters) -> DataFrame:
     out = rollups.where(_days(f))
     for column in DIMENSIONS:
         value = getattr(f, column)
@@ -136,7 +136,7 @@ def rollup_totals(rollups: DataFrame, active: DataFrame, f: EventFilters) -> Dat
         F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("prompts", "responses", "tool_calls")
     ]
     everything = F.col("prompts") + F.col("responses") + F.col("tool_calls") + F.col("other_events")
-    out = _slice(rollups, f).agg(
+    out = sliced(rollups, f).agg(
         *counts, F.coalesce(F.sum(everything), F.lit(0)).alias("events"), *token_sums(), cost_sum()
     )
     if not active_can_answer(f):
@@ -162,7 +162,7 @@ def rollup_buckets(
     """
     grain = "week" if weekly else "day"
     key = timeutil.bucket(grain, F.col("day"), F.lit(0)).alias("bucket")
-    out = _slice(rollups, f).groupBy(key).agg(
+    out = sliced(rollups, f).groupBy(key).agg(
         F.sum("prompts").alias("prompts"),
         *token_sums(("input_tokens", "output_tokens")),
         cost_sum(),
@@ -183,7 +183,7 @@ def rollup_by(
     if dimension not in DIMENSIONS:
         raise ValueError(f"unknown dimension {dimension!r}")
     counted = (
-        _slice(rollups, f)
+        sliced(rollups, f)
         .where(F.col(dimension).isNotNull())
         .groupBy(F.col(dimension).alias("key"))
         .agg(F.sum("prompts").alias("count"))
@@ -203,7 +203,7 @@ def rollup_by(
 def rollup_models(rollups: DataFrame, f: EventFilters, limit: int | None = None) -> DataFrame:
     """Replies per model: the reply, not the prompt, is what names the model."""
     counted = (
-        _slice(rollups, f)
+        sliced(rollups, f)
         .where(F.col("model").isNotNull())
         .groupBy(F.col("model").alias("key"))
         .agg(F.sum("responses").alias("count"))
@@ -215,7 +215,7 @@ def rollup_models(rollups: DataFrame, f: EventFilters, limit: int | None = None)
 def rollup_categories(rollups: DataFrame, f: EventFilters) -> DataFrame:
     """Prompts per category with the mean confidence of the classified ones."""
     return (
-        _slice(rollups, f)
+        sliced(rollups, f)
         .groupBy(F.coalesce("category", F.lit("Other")).alias("key"))
         .agg(
             F.sum("prompts").alias("count"),
@@ -230,7 +230,7 @@ def rollup_categories(rollups: DataFrame, f: EventFilters) -> DataFrame:
 def exact_distincts(tables: Tables, rollups: DataFrame, f: EventFilters) -> DataFrame:
     """Distinct sessions from the log and distinct projects from the rollups, as one row."""
     sessions = apply_filters(tables, f).agg(F.count_distinct("session_id").alias("sessions"))
-    projects = _slice(rollups, f).agg(F.count_distinct("project_id"))
+    projects = sliced(rollups, f).agg(F.count_distinct("project_id"))
     return sessions.withColumn("projects", projects.scalar())
 
 

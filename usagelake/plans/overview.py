@@ -166,6 +166,49 @@ def subscription_value(both: DataFrame, plans: DataFrame, days: float) -> DataFr
     ).withColumn("leverage", F.col("estimated_cost_usd") / F.nullif("period_usd", F.lit(0.0)))
 
 
+#: What the page breaks a period down by.
+PARTS = ("day", "provider_id", "project_id", "model", "category")
+
+
+def page_counts(rollups: DataFrame, scope: Scope) -> DataFrame:
+    """All counters of the page from one aggregation of the rollups: part, key, period and sums.
+
+    Part ``total`` has the periods, the others one row per period and day, provider, project, model
+    or category; a null key is one of its own. A part of the page is a slice of this frame, so
+    whoever keeps it (it has as many rows as the page names keys) reads the rollups once. Distinct
+    sessions are not sums and come from elsewhere.
+    """
+    both = scope.filters.but(from_day=scope.previous.from_day)
+    current = F.col("day") >= F.lit(scope.filters.from_day).cast("date")
+    everything = F.col("prompts") + F.col("responses") + F.col("tool_calls") + F.col("other_events")
+    rows = ru.sliced(rollups, both).withColumn("period", F.when(current, "current").otherwise("previous"))
+    sets = [["period"], *[["period", part] for part in PARTS]]
+    counts = [F.sum(c).alias(c) for c in ("prompts", "responses", "tool_calls", "confidence_sum", "confidences")]
+    grouped = rows.groupingSets(
+        [[F.col(c) for c in s] for s in sets], "period", *PARTS
+    ).agg(*counts, F.sum(everything).alias("events"), *tt.token_sums(), tt.cost_sum(),
+          *[F.grouping(part).alias(f"_{part}") for part in PARTS])
+    part, key = F.lit("total"), F.lit(None).cast("string")
+    for name in PARTS:
+        part = F.when(F.col(f"_{name}") == 0, name).otherwise(part)
+        key = F.when(F.col(f"_{name}") == 0, F.col(name).cast("string")).otherwise(key)
+    return grouped.select(
+        part.alias("part"), key.alias("key"), "period", "prompts", "responses", "tool_calls", "events",
+        *tt.TOKENS, "estimated_cost_usd", "confidence_sum", "confidences")
+
+
+def page_part(counts: DataFrame, part: str, total: Column | None = None) -> DataFrame:
+    """Keys of one part in the current period with their count and share, largest first: replies of
+    real models, prompts of everything else."""
+    count = F.col("responses" if part == "model" else "prompts")
+    rows = counts.where((F.col("part") == part) & (F.col("period") == "current") & (count > 0))
+    key = F.coalesce("key", F.lit("Other")) if part == "category" else F.col("key")
+    named = rows.where(key.isNotNull()).groupBy(key.alias("key")).agg(F.sum(count).alias("count"))
+    if part == "model":
+        named = named.where(is_real_model(F.col("key")))
+    return tt.with_share(tt.top(named, None), total=total)
+
+
 def overview(
     tables: Tables, scope: Scope, rollups: DataFrame | None = None,
     active: DataFrame | None = None,

@@ -891,6 +891,40 @@ def _(spark, sf):
     )
 
 
+PAGE = """, b AS (SELECT *, CASE WHEN day >= DATE '2024-01-16' THEN 'current' ELSE 'previous' END AS period FROM roll
+  WHERE day BETWEEN DATE '2024-01-01' AND DATE '2024-01-30'), page AS (
+  SELECT CASE WHEN grouping(day) = 0 THEN 'day' WHEN grouping(provider_id) = 0 THEN 'provider_id'
+      WHEN grouping(project_id) = 0 THEN 'project_id' WHEN grouping(model) = 0 THEN 'model'
+      WHEN grouping(category) = 0 THEN 'category' ELSE 'total' END AS part,
+    CASE WHEN grouping(day) = 0 THEN day::VARCHAR WHEN grouping(provider_id) = 0 THEN provider_id
+      WHEN grouping(project_id) = 0 THEN project_id WHEN grouping(model) = 0 THEN model
+      WHEN grouping(category) = 0 THEN category END AS key,
+    period, sum(prompts)::BIGINT AS prompts, sum(responses)::BIGINT AS responses, sum(tool_calls)::BIGINT AS tool_calls,
+    sum(prompts + responses + tool_calls + other_events)::BIGINT AS events, sum(input_tokens)::BIGINT AS input_tokens,
+    sum(output_tokens)::BIGINT AS output_tokens, sum(cache_read_tokens)::BIGINT AS cache_read_tokens,
+    sum(cache_write_tokens)::BIGINT AS cache_write_tokens, round(sum(cost), 6) AS estimated_cost_usd,
+    round(sum(confidence_sum), 6) AS confidence_sum, sum(confidences)::BIGINT AS confidences
+  FROM b GROUP BY GROUPING SETS ((period), (period, day), (period, provider_id), (period, project_id), (period, model),
+    (period, category)))"""
+
+
+@query("overview_page", NTS + ROLL + PAGE + " SELECT * FROM page")
+def _(spark, sf):
+    return ov.page_counts(rolled(spark, sf)[0], scope())
+
+
+@query("overview_page_parts", NTS + ROLL + PAGE + """
+SELECT part, coalesce(key, 'Other') AS key, sum(n)::BIGINT AS count FROM (
+  SELECT part, key, CASE part WHEN 'model' THEN responses ELSE prompts END AS n FROM page WHERE period = 'current'
+    AND (part = 'provider_id' OR part = 'category' OR (part = 'project_id' AND key IS NOT NULL)
+      OR (part = 'model' AND key <> '' AND key NOT LIKE '<%'))) WHERE n > 0 GROUP BY 1, 2""")
+def _(spark, sf):
+    counts = ov.page_counts(rolled(spark, sf)[0], scope())
+    parts = [ov.page_part(counts, p).select(F.lit(p).alias("part"), "key", "count")
+             for p in ("provider_id", "project_id", "model", "category")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 ASKED = f"(SELECT count(*) FROM ev WHERE event_type = 'prompt' AND {IN_SPAN})"
 
 
