@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Partial products that a multiplication holds at once.
-HELD = 1 << 20
+HELD = 1 << 18
 
 
 class CSR:

@@ -17,6 +17,7 @@ to the blocks that have the pair.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import re
@@ -40,11 +41,13 @@ from .registry import query
 FOLDER = "/opt/tokenizers"
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Pieces whose text goes to a tokenizer at once, in bytes.
 AT_ONCE = 1 << 16
+#: Rows whose texts are taken out of a batch at once.
+SLICE = 256
 #: Pieces whose alignment a task remembers from block to block.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Fixed value: the sign that B's pieces have for a space.
 SPACE = "▁"
 _SPACES = re.compile(r"\s ")
@@ -270,6 +273,14 @@ def align_block(known: Pieces, texts: list[str]) -> dict:
     }
 
 
+def _give_back() -> None:
+    """Return freed memory to the machine, where its C library can; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 _MATRICES = {"pairs": "long", "held": "int", "d_starts": "int", "d_cols": "int", "d_data": "int",
              "l_starts": "int", "l_cols": "int", "l_data": "int"}
 
@@ -292,15 +303,20 @@ def aligned_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         number = TaskContext.get().partitionId() << 32
         held, size = [], 0
         for batch in batches:
-            for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                known = known or Pieces(Tokenizers(os.path.join(folder, file_a), os.path.join(folder, file_b)))
-                if held and size + len(body or "") > block_bytes:
-                    yield block(known, number, held)
-                    number, held, size = number + 1, [], 0
-                held.append((key, body))
-                size += len(body or "")
+            known = known or Pieces(Tokenizers(os.path.join(folder, file_a), os.path.join(folder, file_b)))
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                for key, body in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if held and size + len(body or "") > block_bytes:
+                        yield block(known, number, held)
+                        number, held, size = number + 1, [], 0
+                        _give_back()
+                    held.append((key, body))
+                    size += len(body or "")
         if held:
             yield block(known, number, held)
+        known = None
+        _give_back()
 
     def block(known, number, held):
         filled = [(i, body) for i, (_, body) in enumerate(held) if body]
