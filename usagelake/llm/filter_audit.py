@@ -31,8 +31,6 @@ from .registry import query
 FILTERS = "ABCDE"
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK = 1 << 24
-#: The dictionary is numbered in 2 ** NUMBER_BITS ranges of the words' hash.
-NUMBER_BITS = 14
 _CAPITALS = bytes(range(0x41, 0x5B))
 _FOLLOWING = bytes(range(0x80, 0xC0))
 _SIGNS = b"#$%&*|"
@@ -105,21 +103,39 @@ def matrix_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
                  .mapInArrow(build, schema), compression="zstd")
 
 
-def numbered(blocks: DataFrame) -> DataFrame:
-    """Every word of every block's vocabulary: block, local (its place there), word, and range and within,
-    its place in the dictionary of the corpus.
+def numbered(blocks: DataFrame, words: bool = True) -> DataFrame:
+    """Every word of every block's vocabulary: block, local (its place there), word if asked for, and
+    range and within, its place in the dictionary of the corpus.
 
-    Words are dealt over 2 ** NUMBER_BITS ranges of their hash and numbered inside their range. A
-    word comes once a block, so none has more than a vocabulary's share of the rows.
+    Words are dealt over tasks by their hash, and a task numbers those it meets: its range. A word
+    comes once a block, so none has more than a vocabulary's share of the rows. The numbers hold for
+    what one run writes down.
     """
-    entries = blocks.select("block", F.posexplode("words").alias("local", "word"))
-    at = F.shiftrightunsigned(F.xxhash64("word"), 64 - NUMBER_BITS).cast("int")
-    within = F.dense_rank().over(Window.partitionBy("range").orderBy("word")) - 1
-    return entries.withColumn("range", at).withColumn("within", within)
+    entries = blocks.select("block", F.posexplode("words").alias("local", "word")).repartition("word")
+    schema = "block long, local int, word binary, range int, within long"
+    if not words:
+        schema = schema.replace(" word binary,", "")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = defaultdict()
+        known.default_factory = known.__len__
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            coded = batch.column("word").dictionary_encode()
+            different = coded.dictionary.to_pylist()
+            ids = np.fromiter(map(known.__getitem__, different), dtype=np.int64, count=len(different))
+            columns = {"block": batch.column("block"), "local": batch.column("local"), "word": batch.column("word"),
+                       "range": pa.array(np.full(batch.num_rows, task, dtype=np.int32)),
+                       "within": pa.array(ids[coded.indices.to_numpy()])}
+            if not words:
+                columns.pop("word")
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return stage(entries.mapInArrow(number, schema), compression="zstd")
 
 
 def starts(places: DataFrame) -> DataFrame:
-    """The first number of each range, 2 ** NUMBER_BITS rows at most."""
+    """The first number of each range; a row per task."""
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     return places.groupBy("range").agg((F.max("within") + 1).alias("n")).select(
         "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -134,7 +150,7 @@ def dictionary(blocks: DataFrame) -> DataFrame:
 
 def terms(blocks: DataFrame) -> DataFrame:
     """The dictionary's number (``id``) of every block's own number (``local``)."""
-    places = stage(numbered(blocks).drop("word"), compression="zstd")
+    places = numbered(blocks, words=False)
     return places.join(F.broadcast(starts(places)), "range").select(
         "block", "local", (F.col("start") + F.col("within")).alias("id"))
 
