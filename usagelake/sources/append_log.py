@@ -74,7 +74,9 @@ class AppendLog:
         for part, df in sets.items():
             path = f"{self.root}/batches/{name}/{part}"
             if not self.store.finished(path):
-                self.store.arranged(part.partition(".")[0], df.hint("rebalance")).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
+                # Unpartitioned, so nothing of a batch is told by folders; postings keep their order.
+                rows = self.store.arranged(part.partition(".")[0], df.hint("rebalance"), folders=False)
+                rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
             if not self.spark.read.schema(df.schema).parquet(path).isEmpty():
                 schemas[part] = df.schema.json()
         self.store.write_text(f"{self.root}/commits/{name}", json.dumps(schemas))

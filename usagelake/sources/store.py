@@ -160,9 +160,11 @@ class EventStore:
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*keys) if keys else writer).parquet(self.path(name))
 
-    def arranged(self, name: str, df: DataFrame) -> DataFrame:
-        """Rows in the order in which the files of the set keep them."""
-        return df.sortWithinPartitions(*self.keys(name), *SORTED[name]) if name in SORTED else df
+    def arranged(self, name: str, df: DataFrame, folders: bool = True) -> DataFrame:
+        """Rows in the order in which the files of the set keep them, first by what names folders."""
+        if name not in SORTED:
+            return df
+        return df.sortWithinPartitions(*(self.keys(name) if folders else ()), *SORTED[name])
 
     def replace(self, name: str, df: DataFrame, touched: DataFrame | None = None) -> None:
         """Make ``df`` all that the touched partitions hold; a partition without rows is removed.

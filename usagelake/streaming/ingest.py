@@ -2,9 +2,9 @@
 
 Delivery is at least once; the effect is exactly once because events merge on their dedupe key,
 every step of a batch is staged before anything is published, a batch that is run again after a
-failure publishes the same staged frames, and its files count from its commit on. Staging is named by source, batch and content, so
-batches of another stream or of a new checkpoint never meet it, and is dropped when the batch is
-published.
+failure publishes the same staged frames, and its files count from its commit on. Staging is named
+by source, batch and content, so batches of another stream or of a new checkpoint never meet it,
+and is dropped when the batch is published.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ def ingest(spark: SparkSession, sf_dir: str) -> ig.Ingest:
     """Prompts, replies and calls come first, compactions second; then the batches are compacted,
     and the answers to the calls come last."""
     root = f"{store(spark, sf_dir).root}-followed"
-    out = ig.Ingest(EventStore(spark, f"{root}/store"), Settings(timezone="UTC"))
+    out = ig.Ingest(EventStore(spark, f"{root}/store"), Settings(timezone="UTC"), defer_rollups=True)
     if root in _FOLLOWED:
         return out
     lines = wt.lines(spark, sf_dir).select("value")
