@@ -44,6 +44,8 @@ FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK = 1 << 20
 #: Pieces whose text goes to a tokenizer at once, in bytes.
 AT_ONCE = 1 << 16
+#: Blocks in a stored file, which bounds what a reader holds.
+BLOCKS_PER_FILE = 8
 #: Rows whose texts are taken out of a batch at once.
 SLICE = 256
 #: Pieces whose alignment a task remembers from block to block.
@@ -334,7 +336,8 @@ def aligned_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             [pa.array(v, type=f.type) for v, f in zip(values, arrow)], schema=arrow)
 
     frame = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("body"))
-    return stage(frame.mapInArrow(build, schema), compression="zstd")
+    # Spark's reader takes all blocks of a file at once.
+    return stage(frame.mapInArrow(build, schema), compression="zstd", maxRecordsPerFile=BLOCKS_PER_FILE)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
