@@ -278,6 +278,20 @@ def test_training_order_interleaves_by_schedule(spark):
     assert set(ordered.columns) == {*data.frame(spark, []).columns, *data.CLASH}
 
 
+def test_training_positions_are_the_words_sorted_before(spark):
+    mixed = mixing.mix(data.frame(spark)).collect()
+    passes = sorted((b, t, i) for i, r in enumerate(mixed) for b, t in zip(r["begins"], r["positions"], strict=True))
+    assert [t for _, t, _ in passes] == sorted(t for _, t, _ in passes)
+    ends = [b for b, _, _ in passes[1:]] + [sum(r["taken"] for r in mixed)]
+    words = Counter()
+    for (begin, _, i), end in zip(passes, ends):
+        assert 0 < end - begin <= mixed[i]["size"]
+        words[i] += end - begin
+    assert passes[0][0] == 0 and words == Counter({i: r["taken"] for i, r in enumerate(mixed) if r["taken"]})
+    first = [r["begins"][0] for r in mixed if r["begins"]]
+    assert first == sorted(first) and all(r["begins"] for r in mixed[:len(first)])
+
+
 @pytest.mark.parametrize("shards", (1, 24))
 def test_sharding(spark, shards):
     documents = data.plain(400) + data.odd()

@@ -4,8 +4,9 @@ Every source has a weight schedule over training time, 0 to 1. Its integral is t
 the source gives, its target; the words given up to a time are the source's cumulative demand. A
 document that begins at some word of its source's stream (its documents in a hashed order, passed
 through up to ``most`` times) is therefore trained on at the time at which the demand reaches that
-word: the inverse of the integral. Sorting by that time interleaves the sources so that every
-stretch of training has the mix its schedules ask for.
+word: the inverse of the integral. Sorting by that time, over ranges of equal length, interleaves
+the sources so that every stretch of training has the mix its schedules ask for, and the words
+sorted before a document are its position in training.
 """
 
 from __future__ import annotations
@@ -82,10 +83,12 @@ def mix(
 
     doc_id, body_hash (of the text), source, size (words), source_size, target (of its source),
     taken (words the mix takes, repeats counted; the document at which a target is met is taken up
-    to that word), copies (passes that take any of it) and positions (training time of each). A
-    null text has size 0, and such documents are taken 0 times; a null source is a source of its
-    own, the last in order. Rows that repeat id and text stand side by side in the stream. The
-    order depends on ids and texts alone, so reruns agree. An empty table gives an empty result.
+    to that word), copies (passes that take any of it), positions (training time of each) and
+    begins (words trained on before each). A null text has size 0, and such documents are taken 0
+    times; a null source is a source of its own, the last in order. Rows that repeat id and text
+    stand side by side in the stream. The order depends on ids and texts alone, so reruns agree. The
+    rows are sorted by ranges of their first begin, those that are not taken last. An empty table
+    gives an empty result.
     """
     body, name = F.col(f"`{text}`").cast("string"), F.col(f"`{source}`").cast("string")
     rows = stage(docs.select(
@@ -112,11 +115,41 @@ def mix(
     taken = F.aggregate(
         F.col("begun"), F.lit(0).cast("long"), lambda sum_, at: sum_ + F.least("size", goal - at)
     )
-    return known.withColumn("begun", begun).select(
+    known = stage(known.withColumn("begun", begun).select(
         "doc_id", "body_hash", "source", "size", "source_size", "target", taken.alias("taken"),
-        F.size("begun").alias("copies"),
-        F.transform("begun", lambda at: _time(at, F.col("target"), F.col("tilt"))).alias("positions"),
+        F.size("begun").alias("copies"), "order", "source_key",
+        F.when(F.col("size") > 0, F.col("start")).alias("start"),
+        F.transform("begun", lambda at: F.struct(
+            _time(at, F.col("target"), F.col("tilt")).alias("time"), F.least("size", goal - at).alias("words")
+        )).alias("passes"),
+    ))
+    # Within its source a document with words is told by its start.
+    place = ["source_key", "start"]
+    begins = training_positions(known.select(*place, F.posexplode("passes").alias("nth", "pass")).select(
+        *place, "nth", "pass.*"))
+    begins = begins.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("nth", "begin")))["begin"].alias("begins"))
+    rows = known.join(begins, place, "left").select(
+        *known.columns[:8], F.col("passes")["time"].alias("positions"),
+        F.coalesce("begins", F.array().cast("array<bigint>")).alias("begins"), "order",
     )
+    return _in_order(stage(rows), F.get("begins", F.lit(0)).asc_nulls_last(), "order").drop("order")
+
+
+def training_positions(passes: DataFrame) -> DataFrame:
+    """Add ``begin``, the words of all passes (``time`` from 0 to 1, ``words``) with an earlier time.
+
+    Passes go to ranges of time of equal length and are sorted inside them; schedules are straight
+    lines, so a range holds at most 1 + tilt times its even share.
+    """
+    most = (1 << 62) - 1
+    timed = passes.withColumn("_all", F.lit(0)).withColumn("_time", F.least(
+        (F.col("time") * F.lit(float(1 << 62))).cast("long"), F.lit(most)))
+    return running_total(timed, ["_all"], "_time", "words", "begin").drop("_all", "_time")
+
+
+def _in_order(rows: DataFrame, *by: Column | str) -> DataFrame:
+    """Sorted by ranges: files in order give the rows in order."""
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 @query("op10_mixing")
@@ -124,7 +157,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read(spark, sf_dir, "documents"))
     return mixed.select(
         "doc_id", "source", "size", "source_size", "target", "taken",
-        F.get("positions", F.lit(0)).alias("position"),
+        F.get("positions", F.lit(0)).alias("position"), F.get("begins", F.lit(0)).alias("begin"),
     )
 
 
@@ -132,18 +165,16 @@ def in_training_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """The rows of ``docs`` in the order of training, each as often as the mix takes any of it.
 
     The last document that a source gives stays whole. Rows that repeat id and text share the
-    positions of one of them. The rows are sorted by ranges of the position, so files in order
-    give the curriculum.
+    positions of one of them. The rows are sorted by ranges of the words before them, so files in
+    order give the curriculum.
     """
-    one, two, at = "_mix_key", "_mix_text", "_mix_position"
+    one, two, at = "_mix_key", "_mix_text", "_mix_begin"
     mixed = mix(docs, doc_id, text, source)
     places = mixed.groupBy(
         F.xxhash64(F.col("doc_id").isNull(), "doc_id").alias(one), F.col("body_hash").alias(two)
-    ).agg(F.min("positions").alias("positions")).where(F.size("positions") > 0)
+    ).agg(F.min("begins").alias("begins")).where(F.size("begins") > 0)
     key = F.xxhash64(F.col(f"`{doc_id}`").isNull(), F.col(f"`{doc_id}`"))
     body = F.xxhash64(F.col(f"`{text}`").cast("string"))
-    return (
-        docs.withColumn(one, key).withColumn(two, body).join(places, [one, two])
-        .select(*[F.col(f"`{c}`") for c in docs.columns], F.explode("positions").alias(at))
-        .repartitionByRange(at).sortWithinPartitions(at).drop(at)
-    )
+    passes = docs.withColumn(one, key).withColumn(two, body).join(places, [one, two]).select(
+        *[F.col(f"`{c}`") for c in docs.columns], F.explode("begins").alias(at))
+    return _in_order(passes, at).drop(at)
