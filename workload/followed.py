@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from usagelake.contract import Settings
 from usagelake.sources.store import EventStore
 from usagelake.streaming import ingest as ig
-from workload import transcripts as wt
-from workload.views import store
+from workload import transcripts as wt, views
 
 _FOLLOWED: set[str] = set()
 
@@ -17,7 +16,7 @@ _FOLLOWED: set[str] = set()
 def ingest(spark: SparkSession, sf_dir: str) -> ig.Ingest:
     """Prompts, replies and calls come first, compactions second; then the batches are compacted,
     and the answers to the calls come last."""
-    root = f"{store(spark, sf_dir).root}-followed"
+    root = f"{views.root(spark, sf_dir)}-followed"
     out = ig.Ingest(EventStore(spark, f"{root}/store"), Settings(timezone="UTC"), defer_rollups=True)
     if root in _FOLLOWED:
         return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from usagelake.functions.timeutil import iso_utc
-from workload.views import DAY0_MS, load, store
+from workload.views import DAY0_MS, load, root
 
 PATTERN = "*.txt"
 
@@ -89,7 +89,7 @@ _WRITTEN: set[str] = set()
 
 
 def directory(spark: SparkSession, sf_dir: str) -> str:
-    path = store(spark, sf_dir).path("transcripts")
+    path = f"{root(spark, sf_dir)}/transcripts"
     if path not in _WRITTEN:
         lines(spark, sf_dir).write.partitionBy("folder").mode("overwrite").text(path)
         _WRITTEN.add(path)

@@ -215,14 +215,19 @@ def shared_folder(spark: SparkSession) -> str:
 _BUILT: set[str] = set()
 
 
+def root(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of what this application derives from the tables; nothing is built for its name."""
+    name = f"{spark.sparkContext.applicationId}-{hashlib.sha1(sf_dir.encode()).hexdigest()[:10]}"
+    return f"{shared_folder(spark)}/usagelake/{name}"
+
+
 def store(spark: SparkSession, sf_dir: str) -> EventStore:
     """The driver's tables ingested once per application into an event store.
 
     Questions read the stored log the way they do in production: partitioned, column-pruned, with
     the text work of ingest and enrichment already done.
     """
-    name = f"{spark.sparkContext.applicationId}-{hashlib.sha1(sf_dir.encode()).hexdigest()[:10]}"
-    out = EventStore(spark, f"{shared_folder(spark)}/usagelake/{name}", by_provider=False)
+    out = EventStore(spark, root(spark, sf_dir), by_provider=False)
     if out.root in _BUILT:
         return out
     ingest(spark, sf_dir, out)
