@@ -253,3 +253,17 @@ def test_retention_reaches_the_disk(filled):
     kept = filled.store.read("prompts").where("text IS NOT NULL")
     assert [r.text for r in kept.collect()] == ["next week"]
     assert filled.store.read("prompts").count() == 3
+
+
+def test_a_batch_of_lines_reads_its_records_once(spark, tmp_path, monkeypatch):
+    seen = []
+
+    def run(self, events, batch_id, outcomes=None):
+        seen.append(events.collect())
+        seen.extend(f._jdf.queryExecution().optimizedPlan().toString() for f in (events, outcomes))
+
+    monkeypatch.setattr(Ingest, "run", run)
+    record = json.dumps({"type": "user", "uuid": "u", "timestamp": at(0), "sessionId": "s", "message": {"content": "hi"}})
+    Ingest(EventStore(spark, str(tmp_path))).run_lines(spark.createDataFrame([(record, "f")], "value string, source_path string"), 0)
+    assert [r["prompt"] for r in seen[0]] == ["hi"]
+    assert not any("try_parse_json" in plan or "variant_get" in plan for plan in seen[1:])

@@ -23,6 +23,7 @@ from usagelake.functions import classify as cl
 from usagelake.operators import asof, enrichment, maintenance as mt, merge, normalize as nz, rollups as ru
 from usagelake.operators.prompts import term_rows
 from usagelake.operators.sessions import session_metrics
+from usagelake.session import spread
 from usagelake.sources import transcript_source as source, transcripts as tr
 from usagelake.sources.append_log import OPEN, batch_label
 from usagelake.sources.store import ROLLUPS, EventStore
@@ -66,7 +67,7 @@ class Ingest:
         checked = store.stage(name, "checked", nz.validate(conformed))
         valid = checked.where("is_valid")
         providers = store.read("providers")
-        accepted = valid if providers is None else nz.drop_paused(valid, providers)
+        accepted = spread(valid if providers is None else nz.drop_paused(valid, providers))
         normalized = store.stage(name, "normalized", nz.normalize(accepted, self.settings))
 
         once = store.stage(name, "once", merge.merge_events(None, normalized))
@@ -110,10 +111,12 @@ class Ingest:
     def run_lines(self, lines: DataFrame, batch_id: int | str) -> None:
         """One batch of transcript lines, whose answers may belong to calls of other batches."""
         label = batch_label(f"lines-{self.source}-{batch_id}-{_content(lines)}")
-        parsed = tr.parse(self.store.stage(label, "lines", lines))
-        outcomes = tr.tool_outcomes(parsed).select(
-            F.lit(tr.PROVIDER_ID).alias("provider_id"), "external_id", F.col("outcome").alias("succeeded"), "at")
-        self.run(tr.map_records(parsed, self.settings.store_responses), batch_id, outcomes)
+        # Every step of a batch asks for these, and reading a record costs far more than its row.
+        parsed = tr.parse(spread(self.store.stage(label, "lines", lines)))
+        events = self.store.stage(label, "mapped", tr.map_records(parsed, self.settings.store_responses))
+        outcomes = self.store.stage(label, "answers", tr.tool_outcomes(parsed).select(
+            F.lit(tr.PROVIDER_ID).alias("provider_id"), "external_id", F.col("outcome").alias("succeeded"), "at"))
+        self.run(events, batch_id, outcomes)
         self.store.unstage(label)
 
     def compact(self) -> None:
