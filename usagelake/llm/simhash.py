@@ -15,8 +15,9 @@ pigeonhole principle, in one of two ways:
 So every linked pair meets under at least one key, which holds 33 bits or more. Fingerprints that
 meet are compared in full.
 
-At similarity 0.8 about 10 of the 64 bits differ, and keys of so few bits would pair everything. A
-least similarity is therefore answered by ``similar``, an exact join of the sets of shingles.
+At similarity 0.8 about 10 of the 64 bits differ, and keys of so few bits would pair everything. For a
+least similarity, fingerprints that meet under a key give the first candidates, up to WIDE bits apart;
+every pair is verified, and an exact join of the sets of shingles (``similar``) finds what is left.
 """
 
 from __future__ import annotations
@@ -42,13 +43,14 @@ GOLAY = 0b101011100011
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 DISTANCE = 3
 SHINGLE = 3
+#: Fingerprints that meet are looked at up to so many differing bits where similarity is verified.
+WIDE = 14
 SEED = 42
 #: A key's members are compared in blocks of about so many on each side.
 BLOCK = 2048
 #: Pairs compared at once inside a task.
 PAIRS = 1 << 21
 
-_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _decoded: list[np.ndarray] = []
 
 
@@ -81,12 +83,7 @@ def fingerprint_of(text: bytes | None, shingle: int = SHINGLE) -> int:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype="<u8",
                              count=len(words) - shingle + 1)
-    columns = hashes.view(np.uint8).reshape(-1, 8)
-    if len(hashes) < 256:
-        ones = np.unpackbits(columns, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    else:
-        ones = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BYTE for i in range(8)])
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return similar.print_of(hashes)
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
@@ -172,8 +169,20 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[tied], nodes[label[tied]]
 
 
+def closest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of each a, that with the fewest differing bits and that with the smallest b."""
+    found = []
+    for sort in ((b, np.bitwise_count(a ^ b), a), (b, a)):
+        order = np.lexsort(sort)
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = a[order][1:] != a[order][:-1]
+        found.append(order[fresh])
+    at = np.unique(np.concatenate(found))
+    return a[at], b[at]
+
+
 def _links_of(asks: np.ndarray, answers: np.ndarray, ask_of: np.ndarray, answer_from: np.ndarray,
-              answer_n: np.ndarray, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+              answer_n: np.ndarray, distance: int = DISTANCE, reduce=forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Compares each asking row with the answering rows of its group, some pairs at a time."""
     total = np.cumsum(answer_n[ask_of])
     start = 0
@@ -187,12 +196,13 @@ def _links_of(asks: np.ndarray, answers: np.ndarray, ask_of: np.ndarray, answer_
         right = answers[np.repeat(answer_from[group], times) + step]
         near = (left != right) & (np.bitwise_count(left ^ right) <= distance)
         if near.any():
-            yield forest(left[near].view(np.int64), right[near].view(np.int64))
+            yield reduce(left[near].view(np.int64), right[near].view(np.int64))
         start = end
 
 
-def _compare(batches: Iterator[pd.DataFrame], distance: int = DISTANCE) -> Iterator[pd.DataFrame]:
-    """Links of rows sorted by (key, ask_block, answer_block), of which each set is a group."""
+def _compare(batches: Iterator[pd.DataFrame], distance: int = DISTANCE, reduce=forest) -> Iterator[pd.DataFrame]:
+    """Links of rows sorted by (key, ask_block, answer_block), of which each set is a group; ``reduce``
+    takes those of some groups and leaves as many as there are rows or fewer."""
     held: pd.DataFrame | None = None
 
     def links(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -201,9 +211,9 @@ def _compare(batches: Iterator[pd.DataFrame], distance: int = DISTANCE) -> Itera
         asking = rows["asks"].to_numpy()
         prints = rows["fp"].to_numpy().view(np.uint64)
         n = np.bincount(group[~asking], minlength=group[-1] + 1)
-        found = list(_links_of(prints[asking], prints[~asking], group[asking], np.cumsum(n) - n, n, distance))
+        found = list(_links_of(prints[asking], prints[~asking], group[asking], np.cumsum(n) - n, n, distance, reduce))
         if found:
-            u, v = forest(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
+            u, v = reduce(np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found]))
             yield pd.DataFrame({"u": u, "v": v})
 
     for batch in batches:
@@ -228,13 +238,18 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     if distance > DISTANCE:
         raise ValueError(f"keys find pairs of {DISTANCE} differing bits at most")
+    return _meeting(prints, distance, forest)
+
+
+def _meeting(prints: DataFrame, distance: int, reduce) -> DataFrame:
+    """What ``reduce`` leaves of the pairs (u, v) under each key that are within the distance."""
     keys = prints.mapInPandas(_key_rows, "key long, role int, fp long")
     asks, answers = F.col("role").bitwiseAND(1) > 0, F.col("role") > 1
     shared = (
         keys.groupBy("key")
-        .agg(F.min("fp").alias("low"), F.max("fp").alias("high"),
-             F.count(F.when(asks, 1)).alias("ask_n"), F.count(F.when(answers, 1)).alias("answer_n"))
-        .where("low <> high AND ask_n > 0 AND answer_n > 0")
+        .agg(F.count(F.lit(1)).alias("n"), F.count(F.when(asks, 1)).alias("ask_n"),
+             F.count(F.when(answers, 1)).alias("answer_n"))
+        .where("n > 1 AND ask_n > 0 AND answer_n > 0")
         .select("key", F.expr(f"cast(1 + ask_n div {BLOCK} as int)").alias("ask_blocks"),
                 F.expr(f"cast(1 + answer_n div {BLOCK} as int)").alias("answer_blocks"))
     )
@@ -251,16 +266,34 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     place = ["key", "ask_block", "answer_block"]
     return (
         both.repartition(*place).sortWithinPartitions(*place)
-        .select(*place, "asks", "fp").mapInPandas(partial(_compare, distance=distance), "u long, v long")
+        .select(*place, "asks", "fp").mapInPandas(partial(_compare, distance=distance, reduce=reduce), "u long, v long")
     )
 
 
+def candidates(known: DataFrame) -> DataFrame:
+    """Stored: distinct pairs (a, b) of sets whose SimHash prints are equal or meet under a fuzzy key.
+
+    ``known`` has a set's fp and print. Sets of one print are paired with the first of them; a print
+    is paired with the closest of those it meets and with the smallest, so pairs are no more than a
+    few for each set, however large a group of near copies is.
+    """
+    prints = stage(known.groupBy("print").agg(F.min("fp").alias("fp")))
+    same = lookup(known.select("print", F.col("fp").alias("b")), prints.withColumnRenamed("fp", "a"), "print", "b")
+    met = _meeting(prints.select(F.col("print").alias("fp")), WIDE, closest)
+    ends = met.groupBy("u").agg(F.min(F.struct(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("bits"), "v")).alias(
+        "close"), F.min("v").alias("low")).select("u", F.explode(F.array("close.v", "low")).alias("v"))
+    named = ends.join(prints.toDF("u", "a"), "u").join(prints.toDF("v", "b"), "v")
+    return stage(same.select("a", "b").unionByName(named.select("a", "b")).where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = similar.SHINGLE,
                     distance: int | None = None, least: tuple[int, int] = similar.LEAST) -> DataFrame:
     """One row per document: doc_id, body_hash, fp, root (of its component) and component_id.
 
     Without a ``distance`` two documents link if the Jaccard similarity of their sets of shingles of
-    ``shingle`` words is ``least`` or more, every pair verified, and fp tells the set. With one,
+    ``shingle`` words is ``least`` or more, every pair verified, and fp tells the set: SimHash prints
+    of the sets give candidates, and an exact join what they leave apart. With one,
     SimHash fingerprints fp link at ``distance`` or fewer differing bits, 3 at most, and ``least``
     is not looked at.
 
@@ -280,7 +313,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         ))
     prints = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     if distance is None:
-        edges = similar.links(rows, docs, text, shingle, least)
+        known = similar.distinct_sets(rows)
+        edges = similar.links(rows, known, candidates(known), docs, text, shingle, least)
     else:
         edges = links(prints.select("fp"), distance)
     roots = components(edges).withColumnRenamed("node", "fp")

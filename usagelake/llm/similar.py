@@ -1,14 +1,18 @@
 """Exact similarity join of documents over their sets of shingles.
 
+Candidates come first from SimHash prints of the sets that meet under fuzzy keys (``simhash``); what
+they leave apart is looked for by an exact join, so that no similar pair is missed.
+
 The shingles of a set are ordered by hash. Two sets of similarity ``LEAST`` or more share one of the
 first n - ceil(LEAST n) + 1 shingles of each (prefix filter), differ little in size (length filter),
 and can still reach the overlap after the first shingle they share (positional filter). A field of
 FIELD bits, of which every shingle flips one, tells a least number of different shingles. What
 passes is compared in full.
 
-Only the components matter, so pairs are made in two rounds: every set with one that is the first
-under most of its shingles, which ties nearly all of a large group of near copies together, and then sets
-under one shingle that are still in different components.
+Only the components matter, so pairs of sets that are tied already are left out: after the candidates
+of SimHash, every set is compared with one that is the first under most of its shingles, which ties nearly
+all of a large group of near copies together, and then sets under one shingle that are still in different
+components. Candidates are pairs of ids until the fields have been compared; only then are texts read.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ SHINGLE = 5
 FIELD = 16
 #: The sets under a shingle are dealt over blocks of about so many.
 BLOCK = 512
+_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: Bits of the field that holds back texts no candidate pair asks for: 2 MB.
 ASKED = 1 << 24
 
@@ -49,47 +54,67 @@ def shingles_of(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), dtype=np.uint64))
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """The SimHash of some 64-bit hashes: a bit is 1 if it is set in over half of them."""
+    columns = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    if len(hashes) < 256:
+        ones = np.unpackbits(columns, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    else:
+        ones = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BYTE for i in range(8)])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def prefix_of(n: int, least: tuple[int, int]) -> int:
     return n + (-least[0] * n // least[1]) + 1 if n else 0
 
 
 def sets_of(docs: DataFrame, doc_id: str, text: str, shingle: int, least: tuple[int, int]) -> DataFrame:
-    """Stored, one row per document: doc_id, body_hash, fp (told by the set), n, field and lead, the
-    prefix of the set; field and lead are null where the same batch has an equal set before."""
+    """Stored, one row per document: doc_id, body_hash, fp (told by the set), n, print (its SimHash),
+    field and lead, the prefix of the set; the last three are null where the same batch has an equal
+    set before."""
     key, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     narrow = docs.select(key.alias("doc_id"), F.xxhash64(body).alias("body_hash"),
                          F.encode(body.cast("string"), "UTF-8").alias("body"))
     schema = T.StructType([
         narrow.schema["doc_id"], T.StructField("body_hash", T.LongType()), T.StructField("fp", T.LongType()),
-        T.StructField("n", T.IntegerType()), T.StructField("field", T.ArrayType(T.LongType())),
+        T.StructField("n", T.IntegerType()), T.StructField("print", T.LongType()),
+        T.StructField("field", T.ArrayType(T.LongType())),
         T.StructField("lead", T.ArrayType(T.LongType())),
     ])
     arrow = to_arrow_schema(schema)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, fp, n, field, lead = set(), [], [], [], []
+            seen, fp, n, prints, field, lead = set(), [], [], [], [], []
             for value in batch.column(2):
                 found = shingles_of(value.as_py(), shingle)
                 fp.append(xxhash.xxh64_intdigest(found.tobytes()))
                 n.append(len(found))
                 if fp[-1] in seen:
+                    prints.append(None)
                     field.append(None)
                     lead.append(None)
                     continue
                 seen.add(fp[-1])
+                prints.append(int(np.uint64(print_of(found)).view(np.int64)))
                 flips = np.bincount((found & np.uint64(64 * FIELD - 1)).astype(np.int64), minlength=64 * FIELD) & 1
                 field.append(np.packbits(flips.astype(bool), bitorder="little").view("<i8"))
                 lead.append(found[:prefix_of(len(found), least)].view(np.int64))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)),
-                pa.array(n, pa.int32()), pa.array(field, arrow.field("field").type),
+                pa.array(n, pa.int32()), pa.array(prints, pa.int64()), pa.array(field, arrow.field("field").type),
                 pa.array(lead, arrow.field("lead").type),
             ], schema=arrow)
 
     return stage(narrow.mapInArrow(sets, schema))
 
 
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """Stored, one row per set: fp, n, print, field and the body_hash of a text that has it."""
+    return stage(sets.where("lead IS NOT NULL").groupBy("fp").agg(
+        *[F.first(c).alias(c) for c in ("n", "print", "field", "body_hash")]))
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (key, fp, n, at) sorted by key and fp: every set under a key behind the first, with it."""
     last = None
@@ -113,21 +138,69 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.stack([rows[:, head[-1]], rows[:, -1]], axis=1)
 
 
-def _can_be(least: tuple[int, int], field: bool = False) -> str:
-    """Length and positional filter, and that of the fields, for sets a and b under one shingle."""
+def _met(sets: DataFrame) -> DataFrame:
+    """Stored: every set under a leading shingle behind the first, with it."""
+    leads = sets.where("lead IS NOT NULL").select("fp", "n", F.posexplode("lead").alias("at", "key"))
+    return stage(
+        leads.select("key", "fp", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"))
+        .repartition("key").sortWithinPartitions("key", "fp")
+        .mapInArrow(_meet, "key long, a long, a_n long, a_at long, b long, b_n long, b_at long")
+    )
+
+
+def _roots(pairs: DataFrame) -> DataFrame:
+    return stage(components(pairs))
+
+
+def _apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    one, two = (roots.toDF(end, f"{end}_root") for end in (a, b))
+    return pairs.join(one, a, "left").join(two, b, "left").where(
+        F.coalesce(f"{a}_root", a) != F.coalesce(f"{b}_root", b))
+
+
+def _can_be(least: tuple[int, int]) -> str:
+    """Length and positional filter for sets a and b under one shingle."""
+    up, down = least
+    return f"""a_n * {down} >= b_n * {up} AND b_n * {down} >= a_n * {up}
+        AND least(a_n - a_at, b_n - b_at) * {up + down} >= (a_n + b_n) * {up}"""
+
+
+def _can_share(least: tuple[int, int]) -> str:
+    """Length filter, and what sets a and b can share before, at and after any shingle of both."""
+    up, down = least
+    return f"""a_n * {down} >= b_n * {up} AND b_n * {down} >= a_n * {up}
+        AND (least(a_at, b_at) + least(a_n - a_at, b_n - b_at)) * {up + down} >= (a_n + b_n) * {up}"""
+
+
+def _least_shared(least: tuple[int, int]) -> str:
+    """The fewest leading shingles that similar sets a and b share. Up to the smaller of their last
+    leading shingles, one set has its whole prefix, and what it does not share is all that the least
+    overlap spares."""
+    up, down = least
+    return f"(({up} * (a_n + b_n) - 1) div {up + down}) + 2 - ((greatest(a_n, b_n) * {up} + {down - 1}) div {down})"
+
+
+def _differ_little(least: tuple[int, int]) -> str:
+    """Length filter and that of the fields for sets a and b."""
     up, down = least
     differ = " + ".join(f"bit_count(a_field[{i}] ^ b_field[{i}])" for i in range(FIELD))
     return f"""a_n * {down} >= b_n * {up} AND b_n * {down} >= a_n * {up}
-        AND least(a_n - a_at, b_n - b_at) * {up + down} >= (a_n + b_n) * {up}""" + (
-        f" AND ({differ}) * {up + down} <= (a_n + b_n) * {down - up}" if field else "")
+        AND ({differ}) * {up + down} <= (a_n + b_n) * {down - up}"""
+
+
+def _possible(pairs: DataFrame, known: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Stored: the pairs (a, b) whose fields let them be similar."""
+    one, two = (known.select(*[F.col(c).alias(n) for c, n in (("fp", s), ("n", f"{s}_n"), ("field", f"{s}_field"))])
+                for s in "ab")
+    return stage(lookup(lookup(pairs, one, "a", "b"), two, "b", "a").where(_differ_little(least)).select("a", "b"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, shingle: int,
+def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, text: str, shingle: int,
               least: tuple[int, int]) -> DataFrame:
     """Stored: (u, v) of the distinct pairs (a, b) whose sets are similar, from the texts."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    bodies = stage(sets.where("lead IS NOT NULL").join(asked, "fp", "left_semi").groupBy("fp").agg(
-        F.min("body_hash").alias("body_hash")))
+    bodies = stage(known.select("fp", "body_hash").join(asked, "fp", "left_semi"))
     field = np.zeros(ASKED, dtype=bool)
     slot = F.col("body_hash").bitwiseAND(ASKED - 1).cast("int").alias("slot")
     field[bodies.select(slot).distinct().toArrow().column("slot").to_numpy()] = True
@@ -155,19 +228,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, shi
         both * (least[0] + least[1]) >= size * least[0]).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def links(sets: DataFrame, docs: DataFrame, text: str, shingle: int, least: tuple[int, int]) -> DataFrame:
-    """Pairs (u, v) of distinct sets that connect all similar ones, directly or in a chain."""
-    leads = sets.where("lead IS NOT NULL").select("fp", "n", F.posexplode("lead").alias("at", "key"))
-    met = stage(
-        leads.select("key", "fp", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at"))
-        .repartition("key").sortWithinPartitions("key", "fp")
-        .mapInArrow(_meet, "key long, a long, a_n long, a_at long, b long, b_n long, b_at long")
-    )
+def links(sets: DataFrame, known: DataFrame, near: DataFrame, docs: DataFrame, text: str, shingle: int,
+          least: tuple[int, int]) -> DataFrame:
+    """Pairs (u, v) of distinct sets that connect all similar ones, directly or in a chain.
+
+    ``known`` are the distinct sets, ``near`` the distinct pairs (a, b) that are looked at first.
+    """
+    told = _verified(near, known, docs, text, shingle, least)
+    met = _met(sets)
     # Of the first sets it meets, each set is compared with the one it meets most often.
     often = met.where(_can_be(least)).groupBy("b", "a").agg(F.count(F.lit(1)).alias("times"))
-    first = stage(often.groupBy("b").agg(F.max(F.struct("times", "a")).alias("most")).select("most.a", "b"))
-    tied = _verified(first, sets, docs, text, shingle, least)
-    roots = stage(components(tied))
+    first = often.groupBy("b").agg(F.max(F.struct("times", "a")).alias("most")).select("most.a", "b")
+    first = stage(_apart(first, _roots(told), "a", "b").select("a", "b"))
+    tied = told.unionByName(_verified(_possible(first, known, least), known, docs, text, shingle, least))
+    roots = _roots(tied)
 
     side = ["key", "fp", "n", "at"]
     rows = met.select("key", "b", "b_n", "b_at").toDF(*side).unionByName(
@@ -176,15 +250,24 @@ def links(sets: DataFrame, docs: DataFrame, text: str, shingle: int, least: tupl
         "root", F.coalesce("root", "fp")))
     apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias(
         "rows")).where("low <> high").select("key", F.expr(f"cast(1 + rows div {BLOCK} as int)").alias("blocks"))
-    fields = sets.where("field IS NOT NULL").groupBy("fp").agg(F.first("field").alias("field"))
-    open_ = stage(lookup(lookup(rows, apart, "key", "fp"), fields, "fp", "key"))
+    open_ = rows.join(apart, "key")
+    # A key of one block makes few pairs; in a crowd fields go along.
+    few, many = open_.where("blocks = 1"), stage(
+        lookup(open_.where("blocks > 1"), known.select("fp", "field"), "fp", "key"))
+    a, b = (few.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("fp", "n", "at", "root")]) for s in "ab")
     own = F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    a, b = (
-        open_.select("key", block.alias("block"), *[F.col(c).alias(f"{s}_{c}") for c in ("fp", "n", "at", "root", "field")])
+    c, d = (
+        many.select("key", block.alias("block"), *[F.col(c).alias(f"{s}_{c}") for c in ("fp", "n", "at", "root", "field")])
         for s, block in (("a", own), ("b", every))
     )
-    rest = a.join(b, ["key", "block"]).where("a_fp < b_fp AND a_root <> b_root AND " + _can_be(least, True)).select(
-        F.col("a_fp").alias("a"), F.col("b_fp").alias("b")).distinct()
-    rest = stage(rest.join(first, ["a", "b"], "left_anti"))
-    return tied.unionByName(_verified(rest, sets, docs, text, shingle, least))
+    differ = "a_fp < b_fp AND a_root <> b_root AND " + _can_share(least)
+    pair = [F.col("a_fp").alias("a"), F.col("b_fp").alias("b"), "a_n", "b_n", F.expr(_can_be(least)).alias("fits")]
+    # Sets of different components meet under all the leading shingles they share.
+    rest = a.join(b, "key").where(differ).select(*pair).unionByName(
+        c.join(d, ["key", "block"]).where(f"{differ} AND {_differ_little(least)}").select(*pair)
+    ).groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("shared"), F.max("fits").alias("fits")).where(
+        f"fits AND shared >= {_least_shared(least)}").select("a", "b")
+    tried = near.unionByName(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = stage(rest.join(tried, ["a", "b"], "left_anti"))
+    return tied.unionByName(_verified(rest, known, docs, text, shingle, least))
