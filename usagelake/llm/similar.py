@@ -200,7 +200,7 @@ def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, text: str, sh
               least: tuple[int, int]) -> DataFrame:
     """Stored: (u, v) of the distinct pairs (a, b) whose sets are similar, from the texts."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    bodies = stage(known.select("fp", "body_hash").join(asked, "fp", "left_semi"))
+    bodies = known.join(asked, "fp", "left_semi")
     field = np.zeros(ASKED, dtype=bool)
     slot = F.col("body_hash").bitwiseAND(ASKED - 1).cast("int").alias("slot")
     field[bodies.select(slot).distinct().toArrow().column("slot").to_numpy()] = True
@@ -214,17 +214,20 @@ def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, text: str, sh
             wanted = np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)) & 1)
             _, first = np.unique(hashes[wanted], return_index=True)
             wanted = wanted[first]
-            found = [shingles_of(batch.column(1)[int(i)].as_py(), shingle).view(np.int64) for i in wanted]
+            found = [shingles_of(batch.column(1)[int(i)].as_py(), shingle) for i in wanted]
+            fp = np.array([xxhash.xxh64_intdigest(words.tobytes()) for words in found], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[wanted]), pa.array(found, pa.list_(pa.int64()))], names=["body_hash", "words"])
+                [pa.array(fp.view(np.int64)), pa.array([words.view(np.int64) for words in found], pa.list_(pa.int64()))],
+                names=["fp", "words"])
 
     body = F.col(f"`{text}`")
-    read = docs.select(F.xxhash64(body).alias("body_hash"), F.encode(body.cast("string"), "UTF-8")).mapInArrow(
-        again, "body_hash long, words array<long>")
-    whole = stage(read.join(bodies, "body_hash").groupBy("fp").agg(F.first("words").alias("words")))
-    one, two = (whole.select(F.col("fp").alias(s), F.col("words").alias(f"{s}_words")) for s in "ab")
+    words = docs.select(F.xxhash64(body), F.encode(body.cast("string"), "UTF-8")).mapInArrow(
+        again, "fp long, words array<long>").groupBy("fp").agg(F.first("words").alias("words"))
+    # Words go once to where their set is asked for, and from there once to each pair.
+    ends = pairs.select("a", "b", F.xxhash64("a", "b").alias("pair"), F.explode(F.array("a", "b")).alias("fp"))
+    one, two = (F.first(F.when(F.col("fp") == F.col(s), F.col("words")), ignorenulls=True).alias(f"{s}_words") for s in "ab")
     both, size = F.size(F.array_intersect("a_words", "b_words")), F.size("a_words") + F.size("b_words")
-    return stage(lookup(lookup(pairs, one, "a", "b"), two, "b", "a").where(
+    return stage(lookup(ends, words, "fp", "pair").groupBy("a", "b").agg(one, two).where(
         both * (least[0] + least[1]) >= size * least[0]).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
@@ -270,4 +273,4 @@ def links(sets: DataFrame, known: DataFrame, near: DataFrame, docs: DataFrame, t
         f"fits AND shared >= {_least_shared(least)}").select("a", "b")
     tried = near.unionByName(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stage(rest.join(tried, ["a", "b"], "left_anti"))
-    return tied.unionByName(_verified(rest, known, docs, text, shingle, least))
+    return tied.unionByName(_verified(_possible(rest, known, least), known, docs, text, shingle, least))
