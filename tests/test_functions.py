@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from hypothesis import given, settings as hs, strategies as st
@@ -9,6 +10,7 @@ from usagelake.functions import timeutil as tm
 from usagelake.operators import enrichment
 from usagelake.operators.prompts import matches, query_tokens
 from usagelake.plans.ranges import DaySpan, granularity_for, resolve_range
+from usagelake.rules.secrets import SECRET_RULES
 
 
 def value(spark, column):
@@ -88,6 +90,14 @@ def test_secret_keys_in_any_position(spark):
     assert [r.text for r in got] == [want for _, want in MORE]
 
 
+def test_a_look_for_any_hint_finds_all_of_them_and_passes_prose_over(spark):
+    hints = [h for rule in SECRET_RULES for h in rule.hints]
+    pattern = re.compile(redaction.hint_pattern(SECRET_RULES))
+    assert all(pattern.search(f"a{h}b".lower()) for h in hints)
+    for text in ("the cat sat on a mat", "skip exchange: k_alive, bare, case, wax 1/2 / a-b_c zoo jam", ""):
+        assert not any(h.lower() in text for h in hints) and not pattern.search(text)
+
+
 def test_placeholders_and_prose_stay(spark):
     for result, text in zip(values(spark, HARMLESS, redaction.redact(F.col("x"))), HARMLESS):
         assert (result["count"], result.text) == (0, text)

@@ -1,8 +1,8 @@
 """Intent, technology and task-area detection as column expressions.
 
-All three read the normalised text. Single-word terms are looked up as a set intersection with
-the text's tokens (linear in the text, whatever the size of the rule tables); the few multi-word
-terms are substring tests on the padded text.
+All three read the normalised text. The text's tokens are looked up in the set of single-word
+terms (linear in the text, whatever the size of the rule tables); the few multi-word terms are
+substring tests on the padded text.
 """
 
 from __future__ import annotations
@@ -25,10 +25,25 @@ AREA_TERMS = tuple(t for _, terms in technology.CONTEXT_TERMS for t in terms)
 ALL_TERMS = tuple(dict.fromkeys((*LEXICON_TERMS, *ALIASES, *AREA_TERMS)))
 
 
+def _among(items: Column, terms) -> Column:
+    """Items that are one of the terms, in their order.
+
+    Each item is looked up in a set that is built when planned; an intersection of arrays would
+    build the set of all terms again for every row.
+    """
+    known = list(dict.fromkeys(terms))
+    return F.filter(items, lambda item: item.isin(known))
+
+
+def _any_among(items: Column, terms) -> Column:
+    known = list(dict.fromkeys(terms))
+    return F.exists(items, lambda item: item.isin(known))
+
+
 def term_hits(normalized: Column, terms=ALL_TERMS) -> Column:
     """Distinct terms that occur in the normalised text as whole words.
 
-    One set intersection with the text's tokens answers the single words. A phrase is searched for
+    One look at each of the text's tokens answers the single words. A phrase is searched for
     only when its longest word is among the tokens, which leaves few substring searches per text.
     """
     terms = list(dict.fromkeys(terms))
@@ -37,28 +52,28 @@ def term_hits(normalized: Column, terms=ALL_TERMS) -> Column:
     keys = [max(t.split(" "), key=len) for t in phrases]
     tokens = F.split(normalized, " ")
     if not phrases:
-        return F.array_intersect(tokens, string_array(words))
+        return F.array_distinct(_among(tokens, words))
     padded = F.concat(F.lit(" "), normalized, F.lit(" "))
     spaced, leading = string_array([f" {t} " for t in phrases]), string_array(keys)
 
     def search(state: Column) -> Column:
-        found = F.filter(
+        found = F.when(_any_among(state["present"], keys), F.filter(
             spaced,
             lambda t, i: F.array_contains(state["present"], F.get(leading, i))
             & F.contains(state["padded"], t),
-        )
+        )).otherwise(F.array().cast("array<string>"))
         return F.concat(
-            F.array_intersect(state["present"], string_array(words)),
+            _among(state["present"], words),
             F.transform(found, lambda t: F.trim(t)),
         )
 
-    present = F.array_intersect(tokens, string_array(list(dict.fromkeys(words + keys))))
+    present = F.array_distinct(_among(tokens, words + keys))
     return let(F.struct(present.alias("present"), padded.alias("padded")), search)
 
 
 def _lexicon_scores(hits: Column) -> list[Column]:
     return [
-        F.size(F.array_intersect(hits, string_array(terms))) * F.lit(weight)
+        F.size(_among(hits, terms)) * F.lit(weight)
         for _, weight, terms in intent.LEXICONS
     ]
 
@@ -118,9 +133,9 @@ def intent_scores(
             from_tools, first_tool = F.lit(0), F.lit(None).cast("int")
             if tools is not None:
                 for i, (_, weight, any_of, none_of) in reversed(signals):
-                    fired = F.arrays_overlap(tools, string_array(any_of))
+                    fired = _any_among(tools, any_of)
                     if none_of:
-                        fired = fired & ~F.arrays_overlap(tools, string_array(none_of))
+                        fired = fired & ~_any_among(tools, none_of)
                     fired = F.coalesce(fired, F.lit(False))
                     from_tools = from_tools + F.when(fired, weight).otherwise(0)
                     first_tool = F.when(fired, tool_rank + i).otherwise(first_tool)
@@ -216,14 +231,14 @@ def detect_technologies(
         named = []
         for entry in technology.TECHNOLOGIES:
             seen = F.when(
-                F.arrays_overlap(hits, string_array(entry.aliases)),
+                _any_among(hits, entry.aliases),
                 F.lit(technology.ALIAS_CONFIDENCE),
             )
             if entry.extensions:
                 seen = F.coalesce(
                     seen,
                     F.when(
-                        F.arrays_overlap(exts, string_array(entry.extensions)),
+                        _any_among(exts, entry.extensions),
                         F.lit(technology.EXTENSION_CONFIDENCE),
                     ),
                 )
@@ -249,8 +264,8 @@ def detect_technologies(
     known_ext = [e for t in technology.TECHNOLOGIES for e in t.extensions]
     return let(
         F.struct(
-            F.array_intersect(hits, string_array(ALIASES)).alias("hits"),
-            F.array_intersect(extensions, string_array(known_ext)).alias("exts"),
+            _among(hits, ALIASES).alias("hits"),
+            _among(extensions, known_ext).alias("exts"),
         ),
         lambda s: F.when(
             (F.size(s["hits"]) + F.size(s["exts"]) + F.size(known)) > 0, rank(s["hits"], s["exts"])
@@ -287,10 +302,10 @@ def detect_contexts(
     def shares(hits: Column) -> Column:
         entries = []
         for place, (context, context_terms) in enumerate(technology.CONTEXT_TERMS):
-            from_terms = F.size(F.array_intersect(hits, string_array(context_terms)))
+            from_terms = F.size(_among(hits, context_terms))
             names = by_context[context]
             from_tech = F.aggregate(
-                F.filter(technologies, lambda t: F.array_contains(string_array(names), t["name"])),
+                F.filter(technologies, lambda t: t["name"].isin(names)),
                 F.lit(0.0),
                 lambda acc, t: acc + t["confidence"],
             )
@@ -303,7 +318,9 @@ def detect_contexts(
                     F.lit(context).alias("name"),
                 )
             )
-        return let(F.filter(F.array(*entries), lambda e: e["score"] > 0), ranked)
+        scored = let(F.filter(F.array(*entries), lambda e: e["score"] > 0), ranked)
+        # No evidence, no area.
+        return F.when(F.size(hits) + F.size(technologies) > 0, scored)
 
     def ranked(scored: Column) -> Column:
         total = F.aggregate(scored, F.lit(0.0), lambda acc, e: acc + e["score"])

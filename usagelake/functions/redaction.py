@@ -67,21 +67,48 @@ def _apply(state: Column, rule: SecretRule) -> Column:
 
 
 def redact(text: Column, rules=SECRET_RULES) -> Column:
-    """``struct(text, count, kinds)`` with every secret replaced; null text stays null."""
-    state = F.struct(
+    """``struct(text, count, kinds)`` with every secret replaced; null text stays null.
+
+    A text without any hint is not shown to the rules: none of them would change it.
+    """
+    untouched = F.struct(
         text.alias("text"),
         F.lit(0).cast("int").alias("count"),
         F.array().cast("array<string>").alias("kinds"),
     ).cast(RESULT)
+    state = untouched
     for rule in rules:
         state = let(state, _applying(rule))
-    return state
+    return F.when(_worth_reading(text, rules), state).otherwise(untouched)
 
 
-def _worth_reading(metadata: Column, rules) -> Column:
-    hints = dict.fromkeys(h.lower() for r in rules for h in r.hints)
-    tests = [F.contains(F.lower(metadata), F.lit(h)) for h in hints]
-    return reduce(lambda a, b: a | b, tests)
+# Letters and signs from common to rare in prose; what is not named is rarer still.
+_COMMON = " etaoinsrhldcumfpgwybvkxjqz-:_/"
+
+
+def hint_pattern(rules) -> str:
+    """Pattern of all hints in lower case, each found by its rarest character.
+
+    The scan stops at a few characters of a text only, however many hints there are.
+    """
+    def alternative(hint: str) -> tuple[str, str]:
+        at = max(range(len(hint)), key=lambda i: (_COMMON + hint[i]).index(hint[i]))
+        behind = f"(?<={re.escape(hint[:at + 1])})" if at else ""
+        return hint[at], behind + re.escape(hint[at + 1:])
+
+    found: dict[str, list[str]] = {}
+    for hint in dict.fromkeys(h.lower() for r in rules for h in r.hints):
+        rarest, rest = alternative(hint)
+        found.setdefault(rarest, []).append(rest)
+    first = "".join(re.escape(c) for c in found)
+    return f"(?=[{first}])(?:" + "|".join(
+        f"{re.escape(c)}(?:{'|'.join(rests)})" for c, rests in found.items()
+    ) + ")"
+
+
+def _worth_reading(text: Column, rules) -> Column:
+    """Whether any hint occurs; lower case on both sides passes every text with a match."""
+    return F.lower(text).rlike(hint_pattern(rules))
 
 
 def _leaves(document: Column, clean) -> Column:

@@ -65,8 +65,15 @@ def text_hash(text: Column) -> Column:
 
 
 def collapsed(text: Column) -> Column:
-    """White space runs as single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    """White space runs as single spaces, none at the ends.
+
+    In plain ASCII, where six signs are white space, single spaces are passed over.
+    """
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.trim(
+        F.when(ascii_only, F.regexp_replace(text, r" [\t-\r ]++|[\t-\r][\t-\r ]*+", " "))
+        .otherwise(F.regexp_replace(text, SPACE + "+", " "))
+    )
 
 
 def words_in(flat: Column) -> Column:
@@ -99,12 +106,14 @@ def extensions_in(text: Column) -> Column:
 
     One match per run of path characters. Anchoring the match at the start of a run keeps the
     scan linear in the text, where an unanchored one restarts at every character of a long blob.
+    Text without any ending, as most prose, is not scanned for runs.
     """
     run = r"[\w./\\@-]"
-    found = F.regexp_extract_all(
-        text, F.lit(rf"(?<!{run}){run}*\.([A-Za-z0-9]{{1,8}})(?!\w)"), F.lit(1)
+    ending = r"\.([A-Za-z0-9]{1,8})(?!\w)"
+    found = F.regexp_extract_all(text, F.lit(rf"(?<!{run}){run}*{ending}"), F.lit(1))
+    return F.when(text.rlike(ending), F.array_distinct(F.transform(found, F.lower))).when(
+        text.isNotNull(), F.array().cast("array<string>")
     )
-    return F.array_distinct(F.transform(found, F.lower))
 
 
 def split_list(value: Column) -> Column:

@@ -148,8 +148,9 @@ def following_tools(events: DataFrame, tool_calls: DataFrame,
     ``t + window``. So per (session, bucket, tool) two instants are enough, and no prompt is ever
     paired with individual tool runs.
     """
+    calls = (F.col("event_type") == "tool_call") & F.col("session_id").isNotNull()
     runs = (
-        events.where(F.col("session_id").isNotNull())
+        events.where(calls)
         .join(tool_calls.select("event_id", "tool_name"), "event_id")
         .groupBy(
             "session_id", F.floor(F.col("ts_ms") / F.lit(window_ms)).alias("bucket"), "tool_name"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from usagelake.contract import Settings, Tables
 from usagelake.functions import ids
 from usagelake.operators import enrichment, normalize as nz
-from usagelake.session import spread
+from usagelake.session import deal
 from usagelake.sources.store import EventStore
 
 IDLE_MS = 30 * 60 * 1000
@@ -64,9 +64,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table are told apart by these.
+ROW_KEYS = {"events": ("event_id",), "documents": ("doc_id",), "conversations": ("conv_id", "turn")}
+
+
 def load_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with work ahead of it, spread over all cores when it comes in few files."""
-    return spread(load(spark, sf_dir, name))
+    """A table with work ahead of it, spread over all cores when few tasks would read it."""
+    return deal(load(spark, sf_dir, name), *ROW_KEYS[name])
 
 
 def pick(values, index: Column) -> Column:
@@ -134,7 +138,7 @@ def raw_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load(spark, sf_dir, "conversations")
+    c = load_spread(spark, sf_dir, "conversations")
     conv, turn = F.col("conv_id"), F.col("turn")
     is_reply = F.col("role") == "assistant"
     ms = F.lit(DAY0_MS + 9 * 86_400_000) + conv * 2_220_000 + turn * 70_000
