@@ -162,6 +162,18 @@ def test_a_text_with_other_bytes_leaves_its_block_alone(spark, tokenizers, monke
     assert [d for d in found["digests"] if d] == alone["digests"]
 
 
+def test_pieces_of_several_blocks_are_not_encoded_again(tokenizers, monkeypatch):
+    monkeypatch.setattr(ta, "REMEMBERED", 8)
+    asked, encode = [], ta.encode_pieces
+    monkeypatch.setattr(ta, "encode_pieces", lambda t, pieces: asked.append(list(pieces)) or encode(t, pieces))
+    known, blocks = ta.Pieces(tokenizers), [["the cat one two"], ["the cat three four five six seven"], ["cat the one"]]
+    found = [ta.align_block(known, texts) for texts in blocks]
+    assert asked[2] == [" one"] and len(known.number) == 3
+    alone = ta.align_block(ta.Pieces(tokenizers), blocks[2])
+    assert found[2]["digests"] == alone["digests"] and found[2]["pairs"].tolist() == alone["pairs"].tolist()
+    assert {n: v.tolist() for n, v in found[2]["sums"].items()} == {n: v.tolist() for n, v in alone["sums"].items()}
+
+
 def test_alignment_of_an_empty_table_and_of_a_long_text(spark, tokenizers):
     assert ta.align(data.frame(spark, [])).count() == 0
     rows = data.odd()

@@ -48,8 +48,9 @@ AT_ONCE = 1 << 16
 BLOCKS_PER_FILE = 8
 #: Rows whose texts are taken out of a batch at once.
 SLICE = 256
-#: Pieces whose alignment a task remembers from block to block.
-REMEMBERED = 100_000
+#: Pieces whose alignment a task remembers from block to block; beyond them, it keeps of those that
+#: several blocks had at most half as many.
+REMEMBERED = 200_000
 #: Fixed value: the sign that B's pieces have for a space.
 SPACE = "▁"
 _SPACES = re.compile(r"\s ")
@@ -88,7 +89,8 @@ class Tokenizers:
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of a text that begins with a space, or nothing if either side's bytes differ."""
-        a = self.a.encode(text, add_special_tokens=False).ids
+        # The fast call leaves out the places of the tokens in the text, which their bytes give.
+        a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
         b = self.b.encode(text[1:], num_threads=1)
         body = text.encode()
         if b"".join(map(self.bytes_a.__getitem__, a)) != body or b"".join(map(self.bytes_b.__getitem__, b)) != body:
@@ -201,7 +203,7 @@ def encode_pieces(tokenizers: Tokenizers, pieces: list[str]) -> tuple[np.ndarray
 
 
 class Pieces:
-    """What a task knows of the pieces that it has met; it begins anew with ``REMEMBERED`` of them."""
+    """What a task knows of the pieces that it has met, and in how many blocks it met each."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
@@ -213,6 +215,27 @@ class Pieces:
         self.written: list[str] = []
         self.sums = {name: np.zeros(0, dtype=np.int64) for name in _SUMS}
         self.starts, self.pairs = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.met = np.zeros(0, dtype=np.int64)
+
+    def keep_common(self, most: int) -> None:
+        """Forget all but the pieces that several blocks had, of those the ``most`` common ones."""
+        kept = np.flatnonzero(self.met > 1)
+        if len(kept) > most:
+            kept = np.sort(kept[np.argsort(-self.met[kept], kind="stable")[:most]])
+        names, length = list(self.number), np.diff(self.starts)[kept]
+        written, sums, met = [self.written[i] for i in kept.tolist()], self.sums, self.met
+        pairs = self.pairs[self._places(kept)]
+        self.forget()
+        self.number.update((names[i], n) for n, i in enumerate(kept.tolist()))
+        self.written, self.met = written, met[kept]
+        self.sums = {name: values[kept] for name, values in sums.items()}
+        self.starts, self.pairs = np.concatenate([[0], np.cumsum(length)]), pairs
+
+    def _places(self, used: np.ndarray) -> np.ndarray:
+        """Where the id pairs of the pieces asked for lie, piece by piece."""
+        length = np.diff(self.starts)[used]
+        first = np.repeat(self.starts[used] - (np.cumsum(length) - length), length)
+        return first + np.arange(len(first))
 
     def learn(self, pieces: list[str], ids_a: np.ndarray, ids_b: np.ndarray) -> None:
         """Align new pieces, which are numbered on from those that are known."""
@@ -223,13 +246,13 @@ class Pieces:
         _, a, b = alignment.links()
         self.starts = np.concatenate([self.starts, len(self.pairs) + np.cumsum(self.sums["n_links"][len(self.starts) - 1:])])
         self.pairs = np.concatenate([self.pairs, (a << 32) | b])
+        self.met = np.concatenate([self.met, np.zeros(len(pieces), dtype=np.int64)])
 
     def links(self, used: np.ndarray) -> tuple[CSR, np.ndarray]:
         """Pieces by id pairs, of the pieces asked for, and the pairs."""
         length = np.diff(self.starts)[used]
         row = np.repeat(np.arange(len(used)), length)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
-        pairs, col = np.unique(self.pairs[np.repeat(self.starts[used], length) + within], return_inverse=True)
+        pairs, col = np.unique(self.pairs[self._places(used)], return_inverse=True)
         return CSR.counted(row, col, len(used), len(pairs)), pairs
 
 
@@ -241,7 +264,7 @@ def align_block(known: Pieces, texts: list[str]) -> dict:
     block that have each.
     """
     if len(known.number) > REMEMBERED:
-        known.forget()
+        known.keep_common(REMEMBERED // 2)
     before = len(known.number)
     # B reads the sign of its spaces as one, so its bytes differ from the text.
     cut = [[] if SPACE in t else pieces_of(t) for t in texts]
@@ -261,6 +284,7 @@ def align_block(known: Pieces, texts: list[str]) -> dict:
     known.learn(new, *ids)
     row = np.repeat(np.arange(len(texts)), [len(p) for p in places])
     used, col = np.unique(np.concatenate(places or [np.zeros(0, dtype=np.int64)]), return_inverse=True)
+    known.met[used] += 1
     documents = CSR.counted(row, col, len(texts), len(used))
     links, pairs = known.links(used)
     held = np.bincount(documents.times(links).indices, minlength=len(pairs))
