@@ -49,7 +49,7 @@ SEED = 42
 #: A key's members are compared in blocks of about so many on each side.
 BLOCK = 2048
 #: Pairs compared at once inside a task.
-PAIRS = 1 << 21
+PAIRS = 1 << 18
 
 _decoded: list[np.ndarray] = []
 

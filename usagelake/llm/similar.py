@@ -12,7 +12,9 @@ passes is compared in full.
 Only the components matter, so pairs of sets that are tied already are left out: after the candidates
 of SimHash, every set is compared with one that is the first under most of its shingles, which ties nearly
 all of a large group of near copies together, and then sets under one shingle that are still in different
-components. Candidates are pairs of ids until the fields have been compared; only then are texts read.
+components. Under shingles that lead many sets, a pair is made once, under the first of them that both have,
+and sets larger than the field has bits are told apart by a field that grows with them.
+Candidates are pairs of ids until the fields have been compared; only then are texts read.
 """
 
 from __future__ import annotations
@@ -35,8 +37,12 @@ LEAST = (4, 5)
 SHINGLE = 5
 #: Longs of the field of a set.
 FIELD = 16
+#: Sets of more shingles, which would fill their field, have a wide one as well.
+FULL = 64 * FIELD
 #: The sets under a shingle are dealt over blocks of about so many.
 BLOCK = 512
+#: The crowded shingles that a set takes along, its first ones.
+CROWDED = 64
 _BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: Bits of the field that holds back texts no candidate pair asks for: 2 MB.
 ASKED = 1 << 24
@@ -64,14 +70,20 @@ def print_of(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def field_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Of so many bits, a power of 2, every hash flips one: an array of longs."""
+    flips = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(bool), bitorder="little").view("<i8")
+
+
 def prefix_of(n: int, least: tuple[int, int]) -> int:
     return n + (-least[0] * n // least[1]) + 1 if n else 0
 
 
 def sets_of(docs: DataFrame, doc_id: str, text: str, shingle: int, least: tuple[int, int]) -> DataFrame:
     """Stored, one row per document: doc_id, body_hash, fp (told by the set), n, print (its SimHash),
-    field and lead, the prefix of the set; the last three are null where the same batch has an equal
-    set before."""
+    field, wide (a field of as many bits as shingles or more, null for sets up to FULL) and lead, the
+    prefix of the set; the last four are null where the same batch has an equal set before."""
     key, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     narrow = docs.select(key.alias("doc_id"), F.xxhash64(body).alias("body_hash"),
                          F.encode(body.cast("string"), "UTF-8").alias("body"))
@@ -79,13 +91,14 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, shingle: int, least: tuple[
         narrow.schema["doc_id"], T.StructField("body_hash", T.LongType()), T.StructField("fp", T.LongType()),
         T.StructField("n", T.IntegerType()), T.StructField("print", T.LongType()),
         T.StructField("field", T.ArrayType(T.LongType())),
+        T.StructField("wide", T.ArrayType(T.LongType())),
         T.StructField("lead", T.ArrayType(T.LongType())),
     ])
     arrow = to_arrow_schema(schema)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, fp, n, prints, field, lead = set(), [], [], [], [], []
+            seen, fp, n, prints, field, wide, lead = set(), [], [], [], [], [], []
             for value in batch.column(2):
                 found = shingles_of(value.as_py(), shingle)
                 fp.append(xxhash.xxh64_intdigest(found.tobytes()))
@@ -93,26 +106,27 @@ def sets_of(docs: DataFrame, doc_id: str, text: str, shingle: int, least: tuple[
                 if fp[-1] in seen:
                     prints.append(None)
                     field.append(None)
+                    wide.append(None)
                     lead.append(None)
                     continue
                 seen.add(fp[-1])
                 prints.append(int(np.uint64(print_of(found)).view(np.int64)))
-                flips = np.bincount((found & np.uint64(64 * FIELD - 1)).astype(np.int64), minlength=64 * FIELD) & 1
-                field.append(np.packbits(flips.astype(bool), bitorder="little").view("<i8"))
+                field.append(field_of(found, FULL))
+                wide.append(field_of(found, 1 << (len(found) - 1).bit_length()) if len(found) > FULL else None)
                 lead.append(found[:prefix_of(len(found), least)].view(np.int64))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)),
                 pa.array(n, pa.int32()), pa.array(prints, pa.int64()), pa.array(field, arrow.field("field").type),
-                pa.array(lead, arrow.field("lead").type),
+                pa.array(wide, arrow.field("wide").type), pa.array(lead, arrow.field("lead").type),
             ], schema=arrow)
 
     return stage(narrow.mapInArrow(sets, schema))
 
 
 def distinct_sets(sets: DataFrame) -> DataFrame:
-    """Stored, one row per set: fp, n, print, field and the body_hash of a text that has it."""
+    """Stored, one row per set: fp, n, print, field, wide and the body_hash of a text that has it."""
     return stage(sets.where("lead IS NOT NULL").groupBy("fp").agg(
-        *[F.first(c).alias(c) for c in ("n", "print", "field", "body_hash")]))
+        *[F.first(c).alias(c) for c in ("n", "print", "field", "wide", "body_hash")]))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,6 +203,21 @@ def _differ_little(least: tuple[int, int]) -> str:
         AND ({differ}) * {up + down} <= (a_n + b_n) * {down - up}"""
 
 
+def _differ_little_wide(least: tuple[int, int]) -> str:
+    """The filter of the fields for the wide ones of sets a and b, of which one can have twice the
+    bits of the other: its halves are laid upon each other."""
+    up, down = least
+
+    def folded(one: str, other: str) -> str:
+        half = f"size({other}_wide)"
+        return f"""IF(size({one}_wide) > {half}, zip_with(slice({one}_wide, 1, {half}),
+            slice({one}_wide, {half} + 1, {half}), (x, y) -> x ^ y), {one}_wide)"""
+
+    differ = f"""aggregate(zip_with({folded("a", "b")}, {folded("b", "a")}, (x, y) -> bit_count(x ^ y)), 0,
+        (total, bits) -> total + bits)"""
+    return f"{differ} * {up + down} <= (a_n + b_n) * {down - up}"
+
+
 def _possible(pairs: DataFrame, known: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Stored: the pairs (a, b) whose fields let them be similar."""
     one, two = (known.select(*[F.col(c).alias(n) for c, n in (("fp", s), ("n", f"{s}_n"), ("field", f"{s}_field"))])
@@ -254,22 +283,37 @@ def links(sets: DataFrame, known: DataFrame, near: DataFrame, docs: DataFrame, t
     apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias(
         "rows")).where("low <> high").select("key", F.expr(f"cast(1 + rows div {BLOCK} as int)").alias("blocks"))
     open_ = rows.join(apart, "key")
-    # A key of one block makes few pairs; in a crowd fields go along.
-    few, many = open_.where("blocks = 1"), stage(
-        lookup(open_.where("blocks > 1"), known.select("fp", "field"), "fp", "key"))
+    # A key of one block makes few pairs; in a crowd fields go along, and the crowded keys of the set.
+    few, many = open_.where("blocks = 1"), stage(open_.where("blocks > 1"))
+    crowded = many.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("keys")).select(
+        "fp", F.slice("keys.key", 1, CROWDED).alias("crowd"), (F.size("keys") <= CROWDED).alias("whole"))
+    many = stage(lookup(many, known.select("fp", "field", "wide").join(crowded, "fp"), "fp", "key"))
     a, b = (few.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("fp", "n", "at", "root")]) for s in "ab")
     own = F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    c, d = (
-        many.select("key", block.alias("block"), *[F.col(c).alias(f"{s}_{c}") for c in ("fp", "n", "at", "root", "field")])
-        for s, block in (("a", own), ("b", every))
-    )
     differ = "a_fp < b_fp AND a_root <> b_root AND " + _can_share(least)
     pair = [F.col("a_fp").alias("a"), F.col("b_fp").alias("b"), "a_n", "b_n", F.expr(_can_be(least)).alias("fits")]
+    both = "array_intersect(a_crowd, b_crowd)"
+
+    def in_crowd(sets: DataFrame, where: str) -> DataFrame:
+        """Pairs of the sets under the first crowded key that both take along, else under each."""
+        c, d = (
+            sets.select("key", block.alias("block"), *[F.col(c).alias(f"{s}_{c}") for c in (
+                "fp", "n", "at", "root", "field", "wide", "crowd", "whole")])
+            for s, block in (("a", own), ("b", every))
+        )
+        once = f"coalesce(get({both}, 0), key) = key"
+        return c.join(d.withColumnRenamed("key", "b_key").withColumnRenamed("block", "b_block"), F.expr(
+            f"key = b_key AND block = b_block AND {differ} AND {_differ_little(least)} AND {where} AND {once}")).select(
+            *pair, F.expr(f"IF(a_whole AND b_whole, size({both}), a_n)").alias("shared"))
+
+    up, down = least
     # Sets of different components meet under all the leading shingles they share.
-    rest = a.join(b, "key").where(differ).select(*pair).unionByName(
-        c.join(d, ["key", "block"]).where(f"{differ} AND {_differ_little(least)}").select(*pair)
-    ).groupBy("a", "b", "a_n", "b_n").agg(F.count(F.lit(1)).alias("shared"), F.max("fits").alias("fits")).where(
+    rest = a.join(b, "key").where(differ).select(*pair, F.lit(1).alias("shared")).unionByName(
+        in_crowd(many.where(f"n * {up} <= {FULL * down}"), f"least(a_n, b_n) <= {FULL}")
+    ).unionByName(
+        in_crowd(many.where(f"n > {FULL}"), _differ_little_wide(least))
+    ).groupBy("a", "b", "a_n", "b_n").agg(F.sum("shared").alias("shared"), F.max("fits").alias("fits")).where(
         f"fits AND shared >= {_least_shared(least)}").select("a", "b")
     tried = near.unionByName(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stage(rest.join(tried, ["a", "b"], "left_anti"))
