@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, stage
+from .common import lookup, merged, stage
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = ends.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
         tied = lookup(now, least, "v", "u").select("u", F.least("v", "m").alias("v")).distinct()
         lowest = tied.groupBy("u").agg(F.min("v").alias("m"))
-        both = tied.join(lowest, "u").select(F.explode(F.array(
+        both = tied.join(merged(lowest), "u").select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
         )).alias("e")).select("e.*").where("u <> v").distinct()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import similar
-from .common import keep_rows, lookup, read, stage
+from .common import keep_rows, lookup, merged, read, stage
 from .components import components
 from .registry import query
 
@@ -253,7 +253,7 @@ def _meeting(prints: DataFrame, distance: int, reduce) -> DataFrame:
         .select("key", F.expr(f"cast(1 + ask_n div {BLOCK} as int)").alias("ask_blocks"),
                 F.expr(f"cast(1 + answer_n div {BLOCK} as int)").alias("answer_blocks"))
     )
-    met = keys.join(shared, "key")
+    met = keys.join(merged(shared), "key")
 
     def side(mine: str, other: str, asking: bool) -> DataFrame:
         own = F.pmod(F.xxhash64("fp", "key"), F.col(f"{mine}_blocks")).cast("int")
@@ -282,7 +282,7 @@ def candidates(known: DataFrame) -> DataFrame:
     met = _meeting(prints.select(F.col("print").alias("fp")), WIDE, closest)
     ends = met.groupBy("u").agg(F.min(F.struct(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("bits"), "v")).alias(
         "close"), F.min("v").alias("low")).select("u", F.explode(F.array("close.v", "low")).alias("v"))
-    named = ends.join(prints.toDF("u", "a"), "u").join(prints.toDF("v", "b"), "v")
+    named = ends.join(merged(prints.toDF("u", "a")), "u").join(merged(prints.toDF("v", "b")), "v")
     return stage(same.select("a", "b").unionByName(named.select("a", "b")).where("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     else:
         edges = links(prints.select("fp"), distance)
     roots = components(edges).withColumnRenamed("node", "fp")
-    rooted = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = prints.join(merged(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least_id = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = lookup(rooted.select("fp", "root"), least_id, "root", "fp")
     return lookup(rows.select("doc_id", "body_hash", "fp"), named, "fp", "doc_id").select(
