@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import lookup, stage
+from .common import lookup, merged, stage
 from .components import components
 
 #: Least similarity, as a fraction to keep sizes exact.
@@ -169,7 +169,7 @@ def _roots(pairs: DataFrame) -> DataFrame:
 def _apart(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
     """The pairs whose ends are in different components."""
     one, two = (roots.toDF(end, f"{end}_root") for end in (a, b))
-    return pairs.join(one, a, "left").join(two, b, "left").where(
+    return pairs.join(merged(one), a, "left").join(merged(two), b, "left").where(
         F.coalesce(f"{a}_root", a) != F.coalesce(f"{b}_root", b))
 
 
@@ -229,7 +229,7 @@ def _verified(pairs: DataFrame, known: DataFrame, docs: DataFrame, text: str, sh
               least: tuple[int, int]) -> DataFrame:
     """Stored: (u, v) of the distinct pairs (a, b) whose sets are similar, from the texts."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    bodies = known.join(asked, "fp", "left_semi")
+    bodies = known.join(merged(asked), "fp", "left_semi")
     field = np.zeros(ASKED, dtype=bool)
     slot = F.col("body_hash").bitwiseAND(ASKED - 1).cast("int").alias("slot")
     field[bodies.select(slot).distinct().toArrow().column("slot").to_numpy()] = True
@@ -278,16 +278,16 @@ def links(sets: DataFrame, known: DataFrame, near: DataFrame, docs: DataFrame, t
     side = ["key", "fp", "n", "at"]
     rows = met.select("key", "b", "b_n", "b_at").toDF(*side).unionByName(
         met.select("key", "a", "a_n", "a_at").distinct().toDF(*side))
-    rows = stage(rows.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+    rows = stage(rows.join(merged(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")))
     apart = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias(
         "rows")).where("low <> high").select("key", F.expr(f"cast(1 + rows div {BLOCK} as int)").alias("blocks"))
-    open_ = rows.join(apart, "key")
+    open_ = rows.join(merged(apart), "key")
     # A key of one block makes few pairs; in a crowd fields go along, and the crowded keys of the set.
     few, many = open_.where("blocks = 1"), stage(open_.where("blocks > 1"))
     crowded = many.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("keys")).select(
         "fp", F.slice("keys.key", 1, CROWDED).alias("crowd"), (F.size("keys") <= CROWDED).alias("whole"))
-    many = stage(lookup(many, known.select("fp", "field", "wide").join(crowded, "fp"), "fp", "key"))
+    many = stage(lookup(many, known.select("fp", "field", "wide").join(merged(crowded), "fp"), "fp", "key"))
     a, b = (few.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("fp", "n", "at", "root")]) for s in "ab")
     own = F.pmod(F.xxhash64("fp", "key"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -303,18 +303,18 @@ def links(sets: DataFrame, known: DataFrame, near: DataFrame, docs: DataFrame, t
             for s, block in (("a", own), ("b", every))
         )
         once = f"coalesce(get({both}, 0), key) = key"
-        return c.join(d.withColumnRenamed("key", "b_key").withColumnRenamed("block", "b_block"), F.expr(
+        return c.join(merged(d.withColumnRenamed("key", "b_key").withColumnRenamed("block", "b_block")), F.expr(
             f"key = b_key AND block = b_block AND {differ} AND {_differ_little(least)} AND {where} AND {once}")).select(
             *pair, F.expr(f"IF(a_whole AND b_whole, size({both}), a_n)").alias("shared"))
 
     up, down = least
     # Sets of different components meet under all the leading shingles they share.
-    rest = a.join(b, "key").where(differ).select(*pair, F.lit(1).alias("shared")).unionByName(
+    rest = a.join(merged(b), "key").where(differ).select(*pair, F.lit(1).alias("shared")).unionByName(
         in_crowd(many.where(f"n * {up} <= {FULL * down}"), f"least(a_n, b_n) <= {FULL}")
     ).unionByName(
         in_crowd(many.where(f"n > {FULL}"), _differ_little_wide(least))
     ).groupBy("a", "b", "a_n", "b_n").agg(F.sum("shared").alias("shared"), F.max("fits").alias("fits")).where(
         f"fits AND shared >= {_least_shared(least)}").select("a", "b")
     tried = near.unionByName(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stage(rest.join(tried, ["a", "b"], "left_anti"))
+    rest = stage(rest.join(merged(tried), ["a", "b"], "left_anti"))
     return tied.unionByName(_verified(_possible(rest, known, least), known, docs, text, shingle, least))
