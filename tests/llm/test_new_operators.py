@@ -359,3 +359,11 @@ def test_templates_equal_the_plain_count(spark):
 def test_pages_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_main.main_text(empty).count() == 0
+
+
+def test_the_audit_stores_blocks_apart(spark):
+    """Spark's reader takes the rows of a file together, and a block is as large as a task stands."""
+    docs = data.frame(spark).coalesce(1)
+    blocks = filter_audit.matrix_blocks(docs, block_bytes=4096)
+    files = blocks.groupBy(F.input_file_name().alias("file")).count().collect()
+    assert len(files) > 5 and {r["count"] for r in files} == {1}

@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import read, stage
+from .common import give_back, read, stage
 from .csr import CSR
 from .registry import query
 
 FILTERS = "ABCDE"
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK = 1 << 24
+#: Blocks in a stored file, which Spark's reader and writer hold as a whole.
+BLOCKS_PER_FILE = 1
 _CAPITALS = bytes(range(0x41, 0x5B))
 _FOLLOWING = bytes(range(0x80, 0xC0))
 _SIGNS = b"#$%&*|"
@@ -62,17 +64,21 @@ def matrix_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
         number = TaskContext.get().partitionId() << 32
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(column.to_pylist() for column in batch.columns)):
+            for row in (tuple(value.as_py() for value in values) for values in zip(*batch.columns)):
                 if held and size + len(row[2]) > block_bytes:
                     yield block(number, held)
                     number, held, size = number + 1, [], 0
+                    give_back()
                 held.append(measure(row))
                 size += len(row[2])
                 if size > block_bytes:
                     yield block(number, held)
                     number, held, size = number + 1, [], 0
+                    give_back()
         if held:
             yield block(number, held)
+        held = None
+        give_back()
 
     def measure(row):
         key, part, body = row
@@ -100,7 +106,7 @@ def matrix_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 
     part_of = F.coalesce(F.col(f"`{part}`").cast("string"), F.lit(""))
     return stage(docs.select(key.alias("doc_id"), part_of.alias("part"), body.alias("body"))
-                 .mapInArrow(build, schema), compression="zstd")
+                 .mapInArrow(build, schema), compression="zstd", maxRecordsPerFile=BLOCKS_PER_FILE)
 
 
 def numbered(blocks: DataFrame, words: bool = True) -> DataFrame:

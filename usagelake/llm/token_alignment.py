@@ -17,7 +17,6 @@ to the blocks that have the pair.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 import os
 import re
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import read, stage
+from .common import give_back, read, stage
 from .csr import CSR
 from .registry import query
 
@@ -299,14 +298,6 @@ def align_block(known: Pieces, texts: list[str]) -> dict:
     }
 
 
-def _give_back() -> None:
-    """Return freed memory to the machine, where its C library can; workers outlive their tasks."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 _MATRICES = {"pairs": "long", "held": "int", "d_starts": "int", "d_cols": "int", "d_data": "int",
              "l_starts": "int", "l_cols": "int", "l_data": "int"}
 
@@ -336,13 +327,13 @@ def aligned_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     if held and size + len(body or "") > block_bytes:
                         yield block(known, number, held)
                         number, held, size = number + 1, [], 0
-                        _give_back()
+                        give_back()
                     held.append((key, body))
                     size += len(body or "")
         if held:
             yield block(known, number, held)
         known = None
-        _give_back()
+        give_back()
 
     def block(known, number, held):
         filled = [(i, body) for i, (_, body) in enumerate(held) if body]
