@@ -2,6 +2,7 @@ import datetime as dt
 import hashlib
 import json
 import random
+import re
 import tempfile
 
 import pytest
@@ -445,6 +446,18 @@ def test_override_survives_reprocessing(spark):
     assert touched.count() == 5
 
 
+def test_labels_are_made_once(spark):
+    """Who reads the classifications of a pass reads each text once, and for them alone."""
+    t = seeds(spark)
+    again, _ = enrichment.enrich(t)
+    plan = again.classifications._jdf.queryExecution().optimizedPlan().toString()
+    made = re.findall(r"false, \[(\w+)#\d+\]", plan)
+    assert [made.count(name) for name in ("classification", "technologies", "contexts")] == [1, 0, 0]
+    rows = enrichment.annotate(enrichment.pending(t))
+    want = enrichment.classification_rows(rows)
+    assert sorted(again.classifications.select(want.columns).collect()) == sorted(want.collect())
+
+
 def test_pluggable_classifier(spark):
     import pandas as pd
 

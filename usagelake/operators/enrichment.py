@@ -20,11 +20,14 @@ KEYS = ("event_id", "local_date", "provider_id")
 Classifier = Callable[[Column, Column], Column]
 
 
+def due_events(events: DataFrame, version: int = ENRICHMENT_VERSION) -> DataFrame:
+    """Prompts below the current version."""
+    return events.where((F.col("event_type") == "prompt") & (F.col("enrichment_version") < version))
+
+
 def pending(tables: Tables, version: int = ENRICHMENT_VERSION) -> DataFrame:
     """Prompts below the current version with their text and the tools that ran right after."""
-    due = tables.events.where(
-        (F.col("event_type") == "prompt") & (F.col("enrichment_version") < version)
-    )
+    due = due_events(tables.events, version)
     # Tool calls matter only in sessions that have a prompt to enrich.
     sessions = due.where(F.col("session_id").isNotNull()).select("session_id").distinct()
     around = tables.events.join(sessions, "session_id", "left_semi")
@@ -40,16 +43,17 @@ def pending(tables: Tables, version: int = ENRICHMENT_VERSION) -> DataFrame:
 
 
 def pending_count(events: DataFrame, version: int = ENRICHMENT_VERSION) -> DataFrame:
-    due = (F.col("event_type") == "prompt") & (F.col("enrichment_version") < version)
-    return events.where(due).agg(F.count(F.lit(1)).alias("pending"))
+    return due_events(events, version).agg(F.count(F.lit(1)).alias("pending"))
 
 
 def annotate(
-    rows: DataFrame, classifier: Classifier = cl.classify, profiles: DataFrame | None = None
+    rows: DataFrame, classifier: Classifier = cl.classify, profiles: DataFrame | None = None,
+    label_only: bool = False,
 ) -> DataFrame:
     """Add classification, technologies and contexts to ``rows(text, tool_names, …)``.
 
-    ``profiles(project_id, technologies)`` is what manifests revealed about each project.
+    ``profiles(project_id, technologies)`` is what manifests revealed about each project. For
+    readers of the classification alone, ``label_only`` leaves the others out: the optimizer can't.
     """
     if profiles is None:
         rows = rows.withColumn("profile", F.array().cast("array<string>"))
@@ -60,14 +64,16 @@ def annotate(
     # One pass over the text finds the terms all three detectors ask about.
     named = once(rows, "normalized", normalized_text(text))
     hit = once(named, "hits", cl.term_hits(F.col("normalized")))
-    found = once(
-        hit, "technologies",
-        cl.detect_technologies(text, F.col("profile"), hits=F.col("hits")),
-    )
-    placed = once(
-        found, "contexts",
-        cl.detect_contexts(F.col("normalized"), F.col("technologies"), F.col("hits")),
-    )
+    placed = hit
+    if not label_only:
+        found = once(
+            hit, "technologies",
+            cl.detect_technologies(text, F.col("profile"), hits=F.col("hits")),
+        )
+        placed = once(
+            found, "contexts",
+            cl.detect_contexts(F.col("normalized"), F.col("technologies"), F.col("hits")),
+        )
     if classifier is cl.classify:
         label = cl.classify_normalized(
             F.col("normalized"), F.col("tool_names"), F.col("hits")
@@ -101,13 +107,20 @@ def context_rows(annotated: DataFrame) -> DataFrame:
 
 
 def apply_enrichment(
-    tables: Tables, annotated: DataFrame, version: int = ENRICHMENT_VERSION
+    tables: Tables, annotated: DataFrame, version: int = ENRICHMENT_VERSION,
+    done: DataFrame | None = None, labels: DataFrame | None = None,
 ) -> Tables:
-    """Tables after storing an enrichment pass; a person's own category survives it."""
-    done = annotated.select("event_id")
+    """Tables after storing an enrichment pass; a person's own category survives it.
+
+    Where ``annotated`` is not stored, every read of it does its work anew: ``done`` then has its
+    event ids and ``labels`` its rows with the classification alone.
+    """
+    done = annotated.select("event_id") if done is None else done
+    labels = annotated if labels is None else labels
     by_user = tables.classifications.where(F.col("source") == "user").select("event_id")
-    fresh = classification_rows(annotated).join(by_user, "event_id", "left_anti")
-    kept = tables.classifications.join(fresh.select("event_id"), "event_id", "left_anti")
+    fresh = classification_rows(labels).join(by_user, "event_id", "left_anti")
+    replaced = done.join(by_user, "event_id", "left_anti")
+    kept = tables.classifications.join(replaced, "event_id", "left_anti")
     classifications = kept.unionByName(fresh)
 
     heuristic = F.col("source") == "heuristic"
@@ -138,10 +151,13 @@ def enrich(
     profiles: DataFrame | None = None,
 ) -> tuple[Tables, DataFrame]:
     """One pass over everything pending, and the (day, provider) pairs it touched."""
-    rows = annotate(pending(tables, version), classifier, profiles)
-    return apply_enrichment(tables, rows, version), rows.select(
-        "local_date", "provider_id"
-    ).distinct()
+    rows = pending(tables, version)
+    due = due_events(tables.events, version)
+    after = apply_enrichment(
+        tables, annotate(rows, classifier, profiles), version, due.select("event_id"),
+        annotate(rows, classifier, profiles, label_only=True),
+    )
+    return after, due.select("local_date", "provider_id").distinct()
 
 
 def reset_versions(events: DataFrame) -> DataFrame:
