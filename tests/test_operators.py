@@ -426,6 +426,20 @@ def test_deletion_and_retention(spark):
         mt.DeleteScope("provider")
 
 
+def test_merge_moves_only_what_is_asked_for(spark):
+    """The structs of a fold hide from the optimizer which columns are read."""
+    rows = log(spark, [event(1, prompt="a"), event(2, "response", model="gpt-5"), event(1, prompt="a")])
+    late = rows.withColumn("model", F.coalesce("model", F.lit("late"))).withColumn("session_id", F.lit("other"))
+    asked = ["dedupe_key", "model", "session_id", "ingest_version"]
+    once = merge.merge_events(rows, late, columns=asked)
+    twice = merge.merge_events(once, late, columns=asked)
+    full = merge.merge_events(merge.merge_events(rows, late), late).select(*asked)
+    assert sorted(map(str, twice.collect())) == sorted(map(str, once.collect())) == sorted(map(str, full.collect()))
+    assert {r.model for r in once.collect()} == {"late", "gpt-5"}
+    shuffled = [x for x in twice._jdf.queryExecution().executedPlan().toString().splitlines() if "keys=[dedupe_key" in x]
+    assert shuffled and not any("git_branch" in x or "event_type" in x for x in shuffled)
+
+
 def test_machine_text_is_not_typed(spark):
     t = tables(spark, [event(1, prompt="<IDE_selection> x"), event(2, prompt="<id"),
                        event(3, prompt="caveat: the messages below were generated by"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ def _fold(rows: DataFrame, order: Column) -> DataFrame:
     row per version.
     """
     base = [c for c in rows.columns if c not in FILL_COLUMNS and c != "dedupe_key"]
+    fill = [c for c in FILL_COLUMNS if c in rows.columns]
     seq = rows.withColumn("_seq", order)
     per_version = seq.groupBy("dedupe_key", F.col("ingest_version").alias("_version")).agg(
         F.min(F.struct("_seq", *[F.col(c) for c in base if not _is_map(rows, c)])).alias("_base"),
@@ -29,12 +32,12 @@ def _fold(rows: DataFrame, order: Column) -> DataFrame:
             F.min(
                 F.when(F.col(c).isNotNull(), F.struct("_seq", F.col(c).alias("value")))
             ).alias(c)
-            for c in FILL_COLUMNS
+            for c in fill
         ],
     )
     gathered = per_version.groupBy("dedupe_key").agg(
         F.collect_list(
-            F.struct(F.col("_base._seq").alias("_first"), "_version", "_base", *FILL_COLUMNS)
+            F.struct(F.col("_base._seq").alias("_first"), "_version", "_base", *fill)
         ).alias("_copies")
     )
     survivor = gathered.withColumn(
@@ -53,7 +56,7 @@ def _fold(rows: DataFrame, order: Column) -> DataFrame:
         eligible = F.filter("_copies", lambda c: c["_version"] >= F.col("_row._version"))
         return F.array_min(F.transform(eligible, lambda c: c[name]))["value"].alias(name)
 
-    filled = [earliest_known(name) for name in FILL_COLUMNS]
+    filled = [earliest_known(name) for name in fill]
     out = survivor.select("dedupe_key", "_row._base.*", *filled)
     return out.select(*rows.columns)
 
@@ -63,15 +66,21 @@ def _is_map(df: DataFrame, column: str) -> bool:
 
 
 def merge_events(
-    stored: DataFrame | None, incoming: DataFrame, order: Column | None = None
+    stored: DataFrame | None, incoming: DataFrame, order: Column | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Stored log after ingesting a batch; merging the same batch again changes nothing.
 
     ``order`` ranks copies inside the batch (for instance file and line); by default the earliest
-    instant wins and equal copies are interchangeable.
+    instant wins and equal copies are interchangeable. Who reads only some ``columns`` names them
+    (with dedupe_key and ingest_version): rows are folded as structs, which the optimizer does not
+    narrow, and would be shuffled whole.
     """
     rank = order if order is not None else F.struct("ts_ms")
     batch = incoming.withColumn("_rank", F.struct(F.lit(1).alias("batch"), rank.alias("order")))
+    if columns is not None:
+        batch = batch.select(*columns, "_rank")
+        stored = stored.select(*columns) if stored is not None else None
     if stored is None:
         return _fold(batch, F.col("_rank")).drop("_rank")
     kind = dict(batch.dtypes)["_rank"]

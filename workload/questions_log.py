@@ -388,11 +388,10 @@ SELECT dedupe_key, CASE WHEN s.v IS NULL THEN i.model WHEN s.v <= 1 THEN coalesc
 FROM s FULL JOIN i USING (dedupe_key)""")
 def _(spark, sf):
     stored, incoming = _copies(spark, sf)
-    once = merge.merge_events(stored, incoming)
+    asked = ["dedupe_key", "model", "session_id", "input_tokens", "ingest_version"]
+    once = merge.merge_events(stored, incoming, columns=asked)
     # A second delivery of the same batch must change nothing.
-    return merge.merge_events(once, incoming).select(
-        "dedupe_key", "model", "session_id", "input_tokens", "ingest_version"
-    )
+    return merge.merge_events(once, incoming, columns=asked)
 
 
 @query("merge_counts", EV + MERGE_SQL + """
