@@ -4,6 +4,7 @@ import json
 import random
 import re
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -408,6 +409,29 @@ def test_export_round_trip(spark, tmp_path):
     assert len(back.columns) == 29 and back.where("promptText is not null").count() == 0
 
 
+def shuffle_files(spark) -> set[str]:
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+
+def test_exports_leave_no_shuffles_and_can_be_compressed(spark, tmp_path):
+    t = seeds(spark)
+    rows, before = ex.export_rows(t), shuffle_files(spark)
+    ex.write_json(rows, ex.manifest(t, None, True, "now"), str(tmp_path), "gzip")
+    ex.write_csv(rows, str(tmp_path / "csv"), "gzip")
+    left = shuffle_files(spark) - before
+    for _ in range(100):  # the files go in the background
+        if not left:
+            break
+        time.sleep(0.1)
+        left &= shuffle_files(spark)
+    assert not left
+    assert list(tmp_path.glob("events/*.json.gz")) and list(tmp_path.glob("csv/*.csv.gz"))
+    want = rows.select("id", "promptText", "sessionId").collect()
+    got = ex.read_export(spark, str(tmp_path)).select("external_id", "prompt", "session_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
 def test_deletion_and_retention(spark):
     t = seeds(spark)
     alpha = t.projects.where("name = 'alpha'").first().project_id

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,18 @@ def build_session(app: str = "usagelake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of writes that have ended.
+
+    Spark drops them once the driver's JVM has collected their plans. On a large heap that can take
+    half an hour, and the files of one write lie on the disks beside those of the next. Events of the
+    write hold its plan until the listeners have had them, so it is asked for twice.
+    """
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Redistribute rows only when the input has fewer splits than the cluster has cores.
 

@@ -11,6 +11,7 @@ from usagelake.contract import EventFilters, Settings, Tables
 from usagelake.functions.timeutil import iso_utc
 from usagelake.operators.filters import apply_filters, prune
 from usagelake.operators.maintenance import table_counts
+from usagelake.session import free_shuffles
 
 FORMAT_VERSION = 1
 
@@ -92,10 +93,18 @@ def manifest(
     )
 
 
-def write_json(rows: DataFrame, described: DataFrame, path: str) -> None:
-    """Events as JSON lines in time order beside a one-row manifest, written in parallel."""
+def write_json(
+    rows: DataFrame, described: DataFrame, path: str, compression: str | None = None
+) -> None:
+    """Events as JSON lines in time order beside a one-row manifest, written in parallel.
+
+    ``compression`` is that of the event files, such as gzip; ``read_export`` reads either.
+    """
     described.write.mode("overwrite").json(f"{path}/manifest")
-    rows.orderBy("timestamp", "id").write.mode("overwrite").json(f"{path}/events")
+    rows.orderBy("timestamp", "id").write.mode("overwrite").json(
+        f"{path}/events", compression=compression
+    )
+    free_shuffles(rows.sparkSession)
 
 
 def csv_rows(rows: DataFrame) -> DataFrame:
@@ -104,11 +113,12 @@ def csv_rows(rows: DataFrame) -> DataFrame:
         .withColumn("isSubagent", F.col("isSubagent").cast("int"))
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
+def write_csv(rows: DataFrame, path: str, compression: str | None = None) -> None:
     """29 columns, quotes doubled inside quoted cells."""
     csv_rows(rows).orderBy("timestamp", "id").write.mode("overwrite").option(
         "header", True
-    ).option("escape", '"').option("emptyValue", "").csv(path)
+    ).option("escape", '"').option("emptyValue", "").csv(path, compression=compression)
+    free_shuffles(rows.sparkSession)
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:

@@ -1127,8 +1127,9 @@ def _(spark, sf):
     t, saved = v.tables(spark, sf), v.store(spark, sf)
     path = saved.path("export")
     rows = ex.export_rows(t)
-    ex.write_json(rows, ex.manifest(t, None, True, "2024-02-01T00:00:00.000Z"), path)
-    ex.write_csv(rows, saved.path("export_csv"))
+    # Lines of text and names that repeat are several times the store's columns.
+    ex.write_json(rows, ex.manifest(t, None, True, "2024-02-01T00:00:00.000Z"), path, "gzip")
+    ex.write_csv(rows, saved.path("export_csv"), "gzip")
     events = nz.normalize(ex.read_export(spark, path), v.SETTINGS)
     return tt.counters(events).select(
         "prompts", "events", "sessions", "projects", *tt.TOKENS
